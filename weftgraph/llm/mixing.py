@@ -41,7 +41,7 @@ def water_filled(sources: DataFrame, budget: float, max_epochs: float) -> DataFr
     x = x.withColumn("level", (F.col("total") - F.col("held")) / F.col("weights"))
     # Up to the first source whose share at its own level stays within its cap, sources are held.
     x = x.withColumn("free", (F.col("level") * F.col("weight") <= cap).cast("int"))
-    level = F.min(F.when(F.col("free") == 1, F.col("level"))).over(every)
+    level = F.max(F.when(F.col("free") == 1, F.col("level"))).over(every)  # levels rise while sources are held, then fall
     return x.withColumn("target", F.coalesce(F.least(cap, level * F.col("weight")), cap)).drop("held", "weights", "total", "level", "free")
 
 
