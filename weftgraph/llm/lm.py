@@ -168,7 +168,7 @@ def train(counts: np.ndarray, unigram: np.ndarray, width: int = WIDTH, steps: in
     return (s / np.log(10)).astype(np.float32)
 
 
-def _scored(vocabulary: Vocabulary, table: np.ndarray):
+def _scored(vocabulary: Vocabulary, table: np.ndarray, carry: tuple[str, ...]):
     n, v = vocabulary.n, vocabulary.v
     rest_n, rest_v = vocabulary.rest
     m = len(vocabulary.top)
@@ -188,7 +188,7 @@ def _scored(vocabulary: Vocabulary, table: np.ndarray):
         own += np.where(now == m, np.log10((c + 1.0) / (rest_n + rest_v + 1.0)), 0.0)
         sums = lambda w: np.bincount(owner, weights=w, minlength=rows)
         return pa.table({
-            "row": docs.column("row"), "n_tokens": pa.array(sums(np.ones(len(h))).astype(np.int64)), "n_known": pa.array(sums(c > 0).astype(np.int64)),
+            **{c: docs.column(c) for c in carry}, "n_tokens": pa.array(sums(np.ones(len(h))).astype(np.int64)), "n_known": pa.array(sums(c > 0).astype(np.int64)),
             "base_score": pa.array(sums(base)), "score": pa.array(sums(own)),
         })
 
@@ -205,10 +205,10 @@ def language_model_scores(docs: DataFrame, train_col: str, text_col: str = "text
     no row teaches, all tokens share the rest class and score as the base does.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.struct(*carry).alias("row"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows, _ = blocked(rows.withColumn("id", F.col("row")))
-    kind = rows.schema["row"].dataType.simpleString()
-    body = rows.select("block", "row", "train", "text")
+    names = {c: f"carried_{i}" for i, c in enumerate(carry)}
+    rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.coalesce(F.col(train_col), F.lit(False)).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows, _ = blocked(rows.withColumn("id", F.struct(*names.values())))
+    body = rows.select("block", *names.values(), "train", "text")
     asked = body.select("block", "train", "text").groupBy("block").applyInArrow(_counted, "h long, c long, block int")
     answers = stored(asked.repartition(F.col("h")).mapInArrow(_summed, "block int, kind int, found binary"), "counts")
     vocabulary = _vocabulary([r.found for r in answers.where("kind = 1").select("found").collect()])
@@ -218,6 +218,7 @@ def language_model_scores(docs: DataFrame, train_col: str, text_col: str = "text
     pairs = rows.where("train").select("text").mapInArrow(_pairs(vocabulary), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     counts[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
     table = train(counts.reshape(m, m), vocabulary.unigram()) if vocabulary.n else np.log10(np.tile(vocabulary.unigram(), (m, 1))).astype(np.float32)
-    shape = f"row {kind}, n_tokens long, n_known long, base_score double, score double"
-    out = body.select("block", "row", "text").groupBy("block").cogroup(answers.where("kind = 0").select("block", "found").groupBy("block")).applyInArrow(_scored(vocabulary, table), shape)
-    return out.select("row.*", "n_tokens", "n_known", F.lit(vocabulary.n).cast("long").alias("train_tokens"), "base_score", "score")
+    shape = ", ".join([*(f"{n} {body.schema[n].dataType.simpleString()}" for n in names.values()), "n_tokens long, n_known long, base_score double, score double"])
+    sent = answers.where("kind = 0").select("block", "found").groupBy("block")
+    out = body.drop("train").groupBy("block").cogroup(sent).applyInArrow(_scored(vocabulary, table, tuple(names.values())), shape)
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()), "n_tokens", "n_known", F.lit(vocabulary.n).cast("long").alias("train_tokens"), "base_score", "score")
