@@ -24,7 +24,11 @@ def blocked(rows: DataFrame) -> tuple[DataFrame, int]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished steps, which wait for the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.2)
+    """Let Spark delete shuffle files of finished steps, which wait for the driver's garbage collection.
+
+    The first round frees what holds the shuffles, the second the shuffles.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
