@@ -126,9 +126,13 @@ class Walk:
             self.value(carrier)
 
     def object(self, row: dict[str, Any], spec: dict) -> None:
-        row["shape"], row["own_kind"], row["target"] = f"{row['node_id']}/shape", "NodeShape", True
+        shape = f"{row['node_id']}/shape"
+        if row["role"] == "schema":
+            row["shape"], row["own_kind"], row["target"] = shape, "NodeShape", True
+        else:  # the owner gets one more shape; nothing links the carrier to it
+            self.row(shape, row["node_id"], "inline", None, None, kind="nodeshape", shape=shape, own_kind="NodeShape", target=True)
         self.added += 2
-        self.properties(row["node_id"], spec, row["shape"], shapes_only=False)
+        self.properties(row["node_id"], spec, shape, shapes_only=False)
 
     def properties(self, node: str, spec: dict, shape: str, shapes_only: bool) -> None:
         needed = spec.get("required") if isinstance(spec.get("required"), list) else []

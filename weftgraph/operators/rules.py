@@ -117,7 +117,7 @@ def shacl_triples(nodes: DataFrame, prefix: str = PREFIX, compat: bool = True) -
         rdf(vocabulary, prop, RDFS + "range", ranged),
         rdf(vocabulary & described, prop, comment, c("description"), "literal"),
         F.when(kept & c("shape").isNotNull(), _t("shacl", shape, "bnode", RDF + "type", F.concat(F.lit(SH), c("own_kind")), "iri")),
-        sh(kept & c("target"), F.when(c("kind") == "object", shape).otherwise(on), SH + "targetClass", owner),
+        sh(kept & c("target"), F.when(c("kind").isin("object", "nodeshape"), shape).otherwise(on), SH + "targetClass", owner),
         sh(kept & c("parent_shape").isNotNull(), F.concat(F.lit("_:"), c("parent_shape")), SH + "property", shape, "bnode"),
         sh(kept & c("path"), shape, SH + "path", prop),
         sh(kept & c("path") & c("required"), shape, SH + "minCount", "1", "literal", integer),

@@ -42,6 +42,7 @@ k AS (SELECT *, concat(ns, {_fmt('name')}) AS prop, concat('_:', parent, '/prope
   kind IN ('string', 'integer', 'number', 'boolean', 'enum') OR (kind = 'ref' AND NOT ({_ISOBJ})) AS plain FROM k0),
 m AS (SELECT schema_id, bool_or(plain) AND bool_or(NOT plain) AS mixed FROM k WHERE parent_kind IN ('anyOf', 'oneOf', 'allOf') GROUP BY schema_id)
 """
+_SPACELESS = "replace(title, ' ', '')"
 _CLASSKINDS = "('object', 'array', 'string', 'integer', 'number', 'anyOf', 'oneOf', 'allOf')"
 _CLS = f"SELECT DISTINCT doc, owner AS s FROM s WHERE kind IN {_CLASSKINDS}"
 _RANGE = f"CASE kind WHEN 'ref' THEN CASE WHEN isobj THEN uri ELSE refdt END WHEN 'array' THEN uri WHEN 'object' THEN '{N.RDFS}Resource' WHEN 'boolean' THEN '{N.XSD}boolean' WHEN 'integer' THEN '{N.XSD}integer' WHEN 'number' THEN concat('{N.XSD}', CASE WHEN ordinal % 2 = 1 THEN 'float' ELSE 'double' END) WHEN 'string' THEN concat('{N.XSD}', CASE WHEN ordinal = 3 THEN 'dateTime' ELSE 'string' END) ELSE '{N.XSD}string' END"
@@ -191,7 +192,7 @@ def rule_default_nodekind(spark, sf_dir):
     return _on(_property_triples(spark, sf_dir), "nodeKind").select("doc", "s")
 
 
-@_register(f"""{_BASE}, h AS (SELECT *, concat('{P}', {_fmt(chr(39).join(['concat(doc, ', '.yaml', ')']))}, '#') AS o_ns FROM d), c AS (SELECT *, concat(o_ns, {_fmt(chr(39).join(['replace(title, ', ' ', ', ', ')']))}) AS cls FROM h)
+@_register(f"""{_BASE}, h AS (SELECT *, concat('{P}', {_fmt(chr(39).join(['concat(doc, ', '.yaml', ')']))}, '#') AS o_ns FROM d), c AS (SELECT *, concat(o_ns, {_fmt(_SPACELESS)}) AS cls FROM h)
   SELECT doc, cls AS s, '{N.RDF}type' AS p, '{N.OWL}Class' AS o FROM c UNION ALL SELECT doc, cls, '{N.RDFS}label', title FROM c UNION ALL SELECT doc, concat(cls, 'Instance'), '{N.RDF}type', cls FROM c
   UNION ALL SELECT doc, concat(cls, 'Instance'), concat(o_ns, 'version'), version FROM c UNION ALL SELECT doc, concat(cls, 'Instance'), concat(o_ns, 'url'), url FROM c WHERE url IS NOT NULL""")
 def owl_header(spark, sf_dir):
@@ -312,7 +313,7 @@ def audit_stats(spark, sf_dir):
 
 
 @_register(f"""{_BASE}, {_WANT}, {_PROPS}, {_SAID}, x AS (SELECT (SELECT count(*) FROM w JOIN h USING (doc, name)) * 100.0 / (SELECT count(*) FROM w) AS schemas, 100.0 AS properties,
-  (SELECT count(*) FROM s WHERE description IS NOT NULL AND EXISTS (SELECT 1 FROM c WHERE c.doc = s.doc AND c.name = replace(s.name, '-', '_'))) * 100.0 / (SELECT count(*) FROM s WHERE description IS NOT NULL) AS descriptions)
+  (SELECT count(*) FROM s WHERE description IS NOT NULL AND EXISTS (SELECT 1 FROM c WHERE c.doc = s.doc AND c.name = replace(s.name, '-', '_'))) * 100.0 / (SELECT count(*) FROM s WHERE description IS NOT NULL AND kind <> 'ref') AS descriptions)
   SELECT *, (schemas + properties + descriptions) / 3 AS score, CASE WHEN (schemas + properties + descriptions) / 3 >= 95 THEN 'excellent' WHEN (schemas + properties + descriptions) / 3 >= 85 THEN 'good' WHEN (schemas + properties + descriptions) / 3 >= 70 THEN 'fair' ELSE 'poor' END AS band FROM x""")
 def audit_score(spark, sf_dir):
     x = audit.score(*_pair(spark, sf_dir))
