@@ -50,7 +50,7 @@ def decoded(path: str, content: str, strict: bool = True) -> list[dict[str, Any]
     """Rows of one document; one row with an error, or without a schema, if there are none."""
     import yaml
 
-    base = {"doc": path.rsplit("/", 1)[-1].removesuffix(".yaml"), "path": path, "has_header": False}
+    base = {"doc": path.rsplit("/", 1)[-1].removesuffix(".yaml"), "path": path, "ordinal": -1, "has_header": False}
     try:
         tree = yaml.safe_load(content)
         if tree is None and strict:
@@ -73,7 +73,8 @@ def read_specs(spark: SparkSession, files: list[str], strict: bool = True) -> Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [r for path, content in batch.itertuples(index=False) for r in decoded(path, content, strict)]
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
 
-    texts = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    # The text source leaves out empty files, which have to be reported.
+    texts = spark.read.format("binaryFile").load(files).select("path", F.decode("content", F.lit("UTF-8")).alias("content"))
     return texts.repartition("path").mapInPandas(run, SPEC)

@@ -21,7 +21,7 @@ def stream_conversion(spark: SparkSession, folder: str, output: str, checkpoint:
 
     def rows(batches):
         for b in batches:
-            yield pd.DataFrame([r for path, content in b.itertuples(index=False) for r in decoded(path, content, mode == "shacl")], columns=names)
+            yield pd.DataFrame([[r.get(n) for n in names] for path, content in b.itertuples(index=False) for r in decoded(path, content, mode == "shacl")], columns=names, dtype=object)
 
     def batch(df: DataFrame, number: int) -> None:
         triples, _ = convert(df.mapInPandas(rows, SPEC), mode, prefix)
