@@ -76,5 +76,5 @@ def read_specs(spark: SparkSession, files: list[str], strict: bool = True) -> Da
             yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
 
     # The text source leaves out empty files, which have to be reported.
-    texts = spark.read.format("binaryFile").load(files).select("path", F.decode("content", F.lit("UTF-8")).alias("content"))
+    texts = spark.read.format("binaryFile").load(files).select("path", F.decode("content", "UTF-8").alias("content"))
     return texts.repartition("path").mapInPandas(run, SPEC)
