@@ -26,8 +26,7 @@ def discover(spark: SparkSession, paths: list[str]) -> list[str]:
         if p.endswith(".yaml"):
             out.append(p)
             continue
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.yaml").load(p).select("path")
-        found = sorted(r.path for r in files.toLocalIterator())
+        found = sorted(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.yaml").load(p).inputFiles())
         if not found:
             raise ValueError(f"{p} is neither a .yaml file nor a folder with some")
         out += found
@@ -75,6 +74,9 @@ def read_specs(spark: SparkSession, files: list[str], strict: bool = True) -> Da
             rows = [r for path, content in batch.itertuples(index=False) for r in decoded(path, content, strict)]
             yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
 
-    # The text source leaves out empty files, which have to be reported.
-    texts = spark.read.format("binaryFile").load(files).select("path", F.decode("content", "UTF-8").alias("content"))
+    same = lambda c: F.regexp_replace(F.regexp_replace(c, r"^/", "file:/"), r"^file:/+", "file:/")
+    read = spark.read.format("binaryFile").load(files).select(same(F.col("path")).alias("path"), F.decode("content", "UTF-8").alias("content"))
+    # Scans leave out empty files, which have to be reported: every file asked for is a row.
+    asked = spark.createDataFrame([(f,) for f in files], "path string").select(same(F.col("path")).alias("path")).distinct()
+    texts = asked.join(read, "path", "left").select("path", F.coalesce("content", F.lit("")).alias("content"))
     return texts.repartition("path").mapInPandas(run, SPEC)
