@@ -10,7 +10,8 @@ smallest is common is below 4e-7 (for sets smaller than that, some run always is
    meets the most others over all lists.
 2. Lists that still hold members of different components are worked through in whole:
    overlaps of the retained values are counted for all members at once, in blocks of
-   at most BLOCK members, and pairs of different components go on.
+   at most BLOCK members, and pairs of different components go on. Two documents are
+   weighed in the first list they share and in no other.
 
 A pair goes on if the estimate from the union of the two sketches is within
 SLACK standard deviations of the threshold; sketches that hold their whole set give the
@@ -147,8 +148,18 @@ def _overlaps(sketches: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _within(ids: np.ndarray, component: np.ndarray, n: np.ndarray, half: np.ndarray, sketches: list[np.ndarray], share: float) -> Iterator[tuple[int, int]]:
-    """Pairs of one block of a list that may be links between different components."""
+def _within(ids: np.ndarray, component: np.ndarray, n: np.ndarray, half: np.ndarray, sketches: list[np.ndarray], earlier: list[np.ndarray], share: float) -> Iterator[tuple[int, int]]:
+    """Pairs of one block of a list that may be links between different components.
+
+    earlier: each member's lists that come before this one; pairs that share one are left to it.
+    """
+    own = component[:, None] != component[None, :]
+    if half.any():
+        own &= half[:, None] != half[None, :]
+    if own.any():
+        own &= _overlaps(earlier) == 0
+    if not own.any():
+        return
     o = _overlaps(sketches)
     size = np.minimum(n, SKETCH)
     small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
@@ -156,10 +167,7 @@ def _within(ids: np.ndarray, component: np.ndarray, n: np.ndarray, half: np.ndar
     exact = o >= share * (small + large - o) - 1e-6
     union = np.minimum(SKETCH, np.add.outer(size, size) - o)
     maybe = np.where(whole, exact, o >= _cutoff(share) * union - 1e-6) & (small >= share * large - 1e-6)
-    maybe &= component[:, None] != component[None, :]
-    if half.any():
-        maybe &= half[:, None] != half[None, :]
-    for i, j in np.argwhere(np.triu(maybe, 1)):
+    for i, j in np.argwhere(np.triu(maybe & own, 1)):
         if whole[i, j] or union_estimate(sketches[i], sketches[j]) >= _cutoff(share):
             yield int(ids[i]), int(ids[j])
 
@@ -175,8 +183,10 @@ def _residual(share: float):
             while last < len(order) and (x["list"][order[last]], x["part"][order[last]]) == (x["list"][order[first]], x["part"][order[first]]):
                 last += 1
             rows = order[first:last]
+            key = x["list"][rows[0]]
+            earlier = [np.array([k for k in x["lists"][r] if k < key], np.int64) for r in rows]
             take = lambda name: np.array([x[name][r] for r in rows], dtype=np.int64)  # noqa: B023, E731
-            found.update(_within(take("id"), take("component"), take("n"), take("half"), [np.frombuffer(x["sketch"][r], np.uint64) for r in rows], share))
+            found.update(_within(take("id"), take("component"), take("n"), take("half"), [np.frombuffer(x["sketch"][r], np.uint64) for r in rows], earlier, share))
             first = last
         pairs = sorted(found)
         return pa.table({"a": pa.array([p for p, _ in pairs], pa.int64()), "b": pa.array([q for _, q in pairs], pa.int64())})
@@ -240,7 +250,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         packs = max(1, total // _PACK)
         pack = F.when(F.col("m") > BLOCK, F.xxhash64("list", "part")).otherwise(F.pmod(F.xxhash64("list"), F.lit(packs)))
-        tasks = blocks.join(mixed.select(F.col("key").alias("list"), "m"), "list").join(involved.select("id", "n", "sketch"), "id").withColumn("pack", pack)
+        own_lists = open_lists.groupBy("id").agg(F.collect_set("key").alias("lists"))
+        about = involved.select("id", "n", "sketch").join(own_lists, "id")
+        tasks = blocks.join(mixed.select(F.col("key").alias("list"), "m"), "list").join(about, "id").withColumn("pack", pack)
         pairs = tasks.groupBy("pack").applyInArrow(_residual(numerator / denominator), "a long, b long").distinct()
         more = stored(_links(pairs, involved, words, numerator, denominator), "links")
         final = connected(links.unionByName(more)) if more.head(1) else first
