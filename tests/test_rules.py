@@ -1,6 +1,9 @@
 """One small schema for each tricky rule."""
 
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 
@@ -98,3 +101,8 @@ def test_files_to_turtle_and_back(spark, tmp_path):
     n = {r.graph: r["count"] for r in triples.groupBy("graph").count().collect()}
     for r in turtle_documents(triples, "http://example.org/models/").collect():
         assert len(parse_turtle(r.content)) == n[r.graph]
+
+
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=True)

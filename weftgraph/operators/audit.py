@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import PREFIX, RDF, RDFS, SH
 
-_LOCAL = F.element_at(F.split("s", "#"), -1)
+_LOCAL = "element_at(split(s, '#'), -1)"
 # The SHACL terms that a shapes graph may use as predicates.
 SHACL_PREDICATES = (
     "targetClass property path datatype class node nodeKind minCount maxCount minLength maxLength pattern minInclusive maxInclusive in hasValue or and xone not "
@@ -17,7 +17,7 @@ SHACL_PREDICATES = (
 
 def typed(triples: DataFrame, kind: str) -> DataFrame:
     """(doc, name): local names of what the vocabulary types as a kind."""
-    return triples.where((F.col("graph") == "rdf") & (F.col("p") == RDF + "type") & (F.col("o") == kind)).select("doc", _LOCAL.alias("name")).distinct()
+    return triples.where((F.col("graph") == "rdf") & (F.col("p") == RDF + "type") & (F.col("o") == kind)).select("doc", F.expr(_LOCAL).alias("name")).distinct()
 
 
 def declared(nodes: DataFrame, role: str) -> DataFrame:
@@ -46,7 +46,7 @@ def coverage(nodes: DataFrame, triples: DataFrame, role: str = "schema", kind: s
 def described(nodes: DataFrame, triples: DataFrame) -> DataFrame:
     """(doc, name) of schemas with a description for which some comment exists."""
     want = nodes.where("role = 'schema' and description is not null").select("doc", F.translate("name", "-", "_").alias("name"))
-    have = triples.where((F.col("graph") == "rdf") & (F.col("p") == RDFS + "comment")).select("doc", _LOCAL.alias("name"))
+    have = triples.where((F.col("graph") == "rdf") & (F.col("p") == RDFS + "comment")).select("doc", F.expr(_LOCAL).alias("name"))
     return want.join(have, ["doc", "name"], "left_semi")
 
 
