@@ -103,6 +103,17 @@ def test_files_to_turtle_and_back(spark, tmp_path):
         assert len(parse_turtle(r.content)) == n[r.graph]
 
 
+def test_turtle_of_other_writers():
+    from weftgraph.sources.sinks import parse_turtle
+
+    text = '@prefix a: <http://x/> . # said "so"\na:s.t a:p """two\nlines, "quoted" \\u00e9""", "de"@en, 8e-01, 0.5, -3, true ; a:q [ a:r ( a:x ) ] .\n'
+    got = parse_turtle(text)
+    assert [(o, (dt or "").removeprefix(XSD)) for s, _, p, o, _, dt in got if p == "http://x/p" and s == "http://x/s.t"] == [
+        ('two\nlines, "quoted" é', ""), ("de", ""), ("8e-01", "double"), ("0.5", "decimal"), ("-3", "integer"), ("true", "boolean"),
+    ]
+    assert len(got) == 10
+
+
 def test_queries_are_listed_without_a_session():
     code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=True)

@@ -114,11 +114,19 @@ def turtle_documents(triples: DataFrame, prefix: str) -> DataFrame:
     return named.groupBy("graph", "doc").applyInPandas(run, "graph string, doc string, content string")
 
 
-_TOKEN = re.compile(r'\s*(@prefix|<[^>]*>|"(?:[^"\\]|\\.)*"|\^\^|[\[\]();,.]|_:[A-Za-z0-9]+|[A-Za-z_][\w\-]*:[\w\-]*|[+-]?\d+(?!\w)|\w[\w\-]*)')
+_TOKEN = re.compile(
+    r'''(?:\s|#[^\n]*\n)*(@prefix|<[^>]*>|"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\^\^|@[a-zA-Z\-]+|[+-]?(?:\d+\.?\d*[eE][+-]?\d+|\d*\.\d+|\d+(?!\w))|'''
+    r'''[\[\]();,.]|_:[A-Za-z0-9]+|[A-Za-z_]?[\w\-]*:(?:[\w\-.]*[\w\-])?|\w[\w\-]*)''',
+    re.S,
+)
+_ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.S)
 
 
 def parse_turtle(text: str) -> list[tuple]:
-    """The triples of Turtle as `turtle` writes it; blank nodes are numbered in order."""
+    """The triples of Turtle as `turtle` and other writers have it; blank nodes are numbered in order.
+
+    Long strings, decimals, doubles and comments are read; base IRIs are not.
+    """
     tokens, at = [], 0
     text = text.rstrip()
     while at < len(text):
@@ -130,7 +138,7 @@ def parse_turtle(text: str) -> list[tuple]:
     spaces: dict[str, str] = {}
     out: list[tuple] = []
     pos = count = 0
-    undo = {"n": "\n", "r": "\r", "t": "\t"}
+    undo = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
 
     def fresh() -> str:
         nonlocal count
@@ -164,13 +172,18 @@ def parse_turtle(text: str) -> list[tuple]:
                 out.append((cells[i], "bnode", RDF + "rest", *((cells[i + 1], "bnode", None) if i + 1 < len(cells) else (RDF + "nil", "iri", None))))
             return (cells[0], "bnode", None) if cells else (RDF + "nil", "iri", None)
         if x.startswith('"'):
-            value = re.sub(r"\\(.)", lambda m: undo.get(m[1], m[1]), x[1:-1])
+            inside = x[3:-3] if x.startswith('"""') else x[1:-1]
+            value = _ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if len(m[1]) > 1 else undo.get(m[1], m[1]), inside)
             if pos < len(tokens) and tokens[pos] == "^^":
                 pos += 2
                 return value, "literal", expand(tokens[pos - 1])
+            if pos < len(tokens) and tokens[pos].startswith("@") and tokens[pos] != "@prefix":
+                pos += 1  # language tags are dropped, the model has none
             return value, "literal", None
         if re.fullmatch(r"[+-]?\d+", x):
             return x, "literal", XSD + "integer"
+        if re.fullmatch(r"[+-]?[\d.]+(?:[eE][+-]?\d+)?", x):
+            return x, "literal", XSD + ("double" if "e" in x.lower() else "decimal")
         if x in ("true", "false"):
             return x, "literal", XSD + "boolean"
         return (x, "bnode", None) if x.startswith("_:") else (expand(x), "iri", None)
