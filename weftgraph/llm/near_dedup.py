@@ -32,7 +32,7 @@ from .components import connected
 from .storage import stored
 from .textkernels import column_bytes, mix, pieces, shingle_sets
 
-SKETCH = 256
+SKETCH = 1024
 INDEXED = 32
 BLOCK = 1024
 SLACK = 5.0
