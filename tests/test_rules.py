@@ -103,6 +103,12 @@ def test_files_to_turtle_and_back(spark, tmp_path):
         assert len(parse_turtle(r.content)) == n[r.graph]
 
 
+def test_base_namespace_leaves_other_files_alone(spark):
+    a = {"A": {"type": "object", "properties": {"x": REF, "y": {"$ref": "TS2_B.yaml#/components/schemas/Y"}}}}
+    g = graph(spark, a, lambda nodes: shacl_triples(nodes, base="urn:own#"))
+    assert found(g, SH + "targetClass") == ["urn:own#A"] and found(g, SH + "class") == ["http://example.org/models/TS2/B#Y", "urn:own#Top"]
+
+
 def test_turtle_of_other_writers():
     from weftgraph.sources.sinks import parse_turtle
 

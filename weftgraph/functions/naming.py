@@ -32,6 +32,11 @@ def namespace(stem: Column, prefix: str = PREFIX) -> Column:
     return F.when(stem.rlike(r"^TS\d*_"), F.concat(F.lit(prefix), number, F.lit("/"), rest, F.lit("#"))).otherwise(F.concat(F.lit(prefix + "rdf/"), stem, F.lit("#")))
 
 
+def main_namespace(stem: Column, prefix: str = PREFIX, base: str | None = None) -> Column:
+    """A document's own namespace: the given base for all documents, or else that of its name."""
+    return namespace(stem, prefix) if base is None else F.lit(base)
+
+
 def owl_namespace(stem: Column, base: str = PREFIX) -> Column:
     return F.concat(F.lit(base.rstrip("/") + "/"), format_name(F.concat(stem, F.lit(".yaml"))), F.lit("#"))
 

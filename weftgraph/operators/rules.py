@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import (
-    DASH, OWL, PREFIX, RDF, RDFS, SH, XSD, format_name, human_label, is_object_ref, is_object_uri_owl, namespace, number_datatype,
+    DASH, OWL, PREFIX, RDF, RDFS, SH, XSD, format_name, human_label, is_object_ref, is_object_uri_owl, main_namespace, namespace, number_datatype,
     owl_datatype, owl_namespace, ref_datatype, resolve_ref, resolve_ref_owl, string_datatype,
 )
 
@@ -69,14 +69,15 @@ def list_item(x: Column) -> tuple[Column, Column, Column]:
     return F.when(named, xsd).otherwise(lex), F.when(iri | named, "iri").otherwise("literal"), F.when(~text, F.concat(F.lit(XSD), dt))
 
 
-def shacl_triples(nodes: DataFrame, prefix: str = PREFIX, compat: bool = True) -> DataFrame:
+def shacl_triples(nodes: DataFrame, prefix: str = PREFIX, compat: bool = True, base: str | None = None) -> DataFrame:
     """The vocabulary (graph rdf) and the shapes (graph shacl) of schema nodes, with repeats.
 
     compat keeps the predicate names or_ and booleans without a datatype; otherwise they
-    are or, and booleans have theirs.
+    are or, and booleans have theirs. base replaces the namespaces of the documents
+    themselves; references to other files keep those made of the prefix.
     """
     c = F.col
-    main = namespace(c("doc"), prefix)
+    main = main_namespace(c("doc"), prefix, base)
     name = lambda x: F.concat(main, format_name(x))
     owner, prop = name(c("schema")), name(c("name"))
     on, shape = F.concat(F.lit("_:"), c("carrier")), F.concat(F.lit("_:"), c("shape"))

@@ -17,7 +17,7 @@ from ..sources.yaml_source import discover, read_specs
 __version__ = "0.1.0"
 
 
-def convert(specs: DataFrame, mode: str = "shacl", prefix: str = PREFIX, compat: bool = True) -> tuple[DataFrame, DataFrame]:
+def convert(specs: DataFrame, mode: str = "shacl", prefix: str = PREFIX, compat: bool = True, base: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(triples, errors(doc, error)) of specs; a document with an error gives no triples."""
     nodes = flatten(specs.where("spec is not null")).cache()
     errors = nodes.where("error is not null").select("doc", "error")
@@ -25,12 +25,12 @@ def convert(specs: DataFrame, mode: str = "shacl", prefix: str = PREFIX, compat:
         errors = errors.unionByName(specs.where("error is not null").select("doc", "error"))
     good = nodes.join(errors.select("doc").distinct(), "doc", "left_anti")
     if mode == "owl":
-        triples = owl_triples(good, prefix)
+        triples = owl_triples(good, base or prefix)
         if "has_header" in specs.columns:
             headers = specs.where("has_header and error is null").select("doc", "title", "version", "description", "url").distinct()
-            triples = triples.unionByName(owl_header(headers, prefix))
+            triples = triples.unionByName(owl_header(headers, base or prefix))
     else:
-        triples = shacl_triples(good, prefix, compat)
+        triples = shacl_triples(good, prefix, compat, base)
     return graph_set(triples), errors
 
 
@@ -39,7 +39,8 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="weftgraph", description=main.__doc__)
     p.add_argument("paths", nargs="+")
     p.add_argument("--format", choices=("shacl", "owl"), default="shacl")
-    p.add_argument("--namespace-prefix", "--base-namespace", dest="prefix", default=PREFIX)
+    p.add_argument("--namespace-prefix", dest="prefix", default=PREFIX)
+    p.add_argument("--base-namespace", help="the namespace of all documents of the run, instead of one made of prefix and name")
     p.add_argument("--output", default="output")
     p.add_argument("--sink", choices=("turtle", "ntriples", "parquet"), default="turtle")
     p.add_argument("--version", action="version", version=__version__)
@@ -50,9 +51,9 @@ def main(argv: list[str] | None = None) -> int:
     except Exception as e:
         print(e, file=sys.stderr)
         return 1
-    triples, errors = convert(read_specs(spark, files, a.format == "shacl"), a.format, a.prefix)
+    triples, errors = convert(read_specs(spark, files, a.format == "shacl"), a.format, a.prefix, base=a.base_namespace)
     if a.sink == "turtle":
-        turtle_documents(triples, a.prefix).select("graph", "doc", "content").write.mode("overwrite").partitionBy("graph", "doc").text(a.output)
+        turtle_documents(triples, a.prefix, a.base_namespace).select("graph", "doc", "content").write.mode("overwrite").partitionBy("graph", "doc").text(a.output)
     else:
         (write_ntriples if a.sink == "ntriples" else write_parquet)(triples, a.output)
     failed = errors.groupBy("doc").agg(F.first("error").alias("error")).collect()  # one row for each file that failed

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.naming import DASH, OWL, RDF, RDFS, SH, XSD, format_name, namespace
+from ..functions.naming import DASH, OWL, RDF, RDFS, SH, XSD, format_name, main_namespace
 
 STANDARD = {"rdf": RDF, "rdfs": RDFS, "xsd": XSD, "owl": OWL, "sh": SH, "dash": DASH}
 
@@ -102,7 +102,7 @@ def turtle(rows: list[tuple], own: dict[str, str] | None = None) -> str:
     return (head + "\n" + "\n".join(out)) if out else "\n"
 
 
-def turtle_documents(triples: DataFrame, prefix: str) -> DataFrame:
+def turtle_documents(triples: DataFrame, prefix: str, base: str | None = None) -> DataFrame:
     """(graph, doc, content): each graph of each document as Turtle; a group is one document."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -110,7 +110,7 @@ def turtle_documents(triples: DataFrame, prefix: str) -> DataFrame:
         rows = [tuple(None if x is None or x != x else x for x in r) for r in pdf[["s", "s_kind", "p", "o", "o_kind", "o_dt"]].itertuples(index=False)]
         return pd.DataFrame([{"graph": first["graph"], "doc": first["doc"], "content": turtle(rows, {first["label"]: first["space"]})}])
 
-    named = triples.withColumn("label", format_name(F.concat("doc", F.lit(".yaml")))).withColumn("space", namespace(F.col("doc"), prefix))
+    named = triples.withColumn("label", format_name(F.concat("doc", F.lit(".yaml")))).withColumn("space", main_namespace(F.col("doc"), prefix, base))
     return named.groupBy("graph", "doc").applyInPandas(run, "graph string, doc string, content string")
 
 
