@@ -5,7 +5,8 @@ node of the tree, which counts the presentation styles (sequences of children) a
 contents seen there. The importance of a node is the entropy of those counts by its
 largest possible value; what is much the same on every page has little. Branches of low
 importance are removed from each page, as is what HTML itself marks as no main text.
-A page that marks its article keeps that article whole but for such marked parts.
+A page that marks its article or main element, and has at least SHARE of the text that is
+left there, keeps that element alone, without its own branches of low importance.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .storage import stored
 #: A node seen at least SEEN times on a host with less importance than this is removed.
 IMPORTANCE = 0.4
 SEEN = 8
+#: An article or main element with less of the text left than this is not the page's main text.
+SHARE = 0.5
 _HELD = 200_000
 
 # The HTML standard's void and raw-text elements, and block-level elements.
@@ -165,7 +168,7 @@ def style_counts(page: str) -> Iterator[tuple[int, int, int]]:
 def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
     """The text of a page without marked noise and without the branches in `low`.
 
-    Where there is an article, or else a main element, outside of noise, its text alone.
+    Where articles, or else main elements, outside of noise have at least SHARE of that text, theirs alone.
     """
     whole: list[str] = []
     chosen: dict[str, list[str]] = {"article": [], "main": []}
@@ -177,19 +180,18 @@ def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
     def flush() -> None:
         text = " ".join(html.unescape("".join(block)).split())
         block.clear()
-        if text:
+        if text and not lows:
             for tag, out in chosen.items():
                 if depth[tag]:
                     out.append(text)
-            if not lows:
-                whole.append(text)
+            whole.append(text)
 
     for kind, x in walk(page):
         if kind == "text":
             if not noisy:
                 block.append(x)
             continue
-        if x.tag in BLOCK or x.noise:
+        if x.tag in BLOCK or x.noise or x.path in low:
             flush()
         elif x.tag == "br" and kind == "open" and not noisy:
             block.append(" ")
@@ -204,7 +206,7 @@ def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
             seen[x.tag] |= not noisy
     flush()
     for tag in ("article", "main"):
-        if seen[tag] and chosen[tag]:
+        if seen[tag] and chosen[tag] and sum(map(len, chosen[tag])) >= SHARE * sum(map(len, whole)):
             return "\n".join(chosen[tag])
     return "\n".join(whole)
 
