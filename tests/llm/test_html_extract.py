@@ -18,3 +18,15 @@ def test_tree_decides_inside_articles(spark):
 def test_small_articles_are_not_the_page(spark):
     pages = [f'<body><div class="story"><p>{f"long story {i} " * 20}</p></div><article><p>card {i}</p></article></body>' for i in range(20)]
     assert "long story 3" in extracted(spark, pages)[3]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar"><p>story</p></body>', '<body class="single-post comment-open"><p>story</p></body>', '<html class="sidebar"><body><p>story</p></body></html>', '<div class="layout no-sidebar"><p>story</p></div>',
+        '<article class="post related-science"><p>story</p></article>', '<div class="sidebar-content-wrap"><p>story</p></div>', '<div class="widget"><main><p>story</p></main></div>', '<div class="notice"><p>story</p></div>',
+        '<p>story</p><div class="site-footer">f</div><div class="cookie-notice">ok?</div><div id="comments">me too, and so on</div>', '<article>story</article><div class="sidebar"><article>card</article></div>',
+    ],
+)
+def test_names_do_not_condemn_what_holds_the_main_text(page):
+    assert html_extract.main_text(page) == "story"

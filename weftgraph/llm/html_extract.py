@@ -44,6 +44,11 @@ NOISE_WORDS = frozenset(
     "discussion disqus disclaimer footer gdpr hidden masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup "
     "promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: What may stand beside such a word in one name (site-footer), unlike other words (has-sidebar, related-science).
+PLACE_WORDS = frozenset(
+    "area article articles bar block body bottom box container content entry first global group header inner item items last left list main outer page panel post posts primary right secondary section "
+    "site top wrap wrapper".split()
+)
 MAIN_TAGS = frozenset(["article", "main"])
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
@@ -56,10 +61,10 @@ _WORD = re.compile(r"[A-Za-z]+")
 
 
 class _Element:
-    __slots__ = ("children", "noise", "path", "tag", "text")
+    __slots__ = ("children", "noise", "path", "tag", "text", "worded")
 
-    def __init__(self, tag: str, path: int, noise: bool) -> None:
-        self.tag, self.path, self.noise = tag, path, noise
+    def __init__(self, tag: str, path: int, noise: bool, worded: int) -> None:
+        self.tag, self.path, self.noise, self.worded = tag, path, noise or worded > 0, worded
         self.children: list[str] = []
         self.text: list[str] = []
 
@@ -68,18 +73,27 @@ def _hash(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-_paths: dict[tuple[int, str], tuple[int, bool]] = {}
+_paths: dict[tuple[int, str], tuple[int, bool, int]] = {}
+
+
+def _worded(mark: str) -> int:
+    """2 if a class, id or role is a word for noise, 1 if it is made of such words and places, else 0."""
+    words = [w.lower() for w in _WORD.findall(mark)]
+    if not any(w in NOISE_WORDS for w in words) or not all(w in NOISE_WORDS or w in PLACE_WORDS for w in words):
+        return 0
+    return 2 if len(words) == 1 else 1
 
 
-def _node(parent: int, tag: str, markup: str) -> tuple[int, bool]:
-    """Path of a node, and whether HTML marks it as no main text."""
+def _node(parent: int, tag: str, markup: str) -> tuple[int, bool, int]:
+    """Path of a node, whether HTML marks it as no main text, and whether only its names do."""
     key = (parent, markup if len(markup) < 200 else _style(tag, markup))
     if key not in _paths:
         if len(_paths) > 50_000:
             _paths.clear()
         style = _style(tag, markup)
-        words = {w.lower() for m in style.split(" ")[1:] for w in _WORD.findall(m)}
-        _paths[key] = _hash(f"{parent} {style}"), tag in NOISE_TAGS or bool(words & NOISE_WORDS) or bool(_HIDDEN.search(markup))
+        noise = tag in NOISE_TAGS or bool(_HIDDEN.search(markup))
+        names = [] if noise or tag in MAIN_TAGS or tag in ("html", "body") else style.split(" ")[1:]
+        _paths[key] = _hash(f"{parent} {style}"), noise, max(map(_worded, names), default=0)
     return _paths[key]
 
 
@@ -90,7 +104,7 @@ def _style(tag: str, markup: str) -> str:
 
 def walk(page: str) -> Iterator[tuple[str, object]]:
     """Events of a page: ("open", element), ("text", string), ("close", element), with end tags filled in."""
-    stack = [_Element("", 0, False)]
+    stack = [_Element("", 0, False, 0)]
 
     def leave(depth: int) -> Iterator[tuple[str, object]]:
         while len(stack) > depth:
@@ -130,8 +144,7 @@ def walk(page: str) -> Iterator[tuple[str, object]]:
                 if stack[i].tag in _CLOSES[tag]:
                     yield from leave(i)
                     break
-        path, noise = _node(stack[-1].path, tag, markup)
-        element = _Element(tag, path, noise)
+        element = _Element(tag, *_node(stack[-1].path, tag, markup))
         children = stack[-1].children
         if not children or children[-1] != tag:
             children.append(tag)
@@ -143,11 +156,49 @@ def walk(page: str) -> Iterator[tuple[str, object]]:
     yield from leave(1)
 
 
+def settled(page: str) -> list[tuple[str, object]]:
+    """The events of a page, in which names alone make no noise of what holds the main text.
+
+    That is an element with all text of articles and main elements, and where there are
+    none, one with more than half of all text, if its name is no single word for noise.
+    If noise by name leaves no text at all, it is ignored.
+    """
+    events = list(walk(page))
+    if not any(kind == "open" and x.worded for kind, x in events):
+        return events
+    size = marked = kept = inside = named = mains = 0
+    open_at: list[tuple[int, int]] = []
+    held: list[tuple[_Element, int, int]] = []
+    for kind, x in events:
+        if kind == "text":
+            if not inside:
+                n = len("".join(x.split()))
+                size += n
+                marked += n if mains else 0
+                kept += 0 if named else n
+            continue
+        step = 1 if kind == "open" else -1
+        inside += step * (x.noise and not x.worded)
+        named += step * (x.worded > 0)
+        if kind == "open":
+            open_at.append((size, marked))
+            mains += x.tag in MAIN_TAGS
+        else:
+            mains -= x.tag in MAIN_TAGS
+            before = open_at.pop()
+            if x.worded:
+                held.append((x, size - before[0], 0 if mains else marked - before[1]))
+    for x, n, main in held:
+        if not kept and n or (main == marked if marked else x.worded == 1 and 2 * n > size):
+            x.noise = False
+    return events
+
+
 def style_counts(page: str) -> Iterator[tuple[int, int, int]]:
     """(path, kind, value) for each node of a page: kind 0 a presentation style, 1 a content."""
     open_nodes: list[_Element] = []
     inside = 0
-    for kind, x in walk(page):
+    for kind, x in settled(page):
         if kind == "text":
             if open_nodes and not inside:
                 open_nodes[-1].text.append(x)
@@ -186,7 +237,7 @@ def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
                     out.append(text)
             whole.append(text)
 
-    for kind, x in walk(page):
+    for kind, x in settled(page):
         if kind == "text":
             if not noisy:
                 block.append(x)
