@@ -30,3 +30,9 @@ def test_small_articles_are_not_the_page(spark):
 )
 def test_names_do_not_condemn_what_holds_the_main_text(page):
     assert html_extract.main_text(page) == "story"
+
+
+def test_copies_of_a_page_do_not_hide_the_others(spark):
+    body = lambda i: f'<body><div class="top">Acme News</div><div class="body"><p>story {i} {i * 7} text</p></div></body>'
+    got = extracted(spark, [body(i if i < 30 else 5) for i in range(100)])
+    assert got[3] == "story 3 21 text" and got[99] == got[5] == "story 5 35 text"

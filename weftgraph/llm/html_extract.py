@@ -285,11 +285,14 @@ def _pairs(path: str = "html"):
 def site_style_trees(pages: DataFrame) -> DataFrame:
     """pages(host, html) to (host, path, seen, importance): the merged tree of every host.
 
+    Equal pages of a host are one page, so that many copies of one do not make its main
+    text look the same on every page.
     Importance is the larger of the entropies of a node's presentations and contents, each
     by the logarithm of how often the node was seen, from 0 to 1. Counts are summed in the
     map tasks first, so that a host with a third of the pages is no large group.
     """
-    counts = pages.mapInArrow(_pairs(), "host string, path long, kind int, value long, n long")
+    distinct = pages.where("html is not null").withColumn("digest", F.sha2(F.col("html"), 256)).dropDuplicates(["host", "digest"])
+    counts = distinct.select("host", "html").mapInArrow(_pairs(), "host string, path long, kind int, value long, n long")
     values = counts.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     kinds = values.groupBy("host", "path", "kind").agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.log("n")).alias("s"))
     share = F.when(F.col("seen") > 1, (F.log("seen") - F.col("s") / F.col("seen")) / F.log("seen")).otherwise(1.0)
