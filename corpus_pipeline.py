@@ -31,8 +31,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id stays."""
-    dropped = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """Of each component of near duplicates, of a similarity of 0.8 or more, the document with the smallest doc_id stays."""
+    dropped = near_dedup.near_duplicates(docs, numerator=80).where("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 

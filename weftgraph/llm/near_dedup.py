@@ -5,6 +5,8 @@ sketch. Runs of three neighbouring values among the INDEXED smallest are the key
 inverted lists: of two sets with a Jaccard similarity of 0.85, each value of the union
 is common with probability 0.85, so the chance that no run of three among the 32
 smallest is common is below 4e-7 (for sets smaller than that, some run always is).
+For a lower threshold more values are indexed, so that the chance is no larger, and
+sets that small have runs of two as keys as well (see `indexing`).
 
 1. In each list every member is tried against the most central one, the member that
    meets the most others over all lists.
@@ -39,9 +41,32 @@ SLACK = 5.0
 _PACK = 4096
 
 
-def _keys(values: np.ndarray) -> np.ndarray:
-    v = values[:INDEXED]
-    return np.unique(mix(v[:-2] * np.uint64(3) + mix(v[1:-1] * np.uint64(5) + mix(v[2:].copy())))) if len(v) > 2 else v[:0]
+def _missed(values: int, share: float) -> float:
+    """The chance of no run of three among values that are common with probability share each."""
+    state = [1.0, 0.0, 0.0]
+    for _ in range(values):
+        state = [sum(state) * (1 - share), state[0] * share, state[1] * share]
+    return sum(state)
+
+
+def indexing(numerator: int, denominator: int) -> tuple[int, int]:
+    """How many values are indexed, and the size up to which a set may have no common run of three.
+
+    In a union of n values with at most m not common, a run of three is certain if n > 3 m + 2.
+    """
+    indexed = INDEXED
+    while indexed < SKETCH and _missed(indexed, numerator / denominator) > _missed(INDEXED, 0.85):
+        indexed += 1
+    spare = [n for n in range(indexed) if 0 < 3 * ((denominator - numerator) * n // denominator) >= n - 2]
+    return indexed, max(spare, default=0)
+
+
+def _keys(values: np.ndarray, indexed: int = INDEXED, short: int = 0) -> np.ndarray:
+    v = values[:indexed]
+    keys = [mix(v[:-2] * np.uint64(3) + mix(v[1:-1] * np.uint64(5) + mix(v[2:].copy())))] if len(v) > 2 else [v[:0]]
+    if 1 < len(values) <= short:
+        keys.append(mix(v[:-1] * np.uint64(7) + mix(v[1:].copy())))
+    return np.unique(np.concatenate(keys))
 
 
 def _long(values: np.ndarray) -> np.ndarray:
@@ -53,7 +78,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
 
 
-def _profile(words: int):
+def _profile(words: int, indexed: int, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             sets = shingle_sets(*column_bytes(batch.column(1)), n=words)
@@ -62,7 +87,7 @@ def _profile(words: int):
                     batch.column(0),
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
-                    _lists([_long(_keys(x)) for x in sets]),
+                    _lists([_long(_keys(x, indexed, short)) for x in sets]),
                 ],
                 names=["id", "n", "digest", "keys"],
             )
@@ -216,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked with each other. Other columns of docs are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profile = stored(rows.mapInArrow(_profile(words), "id long, n long, digest binary, keys array<long>"), "profiles")
+    profile = stored(rows.mapInArrow(_profile(words, *indexing(numerator, denominator)), "id long, n long, digest binary, keys array<long>"), "profiles")
     known = profile.where("id is not null and digest is not null")
     copies = stored(known.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("rows"), F.first("keys").alias("keys")), "copies")
     postings = copies.select(F.col("first").alias("id"), F.explode("keys").alias("key")).distinct()
