@@ -22,7 +22,7 @@ NODE = T.StructType([
     *(T.StructField(n, _STRING) for n in ("node_id", "parent_id", "role", "name", "kind", "type", "ref", "format", "description", "pattern", "min_length", "max_length")),
     *(T.StructField(n, _STRING) for n in ("minimum", "minimum_dt", "maximum", "maximum_dt", "min_items", "max_items", "item_type", "item_ref", "carrier", "shape", "parent_shape", "default_on", "list_on", "list_predicate", "own_kind", "owl_owner")),
     *(T.StructField(n, _BOOL) for n in ("required", "has_items", "target", "path", "list_path", "max_one", "vocabulary", "describe", "kept", "read_only", "write_only", "nullable", "deprecated", "discriminator")),
-    T.StructField("enum", _TERM), T.StructField("members", T.ArrayType(_STRING)), T.StructField("combinators", T.ArrayType(_STRING)), T.StructField("error", _STRING),
+    T.StructField("enum", _TERM), T.StructField("members", T.ArrayType(_STRING)), T.StructField("combinators", T.ArrayType(_STRING)), T.StructField("one_of", T.ArrayType(_STRING)), T.StructField("error", _STRING),
 ])
 COMBINATORS = ("anyOf", "oneOf", "allOf")
 PRIMITIVES = ("string", "integer", "number", "boolean")
@@ -80,6 +80,7 @@ class Walk:
             "required": False, "target": False, "path": False, "list_path": False, "max_one": False, "vocabulary": False, "describe": False, "kept": True,
             "read_only": bool(s.get("readOnly")), "write_only": bool(s.get("writeOnly")), "nullable": bool(s.get("nullable")), "deprecated": bool(s.get("deprecated")), "discriminator": "discriminator" in s,
             "enum": [term(v) for v in s["enum"]] if isinstance(s.get("enum"), list) else None, "combinators": [c for c in ("allOf", "anyOf", "oneOf") if c in s],
+            "one_of": [str(b["$ref"]) for b in s["oneOf"] if isinstance(b, dict) and "$ref" in b] if isinstance(s.get("oneOf"), list) else None,
         }
         for bound in ("minimum", "maximum"):
             if s.get(bound) is not None:

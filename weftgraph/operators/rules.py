@@ -171,6 +171,7 @@ def owl_triples(nodes: DataFrame, base: str = PREFIX) -> DataFrame:
     ranged = F.coalesce(target, F.when(inline, me), F.when(c("kind") == "array", owl_datatype(c("item_type"))), F.when(c("kind").isin("integer", "number", "boolean"), owl_datatype(c("kind"))), F.lit(XSD + "string"))
     is_object = F.when(target.isNotNull(), is_object_uri_owl(target)).otherwise(inline)
     many = c("kind") == "array"
+    options = F.filter(F.transform("one_of", lambda x: resolve_ref_owl(x, main, base)), lambda x: x.isNotNull())
     kind = F.when(is_object, F.lit(OWL + "ObjectProperty")).otherwise(F.lit(OWL + "DatatypeProperty"))
     singles = [
         o(a_class | enum | union, me, RDF + "type", OWL + "Class"),
@@ -178,7 +179,7 @@ def owl_triples(nodes: DataFrame, base: str = PREFIX) -> DataFrame:
         o(a_class & c("description").isNotNull(), me, RDFS + "comment", c("description"), "literal"),
         o(enum, me, RDFS + "comment", F.concat(F.lit("Enumeration of "), label, F.lit(" values.")), "literal"),
         o(union, me, RDFS + "comment", F.concat(F.lit("Represents a resource that can be one of several types related to "), label, F.lit(".")), "literal"),
-        o(enum, me, OWL + "oneOf", F.concat(F.lit("_:"), c("node_id"), F.lit("/owl/cell0")), "bnode"),
+        o(enum | (union & (F.size(options) > 0)), me, OWL + "oneOf", F.concat(F.lit("_:"), c("node_id"), F.lit("/owl/cell0")), "bnode"),
         o(own, me, RDF + "type", kind),
         o(own, me, RDFS + "domain", uri(c("owl_owner"))),
         o(own, me, RDFS + "range", ranged),
@@ -197,7 +198,8 @@ def owl_triples(nodes: DataFrame, base: str = PREFIX) -> DataFrame:
         )
 
     cells = F.when(enum, _cells("owl", F.concat(c("node_id"), F.lit("/owl")), c("enum"), lambda x: (value(x), F.lit("iri"), F.lit(None).cast("string"))))
-    return _exploded(nodes, singles, [F.when(enum, F.flatten(F.transform("enum", individual))), cells])
+    members = F.when(union, _cells("owl", F.concat(c("node_id"), F.lit("/owl")), options, lambda x: (x, F.lit("iri"), F.lit(None).cast("string"))))
+    return _exploded(nodes, singles, [F.when(enum, F.flatten(F.transform("enum", individual))), cells, members])
 
 
 def owl_header(headers: DataFrame, base: str = PREFIX) -> DataFrame:

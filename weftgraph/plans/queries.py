@@ -226,6 +226,14 @@ def owl_cardinality(spark, sf_dir):
     return _owl(spark, sf_dir).where(F.col("p") == N.OWL + "minCardinality").select("doc", "s")
 
 
+@_register(f"""{_BASE}, u AS (SELECT *, row_number() OVER (PARTITION BY schema_id ORDER BY ordinal) - 1 AS n FROM k WHERE parent_kind = 'oneOf' AND kind = 'ref' AND ordinal <> 7)
+  SELECT doc, concat('_:', parent, '/owl/cell', n) AS s, CASE WHEN starts_with(ref, '#/') THEN concat({_OWLNS}, {_fmt(_LASTREF)}) ELSE concat('{P}', split_part(ref, '.yaml#', 1), '#', {_fmt(_LASTREF)}) END AS o FROM u
+  UNION ALL SELECT doc, concat({_OWLNS}, {_fmt('schema')}), concat('_:', parent, '/owl/cell0') FROM u WHERE n = 0""")
+def owl_oneof(spark, sf_dir):
+    """The lists of unions: each class with its first cell, each cell with its member."""
+    return _owl(spark, sf_dir).where(F.col("p").isin(N.OWL + "oneOf", N.RDF + "first")).select("doc", "s", "o")
+
+
 @_register()
 def owl_enum(spark, sf_dir):
     """Priorities of orders as one enumeration class."""
