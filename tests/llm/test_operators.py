@@ -119,7 +119,7 @@ def test_suffix_order_is_a_sort():
     data = rng.integers(97, 99, 900).astype(np.uint8)
     data[500:700] = data[:200]
     starts = np.arange(850)
-    order = suffix_dedup.suffix_order(data, suffix_dedup.prefix_hashes(data), starts, 50)
+    order = suffix_dedup.suffix_order(data, suffix_dedup.extensions(data, starts, 50), starts)
     assert order.tolist() == sorted(range(850), key=lambda i: (data[i : i + 50].tobytes(), i))
 
 

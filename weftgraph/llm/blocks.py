@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
+#: What a row counts besides its text, so that many empty texts make many blocks.
+_ROW = 64
 
 
 def blocked(rows: DataFrame) -> tuple[DataFrame, int]:
     """rows(id, text, ...) with a block number, and the number of blocks."""
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = rows.agg(F.sum(F.octet_length("text") + F.lit(_ROW))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
     return rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")), n
 

@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .blocks import blocked, release
 from .storage import stored
-from .suffix_dedup import _columns
 from .textkernels import column_bytes, mix, pieces, word_hashes, words
 
 #: Tokens that are classes of their own, and how often a token of a group must occur for a vector.

@@ -5,13 +5,17 @@ substrings, wherever it stands, so equal strings meet under one hash, and neighb
 strings of a text that share theirs travel as one segment.
 
 1. Blocks send their distinct smallest hashes; those met in two documents come back.
-2. Blocks send their distinct segments under such hashes, with the smallest document that
-   has each. Equal segments are united; where one hash still has several segments, the
-   suffixes of all of them are sorted. Prefix polynomial hashes and binary search find
+2. Blocks send their distinct segments under such hashes, with the smallest and largest
+   document that has each. Under a hash the suffixes behind its substring, and the
+   reversed ones before it, are sorted. Prefix polynomial hashes and binary search find
    the common extension of two suffixes, so that a comparison takes a logarithmic number
-   of steps; merges compare whole runs at once. Neighbours that agree over LENGTH bytes are
-   verified on the bytes and form a class, and its smallest document goes back.
-3. A string is removed in every document with a number above that of its class.
+   of steps; merges compare whole runs at once. The extensions common to neighbours of
+   both orders, verified on the bytes, tell which strings are equal, in equal segments
+   as in others, and the smallest document of each goes back.
+3. A string is removed in every document with a number above that one.
+
+A hash with more than HOT segments, whose group would be too large for a task, is dealt
+anew by its strings: a grouped minimum, combined before the shuffle, that is exact too.
 """
 
 from __future__ import annotations
@@ -32,85 +36,118 @@ LENGTH = 50
 GRAM = 24
 #: Strings of one segment at most; longer runs under one hash, as in periodic texts, are cut.
 RUN = 256
+#: Segments of one hash that are sorted in one task.
+HOT = 1 << 15
+#: Bytes of segments sorted at once (or one hash's), and hashes looked through at once.
+SORTED, MET = 2 << 20, 1 << 20
 _MARK = np.uint64(16)
+_COUNT = 14
+_SALTS = 16
+
 
+def extensions(data: np.ndarray, starts: np.ndarray, limit: int) -> np.ndarray:
+    """Prefix polynomial hashes of the first 0 to limit bytes of every suffix, a row each."""
+    prefix = prefix_hashes(data)
+    _, inverse = powers(len(prefix))
+    out = prefix[starts[:, None] + np.arange(limit + 1)]
+    out -= out[:, :1].copy()
+    out *= inverse[starts][:, None]
+    return out
 
-def common_extension(prefix: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """Length, up to limit, over which the suffixes at a and b agree, by binary search on hashes."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), limit, np.int64)
-    for _ in range(int(limit).bit_length()):
+
+def common_extension(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length over which the suffixes numbered a and b agree, by binary search on their prefix hashes."""
+    width = hashes.shape[1]
+    flat, a, b = hashes.ravel(), a * width, b * width
+    low, high = np.zeros(len(a), np.int64), np.full(len(a), width - 1, np.int64)
+    for _ in range(int(width - 1).bit_length()):
         middle = (low + high + 1) >> 1
-        same = (prefix[a + middle] - prefix[a]) * inverse[a] == (prefix[b + middle] - prefix[b]) * inverse[b]
+        same = flat[a + middle] == flat[b + middle]
         low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
     return low
 
 
-def suffix_order(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, limit: int) -> np.ndarray:
-    """Order of the suffixes at starts by their first limit bytes (at least 8): a stable merge sort.
+def suffix_order(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Order of the suffixes at starts, group by group, by the bytes (at least 8) that have hashes: a stable merge sort.
 
-    Runs begin as groups that share eight bytes; in each, halves are merged, the place of
-    every element in the other half being found by comparisons through common extensions.
+    Runs begin as those that share group and eight bytes; in each, halves are merged, the
+    place of every element in the other half being found by comparisons through common
+    extensions.
     """
-    _, inverse = powers(len(prefix))
+    limit = hashes.shape[1] - 1
     key = np.zeros(len(starts), np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | data[starts + j].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable") if group is None else np.lexsort((key, group))
     key = key[order]
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    same = key[1:] == key[:-1]
+    if group is not None:
+        same &= group[order][1:] == group[order][:-1]
+    new = np.flatnonzero(np.concatenate([[True], ~same])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([new, [len(key)]]))
     many = size > 1
-    group, size = new[many], size[many]
+    first, size = new[many], size[many]
     width = 1
-    while len(group):
-        base, length = np.repeat(group, size), np.repeat(size, size)
+    while len(first):
+        base, length = np.repeat(first, size), np.repeat(size, size)
         local = np.arange(len(base)) - np.repeat(np.cumsum(size) - size, size)
         run = local // width
         other = (run ^ 1) * width
         count = np.clip(length - other, 0, width)
         right = (run & 1).astype(bool)
-        own = starts[order[base + local]]
+        own = order[base + local]
         low, high = np.zeros(len(base), np.int64), count.copy()
         open_ = np.flatnonzero(low < high)
         while len(open_):
             middle = (low[open_] + high[open_]) >> 1
-            there = starts[order[base[open_] + other[open_] + middle]]
+            there = order[base[open_] + other[open_] + middle]
             x = own[open_]
-            same = common_extension(prefix, inverse, there, x, limit)
+            same = common_extension(hashes, there, x)
             past = np.minimum(same, limit - 1)
-            p, q = data[there + past], data[x + past]
+            p, q = data[starts[there] + past], data[starts[x] + past]
             before = np.where(same == limit, right[open_], p < q)  # equal: the left half stays first
             low[open_] = np.where(before, middle + 1, low[open_])
             high[open_] = np.where(before, high[open_], middle)
             open_ = open_[low[open_] < high[open_]]
         place = base + (run >> 1) * (2 * width) + local - run * width + low
-        moved = order[base + local]
-        order[place] = moved
+        order[place] = own
         width *= 2
         keep = size > width
-        group, size = group[keep], size[keep]
+        first, size = first[keep], size[keep]
     return order
 
 
-def equal_classes(data: np.ndarray, starts: np.ndarray, limit: int) -> np.ndarray:
-    """A class number for each string data[start : start + limit], equal for equal strings."""
-    prefix = prefix_hashes(data)
-    order = suffix_order(data, prefix, starts, limit)
-    a, b = starts[order[:-1]], starts[order[1:]]
-    _, inverse = powers(len(prefix))
-    same = common_extension(prefix, inverse, a, b, limit) == limit
-    verified = same.copy()
-    at = np.flatnonzero(same)
+def sorted_suffixes(data: np.ndarray, starts: np.ndarray, limit: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes, and what each has in common with the one before: up to limit, -1 with another group.
+
+    Every neighbour is verified: the bytes in common are equal and the next are in order,
+    which proves the whole order. If hashes ever deceived, the bytes are sorted instead.
+    """
+    hashes = extensions(data, starts, limit)
+    order = suffix_order(data, hashes, starts, group)
+    common = np.full(len(order), -1, np.int64)
+    at = np.flatnonzero(group[order][1:] == group[order][:-1]) + 1
+    common[at] = common_extension(hashes, order[at - 1], order[at])
+    span = np.arange(limit)
     for i in range(0, len(at), 1 << 16):
         part = at[i : i + (1 << 16)]
-        span = np.arange(limit)
-        verified[part] = (data[a[part, None] + span] == data[b[part, None] + span]).all(axis=1)
-    out = np.empty(len(starts), np.int64)
-    if (verified != same).any():  # two strings share all hashes: sort the bytes themselves
-        _, out = np.unique(data[starts[:, None] + np.arange(limit)].view(f"V{limit}").ravel(), return_inverse=True)
-        return out
-    out[order] = np.concatenate([[0], np.cumsum(~same)]) if len(starts) else 0
-    return out
+        p, q = data[starts[order[part - 1], None] + span], data[starts[order[part], None] + span]
+        differ = p != q
+        where = np.where(differ.any(axis=1), differ.argmax(axis=1), limit)
+        edge = np.minimum(where, limit - 1)
+        row = np.arange(len(part))
+        if not ((where == common[part]) & ((where == limit) | (p[row, edge] < q[row, edge]))).all():
+            return _by_bytes(data, starts, limit, group)
+    return order, common
+
+
+def _by_bytes(data: np.ndarray, starts: np.ndarray, limit: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows = data[starts[:, None] + np.arange(limit)]
+    order = np.lexsort((*rows.T[::-1], group))
+    differ = rows[order][1:] != rows[order][:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), limit)
+    common[group[order][1:] != group[order][:-1]] = -1
+    return order, np.concatenate([[-1], common])
 
 
 class Segments:
@@ -215,6 +252,7 @@ def _copy_key(number: int, digest: bytes) -> int:
 
 
 def _smallest(key: tuple, docs: pa.Table, sent: pa.Table) -> pa.Table:
+    """Each smallest hash of a block once, with how many segments have it and, as the last bit, whether two documents have."""
     if not docs.num_rows:
         return pa.table({"h": pa.array([], pa.int64()), "block": pa.array([], pa.int32())})
     _, data, offsets, _ = _sent(docs, sent)
@@ -224,117 +262,181 @@ def _smallest(key: tuple, docs: pa.Table, sent: pa.Table) -> pa.Table:
     new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     lo, hi = (f.reduceat(doc, first) if len(first) else first for f in (np.minimum, np.maximum))
-    out = (h[first].astype(np.int64) << 1) | (lo != hi)
+    count = np.minimum(np.diff(np.concatenate([first, [len(h)]])), (1 << _COUNT) - 1)
+    out = (((h[first].astype(np.int64) << _COUNT) | count) << 1) | (lo != hi)
     return pa.table({"h": pa.array(out, pa.int64()), "block": pa.array(np.full(len(out), key[0].as_py()), pa.int32())})
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    held = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(held) if held else None
-
+def _whole_keys(batches: Iterator[pa.RecordBatch], column: str, enough) -> Iterator[pa.Table]:
+    """Rows sorted by a key, in tables that hold every row of their keys and are closed once enough(table) says so."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if enough(rows, size):
+            table = pa.Table.from_batches(held)
+            keys = table.column(column).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield table.slice(0, cut)
+                rest = table.slice(cut).combine_chunks()
+                held = rest.to_batches()
+                rows, size = rest.num_rows, rest.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _repeated(hot: int):
+    """Of hashes in order, those that two documents have, to the blocks that have them: kind 1, or 3 with more than hot segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_keys(batches, "plain", lambda rows, size: rows >= MET):
+            h, plain, block = (table.column(c).to_numpy() for c in ("h", "plain", "block"))
+            first = np.flatnonzero(np.concatenate([[True], plain[1:] != plain[:-1]]))
+            size = np.diff(np.concatenate([first, [len(h)]]))
+            met = (size > 1) | (np.maximum.reduceat(h & 1, first) > 0)
+            count = (h >> 1) & ((1 << _COUNT) - 1)
+            many = (np.add.reduceat(count, first) > hot) | (np.maximum.reduceat(count, first) == (1 << _COUNT) - 1)
+            for kind, chosen in ((1, met & ~many), (3, met & many)):
+                if chosen.any():
+                    keep = np.repeat(chosen, size)
+                    yield _answers(block[keep], plain[keep], kind)
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = _columns(batches)
-    if table is None:
-        return
-    h, block = table.column("h").to_numpy(), table.column("block").to_numpy()
-    order = np.argsort(h, kind="stable")
-    h, block = h[order], block[order]
-    plain = h >> 1
-    first = np.flatnonzero(np.concatenate([[True], plain[1:] != plain[:-1]]))
-    size = np.diff(np.concatenate([first, [len(h)]]))
-    met = (size > 1) | (np.maximum.reduceat(h & 1, first) > 0)
-    keep = np.repeat(met, size)
-    yield _answers(block[keep], plain[keep], 1)
+    return run
 
 
-def _known(s: Segments, answers: dict[int, np.ndarray]) -> np.ndarray:
-    marks = np.unique(answers.get(1, np.zeros(0, np.int64)))
+def _known(s: Segments, answers: dict[int, np.ndarray], kinds: tuple[int, ...] = (1, 3)) -> np.ndarray:
+    marks = np.unique(np.concatenate([answers.get(k, np.zeros(0, np.int64)) for k in kinds]))
     if not len(marks):
         return np.zeros(0, np.int64)
     h = (s.hash >> _MARK).astype(np.int64)
     return np.flatnonzero(marks[np.minimum(np.searchsorted(marks, h), len(marks) - 1)] == h)
 
 
-def _segments(key: tuple, docs: pa.Table, sent: pa.Table) -> pa.Table:
-    names = ["h", "segment", "lo", "hi", "block", "number"]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    if not docs.num_rows or not sent.num_rows:
-        return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
-    ids, data, offsets, answers = _sent(docs, sent)
-    s = Segments(data, offsets)
-    h, first, count, doc, number = s.chosen(_known(s, answers))
-    order = np.argsort(number, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], number[order][1:] != number[order][:-1]])) if len(order) else order
-    who = ids[doc[order]]
-    lo, hi = (f.reduceat(who, at) if len(at) else who for f in (np.minimum, np.maximum))
-    one = order[at]
-    body, ends = gathered(data, first[one], count[one] + LENGTH - 1)
-    segment = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
-    values = [pa.array(h[one].view(np.int64)), segment, pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(np.full(len(one), key[0].as_py()), pa.int32()), pa.array(number[one], pa.int64())]
-    return pa.table(dict(zip(names, values, strict=True)))
+def _binaries(body: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
 
 
-def least_documents(h: np.ndarray, data: np.ndarray, offsets: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For segments: runs (segment, first string, stop, smallest document) over all of each one's strings."""
-    length = np.diff(offsets)
+def _segments(hot: bool):
+    """A block's distinct segments; with hot, the strings of those under hot hashes, `at` being the place in the segment."""
+
+    def run(key: tuple, docs: pa.Table, sent: pa.Table) -> pa.Table:
+        names = ["h", "segment", "lo", "hi", "block", "number", "at"]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        if not docs.num_rows or not sent.num_rows:
+            return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
+        ids, data, offsets, answers = _sent(docs, sent)
+        s = Segments(data, offsets)
+        h, first, count, doc, number = s.chosen(_known(s, answers))
+        order = np.argsort(number, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], number[order][1:] != number[order][:-1]])) if len(order) else order
+        who = ids[doc[order]]
+        lo, hi = (f.reduceat(who, at) if len(at) else who for f in (np.minimum, np.maximum))
+        one = order[at]
+        mark, heads = (h[one] >> _MARK).astype(np.int64), np.unique(answers.get(3, np.zeros(0, np.int64)))
+        use = np.isin(mark, heads) == hot
+        one, lo, hi = one[use], lo[use], hi[use]
+        start, length, place = first[one], count[one] + LENGTH - 1, np.zeros(len(one), np.int64)
+        if hot:
+            row = np.repeat(np.arange(len(one)), count[one])
+            place = np.arange(len(row)) - np.repeat(np.cumsum(count[one]) - count[one], count[one])
+            start, length, lo, hi, one = start[row] + place, np.full(len(row), LENGTH), lo[row], hi[row], one[row]
+        segment = _binaries(*gathered(data, start, length))
+        values = [pa.array(h[one].view(np.int64)), segment, pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(np.full(len(one), key[0].as_py()), pa.int32()), pa.array(number[one], pa.int64()), pa.array(place, pa.int64())]
+        return pa.table(dict(zip(names, values, strict=True)))
+
+    return run
+
+
+def anchors(h: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the substring with the hash of a segment stands: (segment, place, first, last string it is the leftmost one in)."""
     prefix = prefix_hashes(data)
     _, inverse = powers(len(prefix))
-    whole = (prefix[offsets[1:]] - prefix[offsets[:-1]]) * inverse[offsets[:-1]]
-    order = np.lexsort((length, whole, h))
-    key = np.stack([h.view(np.uint64), whole, length.astype(np.uint64)])[:, order]
-    new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])
-    # Equal hashes are verified on the bytes: a segment that differs from the first of its class is one by itself.
-    at = np.flatnonzero(new)
-    head = order[np.repeat(at, np.diff(np.concatenate([at, [len(order)]])))]
-    p, ends = gathered(data, offsets[order], length[order])
-    q, _ = gathered(data, offsets[head], length[order])
-    new |= np.add.reduceat((p != q).astype(np.int64), ends[:-1]) > 0
-    del p, q
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    one = order[np.flatnonzero(new)]
-    least = np.minimum.reduceat(lo[order], np.flatnonzero(new))
-    several = np.bincount(np.unique(h[one], return_inverse=True)[1])[np.unique(h[one], return_inverse=True)[1]] > 1
-    count = length[one] - LENGTH + 1
-    run_of, run_a, run_b, run_lo = [np.flatnonzero(~several)], [np.zeros((~several).sum(), np.int64)], [count[~several]], [least[~several]]
-    active = np.flatnonzero(several)
-    if len(active):
-        body, ends = gathered(data, offsets[one[active]], length[one[active]])
-        owner = np.repeat(active, count[active])
-        string = np.arange(len(owner)) - np.repeat(np.cumsum(count[active]) - count[active], count[active])
-        starts = np.repeat(ends[:-1], count[active]) + string
-        cls = equal_classes(body, starts, LENGTH)
-        order2 = np.argsort(cls, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], cls[order2][1:] != cls[order2][:-1]]))
-        smallest = np.minimum.reduceat(least[owner[order2]], edge)
-        of_string = np.empty(len(owner), np.int64)
-        of_string[order2] = np.repeat(smallest, np.diff(np.concatenate([edge, [len(owner)]])))
-        cut = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (of_string[1:] != of_string[:-1])]))
-        stop = np.concatenate([cut[1:], [len(owner)]])
-        run_of.append(owner[cut])
-        run_a.append(string[cut])
-        run_b.append(string[stop - 1] + 1)
-        run_lo.append(of_string[cut])
-    cls, a, b, best = (np.concatenate(x) for x in (run_of, run_a, run_b, run_lo))
-    back = np.argsort(cls, kind="stable")
-    cls, a, b, best = cls[back], a[back], b[back], best[back]
-    first = np.searchsorted(cls, of)
-    runs = np.searchsorted(cls, of, side="right") - first
-    row = np.repeat(np.arange(len(of)), runs)
-    pick = np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(first, runs)
-    return row, a[pick], b[pick], best[pick]
+    owner = np.repeat(np.arange(len(h)), np.diff(offsets))
+    grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * inverse[: len(prefix) - GRAM])
+    place = np.flatnonzero(grams == h.view(np.uint64)[owner[: len(grams)]])
+    of = owner[place]
+    inside = place + GRAM <= offsets[of + 1]
+    place, of = place[inside], of[inside]
+    after = np.full(len(place), -1, np.int64)
+    if len(place):
+        after[1:] = np.where(of[1:] == of[:-1], place[:-1], -1)
+    first = np.maximum(np.maximum(after + 1, place - (LENGTH - GRAM)), offsets[of])
+    last = np.minimum(place, offsets[of + 1] - LENGTH)
+    some = first <= last
+    return of[some], place[some], first[some], last[some]
+
+
+def least_documents(h: np.ndarray, data: np.ndarray, offsets: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For segments in the order of their hashes: runs (segment, first string, stop, smallest document) over all of each one's strings.
+
+    A string is known by the place of its substring in it, by what stands before that and
+    by what stands behind. Equal strings are therefore neighbours, over as many bytes as
+    they have there, in the order of the suffixes behind and in that of the reversed ones before.
+    """
+    of, place, first, last = anchors(h, data, offsets)
+    n, wide = len(place), LENGTH - GRAM
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    padded = np.concatenate([data, np.zeros(LENGTH, np.uint8)])
+    _, group = np.unique(h[of], return_inverse=True)
+    inside = padded[place[:, None] + np.arange(GRAM)].view(f"V{GRAM}").ravel()
+    if (inside[1:] != inside[:-1])[group[1:] == group[:-1]].any():  # two substrings share a hash
+        _, group = np.unique(np.stack([group, np.unique(inside, return_inverse=True)[1]], axis=1), axis=0, return_inverse=True)
+    behind, common = sorted_suffixes(padded, place + GRAM, wide, group)
+    reverse = np.concatenate([data[::-1], np.zeros(LENGTH, np.uint8)])
+    before, shared = sorted_suffixes(reverse, len(data) - place, wide, group)
+    at_behind, at_before = np.empty(n, np.int64), np.empty(n, np.int64)
+    at_behind[behind], at_before[before] = np.arange(n), np.arange(n)
+    index = np.arange(n)
+    size = last - first + 1
+    ends = np.concatenate([[0], np.cumsum(size)])
+    best = np.empty(ends[-1], np.int64)
+    least = lo[of]
+    for k in range(wide + 1):  # strings in which the substring stands behind k bytes
+        rows = np.flatnonzero((place - last <= k) & (k <= place - first))
+        if not len(rows):
+            continue
+        left = np.maximum.accumulate(np.where(shared < k, index, 0))[at_before[rows]]
+        right = np.maximum.accumulate(np.where(common < wide - k, index, 0))[at_behind[rows]]
+        key = left * n + right
+        order = np.argsort(key)
+        key = key[order]
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        smallest = np.minimum.reduceat(least[rows[order]], edge)
+        out = np.empty(len(rows), np.int64)
+        out[order] = np.repeat(smallest, np.diff(np.concatenate([edge, [len(rows)]])))
+        best[ends[rows] + place[rows] - k - first[rows]] = out
+    row = np.repeat(of, size)
+    string = np.arange(ends[-1]) - np.repeat(ends[:-1] - first, size) - offsets[row]
+    cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (best[1:] != best[:-1])]))
+    stop = np.concatenate([cut[1:], [len(row)]])
+    return row[cut], string[cut], string[stop - 1] + 1, best[cut]
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = _columns(batches)
-    if table is None:
-        return
-    data, offsets = column_bytes(table.column("segment"))
-    row, a, b, best = least_documents(table.column("h").to_numpy(), data, offsets, table.column("lo").to_numpy())
-    use = best < table.column("hi").to_numpy()[row]
-    row, a, b, best = row[use], a[use], b[use], best[use]
-    yield _answers(table.column("block").to_numpy()[row], np.stack([table.column("number").to_numpy()[row], a, b, best], axis=1), 2)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for table in _whole_keys(batches, "h", lambda rows, size: size >= SORTED):
+        data, offsets = column_bytes(table.column("segment"))
+        row, a, b, best = least_documents(table.column("h").to_numpy(), data, offsets, table.column("lo").to_numpy())
+        use = best < table.column("hi").to_numpy()[row]
+        row, a, b, best = row[use], a[use], b[use], best[use]
+        held.append((table.column("block").to_numpy()[row], np.stack([table.column("number").to_numpy()[row], a, b, best], axis=1)))
+        if sum(len(x) for x, _ in held) >= MET:
+            yield _answers(*(np.concatenate(x) for x in zip(*held, strict=True)), 2)
+            held = []
+    if held:
+        yield _answers(*(np.concatenate(x) for x in zip(*held, strict=True)), 2)
+
+
+def _packed_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        number, at, best = (batch.column(c).to_numpy() for c in ("number", "at", "best"))
+        yield _answers(batch.column("block").to_numpy(), np.stack([number, at, at + 1, best], axis=1), 2)
 
 
 def _removed(spans: bool):
@@ -390,13 +492,14 @@ def _packed_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _answers(batch.column(0).to_numpy(), batch.column(1).to_numpy(), 0)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row for each row of docs.
 
     Removed is every byte covered by a LENGTH-byte string that also starts in a document
     with a smaller id; strings are judged on the whole input texts. n_spans counts the
     maximal removed runs, kept_sha256 is of the bytes that are left. With spans, a column
-    has the runs as start, stop, start, stop ... in bytes.
+    has the runs as start, stop, start, stop ... in bytes. hot is the number of segments
+    of one hash beyond which it is dealt by its strings; results do not depend on it.
 
     Null counts as empty. Texts under LENGTH bytes lose nothing. Rows without an id
     neither lose bytes nor take any from others. Rows that share an id do not take bytes
@@ -406,20 +509,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows, _ = blocked(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
     profile = stored(rows.select("id", "text", "block").mapInArrow(_digested, "id long, block int, n_bytes long, digest binary, own long"), "digests")
-    first = profile.where("id is not null").groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    copies = stored(profile.join(first.where("least < most"), "digest").where("id > least").select("id", "digest", "block", "own"), "copies")
+    known = profile.where("id is not null")
+    # A block asks for a text once, however many copies it holds, so that no text is a hot key.
+    asked = known.groupBy("block", "digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    first = asked.groupBy("digest").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most")
+    told = asked.join(first.select("digest", "least"), "digest").where("hi > least").select("block", "digest", "least")
+    copies = stored(known.join(told, ["block", "digest"]).where("id > least").select("id", "digest", "block", "own"), "copies")
     answer = "block int, kind int, found binary"
     sent0 = copies.select("block", "own").mapInArrow(_packed_copies, answer)
     texts = rows.where("id is not null").withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     by_block = lambda: texts.select("block", "id", "text", "digest").groupBy("block")
 
-    smallest = by_block().cogroup(sent0.groupBy("block")).applyInArrow(_smallest, "h long, block int")
-    met = stored(smallest.repartition(F.shiftright("h", 1)).mapInArrow(_repeated, answer), "repeated")
+    smallest = by_block().cogroup(sent0.groupBy("block")).applyInArrow(_smallest, "h long, block int").withColumn("plain", F.shiftright("h", _COUNT + 1))
+    met = stored(smallest.repartition("plain").sortWithinPartitions("plain").mapInArrow(_repeated(hot), answer), "repeated")
     sent1 = sent0.unionByName(met)
     release(spark)
-    segments = by_block().cogroup(sent1.groupBy("block")).applyInArrow(_segments, "h long, segment binary, lo long, hi long, block int, number long")
-    least = stored(segments.repartition(F.col("h")).mapInArrow(_sorted, answer), "least")
+
+    def segments(hot: bool) -> DataFrame:
+        shape = "h long, segment binary, lo long, hi long, block int, number long, at long"
+        return by_block().cogroup(sent1.groupBy("block")).applyInArrow(_segments(hot), shape)
+
+    least = stored(segments(False).drop("at").repartition("h").sortWithinPartitions("h").mapInArrow(_sorted, answer), "least")
     release(spark)
+    if met.where("kind = 3").head(1):
+        strings = segments(True).withColumn("salt", F.pmod("block", F.lit(_SALTS)))
+        best = strings.groupBy("segment").agg(F.min("lo").alias("best"), F.max("hi").alias("most")).where("best < most")
+        salted = best.select("segment", "best", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+        found = strings.join(salted, ["segment", "salt"]).where("best < hi").select("block", "number", "at", "best")
+        least = least.unionByName(stored(found.mapInArrow(_packed_strings, answer), "strings"))
+        release(spark)
     shape = "id long, digest binary, n_removed long, n_spans long, kept_sha256 string" + ", spans array<long>" * spans
     hit = by_block().cogroup(sent1.unionByName(least).groupBy("block")).applyInArrow(_removed(spans), shape)
     whole = copies.select("id", "digest", F.lit(True).alias("copy")).distinct()
