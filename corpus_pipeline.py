@@ -18,29 +18,29 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language is found: null texts and those without a letter."""
+    """Drops documents in which no language is found, null texts and those without a letter; lang becomes the predicted language.
+
+    If no document teaches a language, none is found in any, and all go.
+    """
     taught = docs.where(~langid.held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     profiles = stored(langid.learn_profiles(taught), "profiles")
-    return langid.identify(docs, profiles, carry=COLUMNS).where("lang_pred <> 'und'").select(*COLUMNS)
+    found = langid.identify(docs, profiles, carry=COLUMNS).where("lang_pred <> 'und'")
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    dropped = exact_dedup.exact_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti").select(*COLUMNS)
+    """Of equal texts one row stays, with the largest doc_id."""
+    return exact_dedup.without_copies(docs.select(*COLUMNS))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, of a similarity of 0.8 or more, the document with the smallest doc_id stays."""
-    dropped = near_dedup.near_duplicates(docs, numerator=80).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each component of near duplicates, of a similarity of 0.8 or more, one row stays, with the smallest doc_id."""
+    return near_dedup.without_near_copies(docs.select(*COLUMNS), numerator=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: no row, one or two."""
-    repeats = mixing.mixed(docs).where("repeats > 0").groupBy("doc_id").agg(F.max("repeats").alias("repeats"))
-    joined = docs.join(repeats, docs["doc_id"].eqNullSafe(repeats["doc_id"])).drop(repeats["doc_id"])
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*COLUMNS)
+    """Each row as often as the mix takes it: not at all, once or twice."""
+    return mixing.repeated(docs.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

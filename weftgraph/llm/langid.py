@@ -21,8 +21,8 @@ from .textkernels import pieces
 #: N-grams of a language's profile and of a document's.
 PROFILE = 400
 DOCUMENT = 300
-#: Most languages that are learned, those with the most documents; bounds the profiles that every task gets.
-LANGUAGES = 1000
+#: Languages that are compared at once; further ones in further rounds, so that a task never holds more profiles.
+LANGUAGES = 64
 _PIECE = 1 << 19
 _CODE = np.uint64(1 << 21)
 
@@ -121,8 +121,8 @@ def learn_profiles(labelled: DataFrame) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE).select("lang", (F.col("rank") - 1).alias("rank"), "gram")
 
 
-def _predicted(langs: list[str], grams: np.ndarray, ranks: np.ndarray, at: str, drop: str | None):
-    """ranks: for each gram (sorted) and language its rank, or PROFILE."""
+def _predicted(langs: list[str], grams: np.ndarray, ranks: np.ndarray, at: str, again: bool):
+    """ranks: for each gram (sorted) and language its rank, or PROFILE. With again, rows have a prediction, which a nearer language replaces."""
 
     def scored(texts: list[str]) -> tuple[list[str], list[float]]:
         m = len(texts)
@@ -154,34 +154,45 @@ def _predicted(langs: list[str], grams: np.ndarray, ranks: np.ndarray, at: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, at, _PIECE):
             names, scores = scored(["" if t is None else t for t in batch.column(at).to_pylist()])
-            columns = [*(c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != drop), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(n for n in batch.schema.names if n != drop), "lang_pred", "score"])
+            columns = list(batch.columns)
+            if again:
+                old = list(zip(columns[-2].to_pylist(), columns[-1].to_pylist(), strict=True))
+                best = [new if new[1] > was[1] else was for new, was in zip(zip(names, scores, strict=True), old, strict=True)]
+                names, scores, columns = [n for n, _ in best], [x for _, x in best], columns[:-2]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[: len(columns)], "_lang_pred", "_score"])
 
     return run
 
 
+def _profile_table(rows: pa.Table, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    code = rows.column("gram").to_numpy().astype(np.int64).view(np.uint64) if rows.num_rows else np.zeros(0, np.uint64)
+    grams = np.unique(code)
+    ranks = np.full((len(grams), max(1, len(langs))), PROFILE, np.int64)
+    place = {x: i for i, x in enumerate(langs)}
+    for x, g, r in zip(rows.column("lang").to_pylist(), np.searchsorted(grams, code), rows.column("rank").to_pylist(), strict=True):
+        ranks[g, place[x]] = r
+    return grams, ranks
+
+
 def identify(docs: DataFrame, profiles: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `carry` of docs with lang_pred and score, one row for each row.
 
     A text that is null or has no letter is `und`, with score 0, as is every text if no
     language was learned. The score is 1 less the mean distance by the longest possible.
     Equal distances go to the language first in code-point order. All n-grams of a text
-    are counted; its DOCUMENT most frequent are compared. At most LANGUAGES profiles of
-    PROFILE rows are read to the driver and sent to the tasks.
+    are counted; its DOCUMENT most frequent are compared. LANGUAGES profiles of PROFILE
+    rows at a time are read to the driver and sent to the tasks; each further round
+    compares the texts with the next ones and keeps what is nearer.
     """
-    size = profiles.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
-    rows = profiles.join(size.select("lang"), "lang", "left_semi").toArrow()
-    langs = sorted(set(rows.column("lang").to_pylist()))
-    code = rows.column("gram").to_numpy().astype(np.int64).view(np.uint64) if rows.num_rows else np.zeros(0, np.uint64)
-    grams = np.unique(code)
-    ranks = np.full((len(grams), max(1, len(langs))), PROFILE, np.int64)
-    place = {x: i for i, x in enumerate(langs)}
-    for x, g, r in zip(rows.column("lang").to_pylist(), np.searchsorted(grams, code), rows.column("rank").to_pylist(), strict=True):
-        ranks[g, place[x]] = r
-    own = text_col in carry
-    body = docs.select(*carry, *([] if own else [F.col(text_col).cast("string").alias("_text")]))
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in body.schema if f.name != "_text"), "lang_pred string", "score double"])
-    return body.mapInArrow(_predicted(langs, grams, ranks, text_col if own else "_text", None if own else "_text"), shape)
+    langs = sorted(r.lang for r in profiles.select("lang").distinct().collect())
+    names = {c: f"carried_{i}" for i, c in enumerate(carry)}
+    out = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col(text_col).cast("string").alias("_text"))
+    shape = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in out.schema), "_lang_pred string", "_score double"])
+    for i in range(0, max(1, len(langs)), LANGUAGES):
+        part = langs[i : i + LANGUAGES]
+        grams, ranks = _profile_table(profiles.where(F.col("lang").isin(part)).toArrow(), part)
+        out = out.mapInArrow(_predicted(part, grams, ranks, "_text", i > 0), shape)
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2):

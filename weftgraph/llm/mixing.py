@@ -47,23 +47,27 @@ def water_filled(sources: DataFrame, budget: float, max_epochs: float) -> DataFr
 
 def mixed(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-    weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 17,
+    weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 17, carry: bool = False,
 ) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, repeats, taken.
+    """One row for each row of docs: doc_id, size, source_size, target, repeats, taken, source; with carry also `row`, all its columns.
 
     Sources in code-point order, null last, weigh by `weights` in turn. Of a source whose
     target is e times its size every document is taken floor(e) times, and once more
     those that a seeded order puts first, until the words come nearest to the target.
-    The order is by a hash of seed, id and text size: reruns agree, and rows that repeat
-    an id and a size are in or out by the hash of all of them (ties are taken together).
+    The order is by a hash of seed, id and text: reruns agree, and rows that repeat both
+    are in or out by the hash of all of them (ties are taken together). Every decision is
+    made for a row, so that rows that repeat only an id, or have none, stand for themselves.
     Null ids and null sources are values like any other. An empty text has size 0.
 
     The order is not sorted as a whole: sizes are summed for each of 4096 ranges of the
     hash, and only documents of the range in which the target falls are ranked.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
-    u = F.xxhash64(F.lit(seed), "doc_id", "size")
-    base = stored(base.withColumn("u", u).withColumn("bin", F.shiftrightunsigned("u", 52).cast("int")), "sizes")
+    text = F.col(text_col).cast("string")
+    base = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"),
+        F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), text).alias("u"), *([F.struct(*docs.columns).alias("row")] if carry else []),
+    )
+    base = stored(base.withColumn("bin", F.shiftrightunsigned("u", 52).cast("int")), "sizes")
     sums = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(place) - 1) % len(weights)
@@ -96,5 +100,11 @@ def mixed(
     extra = F.when(F.col("q.edge").isNull(), 0).when(F.col("p.bin") < F.col("q.edge"), 1).when(F.col("p.bin") > F.col("q.edge"), 0).otherwise(
         F.coalesce((F.col("p.u") <= F.col("q.last")).cast("int"), F.lit(0))
     )
-    out = base.alias("p").join(plan.alias("q"), same).select("p.doc_id", "p.size", "q.source_size", "q.target", (F.col("q.whole") + extra).alias("repeats"), F.col("p.source").alias("source"))
+    out = base.alias("p").join(plan.alias("q"), same).select("p.doc_id", "p.size", "q.source_size", "q.target", (F.col("q.whole") + extra).alias("repeats"), F.col("p.source").alias("source"), *(["p.row"] if carry else []))
     return out.withColumn("repeats", F.least("repeats", F.lit(int(max_epochs)))).withColumn("taken", (F.col("repeats") * F.col("size")).cast("long"))
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it; options are those of `mixed`."""
+    taken = mixed(docs, carry=True, **options).where("repeats > 0")
+    return taken.select(F.explode(F.array_repeat("row", F.col("repeats"))).alias("row")).select("row.*")

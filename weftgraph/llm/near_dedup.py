@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .storage import stored
+from .storage import numbered, stored
 from .textkernels import column_bytes, mix, pieces, shingle_sets
 
 SKETCH = 1024
@@ -292,3 +292,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(F.col("c"), F.col("id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
+    """The rows of docs, all columns, but for near copies: of each component one row stays, one with the smallest id.
+
+    Links are those of near_duplicates, between rows: what repeats only the id of another
+    row, or has none, is as safe as all others. A row without an id stays only if no row of
+    its component has one.
+    """
+    rows, row = numbered(docs)
+    found = near_duplicates(rows, row, text_col, words, numerator, denominator).select(F.col("doc_id").alias("node"), "component_id")
+    about = rows.select(F.col(row).alias("node"), F.col(id_col).cast("long").alias("id"))
+    first = found.join(about, "node").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("x"))
+    return rows.join(first.select(F.col("x.node").alias(row)), row, "left_semi").select(*docs.columns)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -29,3 +30,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows with a number that no other row has, and the name of its column.
+
+    They are written first: a number made while reading would change with the cluster.
+    """
+    name = "row"
+    while name in (c.lower() for c in df.columns):
+        name += "_"
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
