@@ -1,12 +1,12 @@
 """Near-duplicate documents by bottom-k sketches of word shingles.
 
-One hash function maps a document's shingles to 64-bit values; the k smallest are its
-sketch. Runs of three neighbouring values among the INDEXED smallest are the keys of
-inverted lists: of two sets with a Jaccard similarity of 0.85, each value of the union
-is common with probability 0.85, so the chance that no run of three among the 32
-smallest is common is below 4e-7 (for sets smaller than that, some run always is).
-For a lower threshold more values are indexed, so that the chance is no larger, and
-sets that small have runs of two as keys as well (see `indexing`).
+One hash function maps a document's shingles to 64-bit values; the SKETCH smallest are
+its sketch. Inverted lists are of the INDEXED smallest of them. Two sets at the threshold
+have at least `least_common` of these in common, but for a chance below MISSED (sets of
+fewer shingles: always), so of a document only the values are listed that stay when that
+many less one, the most frequent of the corpus, are left out: two linked documents still
+meet in the list of the rarest value they share, and a passage that many documents hold
+makes no list unless it is most of a document.
 
 1. In each list every member is tried against the most central one, the member that
    meets the most others over all lists.
@@ -17,56 +17,51 @@ sets that small have runs of two as keys as well (see `indexing`).
 
 A pair goes on if the estimate from the union of the two sketches is within
 SLACK standard deviations of the threshold; sketches that hold their whole set give the
-similarity itself. Then the full sets, made again from the texts, decide.
+similarity itself. Then the full sets decide.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
 from .storage import numbered, stored
-from .textkernels import column_bytes, mix, pieces, shingle_sets
+from .textkernels import column_bytes, pieces, shingle_sets
 
-SKETCH = 1024
-INDEXED = 32
+SKETCH = 512
+INDEXED = 64
+MISSED = 1e-9
 BLOCK = 1024
 SLACK = 5.0
 _PACK = 4096
 
 
-def _missed(values: int, share: float) -> float:
-    """The chance of no run of three among values that are common with probability share each."""
-    state = [1.0, 0.0, 0.0]
-    for _ in range(values):
-        state = [sum(state) * (1 - share), state[0] * share, state[1] * share]
-    return sum(state)
+def least_common(values: int, share: float, missed: float = MISSED) -> int:
+    """What two sketches of `values` values have in common at least, each with probability `share`, but for a chance of missed."""
+    below = 0.0
+    for n in range(values + 1):
+        below += math.comb(values, n) * share**n * (1 - share) ** (values - n)
+        if below > missed:
+            return max(1, n)
+    return values
 
 
-def indexing(numerator: int, denominator: int) -> tuple[int, int]:
-    """How many values are indexed, and the size up to which a set may have no common run of three.
+def listed(n: Column, numerator: int, denominator: int) -> Column:
+    """How many of the indexed values of a set of n shingles are listed, the rarest first.
 
-    In a union of n values with at most m not common, a run of three is certain if n > 3 m + 2.
+    All partners of a set of at most INDEXED * threshold shingles have their whole sets
+    indexed, and share the threshold's part of the larger one.
     """
-    indexed = INDEXED
-    while indexed < SKETCH and _missed(indexed, numerator / denominator) > _missed(INDEXED, 0.85):
-        indexed += 1
-    spare = [n for n in range(indexed) if 0 < 3 * ((denominator - numerator) * n // denominator) >= n - 2]
-    return indexed, max(spare, default=0)
-
-
-def _keys(values: np.ndarray, indexed: int = INDEXED, short: int = 0) -> np.ndarray:
-    v = values[:indexed]
-    keys = [mix(v[:-2] * np.uint64(3) + mix(v[1:-1] * np.uint64(5) + mix(v[2:].copy())))] if len(v) > 2 else [v[:0]]
-    if 1 < len(values) <= short:
-        keys.append(mix(v[:-1] * np.uint64(7) + mix(v[1:].copy())))
-    return np.unique(np.concatenate(keys))
+    whole = INDEXED * numerator // denominator
+    sure = F.floor((n * numerator + (denominator - 1)) / denominator)
+    return F.when(n <= whole, n - sure + 1).otherwise(F.least(n, F.lit(INDEXED)) - least_common(INDEXED, numerator / denominator) + 1)
 
 
 def _long(values: np.ndarray) -> np.ndarray:
@@ -78,7 +73,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
 
 
-def _profile(words: int, indexed: int, short: int):
+def _profile(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             sets = shingle_sets(*column_bytes(batch.column(1)), n=words)
@@ -87,7 +82,7 @@ def _profile(words: int, indexed: int, short: int):
                     batch.column(0),
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
-                    _lists([_long(_keys(x, indexed, short)) for x in sets]),
+                    _lists([_long(x[:INDEXED]) for x in sets]),
                 ],
                 names=["id", "n", "digest", "keys"],
             )
@@ -95,14 +90,13 @@ def _profile(words: int, indexed: int, short: int):
     return run
 
 
-def _sketches(words: int):
+def _sets(words: int):
+    """Whole sets, their smallest values first: a sketch is the beginning of one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             sets = shingle_sets(*column_bytes(batch.column(1)), n=words)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[:SKETCH].tobytes() for x in sets], pa.binary()), batch.column(1)],
-                names=["id", "n", "sketch", "text"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "n", "whole"])
 
     return run
 
@@ -139,17 +133,15 @@ def _estimated(share: float):
     return run
 
 
-def _verified(words: int, numerator: int, denominator: int):
+def _verified(numerator: int, denominator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for wide in pieces(batches, "a_text"):
-            for batch in pieces([wide], "b_text"):
-                p = shingle_sets(*column_bytes(batch.column("a_text")), n=words)
-                q = shingle_sets(*column_bytes(batch.column("b_text")), n=words)
-                keep = []
-                for x, y in zip(p, q, strict=True):
-                    c = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(c > 0 and denominator * c >= numerator * (len(x) + len(y) - c))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            keep = []
+            for p, q in zip(batch.column("a_whole"), batch.column("b_whole"), strict=True):
+                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                c = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(c > 0 and denominator * c >= numerator * (len(x) + len(y) - c))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -219,12 +211,12 @@ def _residual(share: float):
     return run
 
 
-def _links(pairs: DataFrame, involved: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
+def _links(pairs: DataFrame, involved: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Of the pairs (a, b), those whose sketches and then whose full sets reach the threshold."""
     share = numerator / denominator
     side = lambda s, *more: involved.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in more))
     near = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").mapInArrow(_estimated(share), "a long, b long")
-    return near.join(side("a", "text"), "a").join(side("b", "text"), "b").mapInArrow(_verified(words, numerator, denominator), "a long, b long")
+    return near.join(side("a", "whole"), "a").join(side("b", "whole"), "b").mapInArrow(_verified(numerator, denominator), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, numerator: int = 85, denominator: int = 100) -> DataFrame:
@@ -241,18 +233,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked with each other. Other columns of docs are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profile = stored(rows.mapInArrow(_profile(words, *indexing(numerator, denominator)), "id long, n long, digest binary, keys array<long>"), "profiles")
+    profile = stored(rows.mapInArrow(_profile(words), "id long, n long, digest binary, keys array<long>"), "profiles")
     known = profile.where("id is not null and digest is not null")
-    copies = stored(known.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("rows"), F.first("keys").alias("keys")), "copies")
-    postings = copies.select(F.col("first").alias("id"), F.explode("keys").alias("key")).distinct()
+    copies = known.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    copies = stored(copies.withColumn("set", F.xxhash64("digest")), "copies")
+    postings = copies.select(F.col("first").alias("id"), "set", "n", F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = stored(postings.join(shared, "key"), "members")
+    common = F.row_number().over(Window.partitionBy("id", "set").orderBy(F.col("m").desc(), F.col("key").desc()))
+    rare = postings.join(shared, "key").withColumn("common", common).where(F.col("common") > F.least("n", F.lit(INDEXED)) - listed(F.col("n"), numerator, denominator))
+    listings = stored(rare.select("key", "id").distinct(), "listings")
+    members = stored(listings.join(listings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "members")
     central = members.groupBy("id").agg(F.sum("m").alias("met"))
     placed = members.join(central, "id")
     pivots = placed.groupBy("key").agg(F.max(F.struct(F.col("met"), (-F.col("id")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("pivot"))
     star = members.join(pivots, "key").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    involved = stored(rows.join(central.select("id"), "id", "left_semi").mapInArrow(_sketches(words), "id long, n long, sketch binary, text string"), "sketches")
-    links = stored(_links(star, involved, words, numerator, denominator), "links")
+    involved = stored(rows.join(central.select("id"), "id", "left_semi").mapInArrow(_sets(words), "id long, n long, whole binary"), "sets")
+    involved = involved.withColumn("sketch", F.substring("whole", 1, 8 * SKETCH))
+    links = stored(_links(star, involved, numerator, denominator), "links")
     first = connected(links)
 
     # Lists that still hold different components, each set of members once.
@@ -279,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         about = involved.select("id", "n", "sketch").join(own_lists, "id")
         tasks = blocks.join(mixed.select(F.col("key").alias("list"), "m"), "list").join(about, "id").withColumn("pack", pack)
         pairs = tasks.groupBy("pack").applyInArrow(_residual(numerator / denominator), "a long, b long").distinct()
-        more = stored(_links(pairs, involved, words, numerator, denominator), "links")
+        more = stored(_links(pairs, involved, numerator, denominator), "links")
         final = connected(links.unionByName(more)) if more.head(1) else first
     # Copies follow the first of them; a component's smallest id is that of some first copy.
     ids = known.join(copies.where("rows > 1").select("digest", "first"), "digest").where("id <> first").select("id", "first")
