@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, exact_dedup, langid, mixing, near_dedup
+from weftgraph.llm import bpe, exact_dedup, langid, mixing, near_dedup, storage
+from weftgraph.llm.blocks import release
 from weftgraph.llm.storage import shared_dir, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,21 +31,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, with the largest doc_id."""
+    release(spark)  # shuffle files of the stage before
     return exact_dedup.without_copies(docs.select(*COLUMNS))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates, of a similarity of 0.8 or more, one row stays, with the smallest doc_id."""
+    release(spark)  # shuffle files of the stage before
     return near_dedup.without_near_copies(docs.select(*COLUMNS), numerator=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it: not at all, once or twice."""
+    release(spark)  # shuffle files of the stage before
     return mixing.repeated(docs.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
+    release(spark)  # shuffle files of the stage before
     import public_tokenizers
 
     return bpe.encoding_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -62,10 +67,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage is written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; each stage is written as Parquet and read again by the next.
+
+    What a stage wrote for itself, and the output of the one before, goes when it is done.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         path = shared_dir(spark, f"stage-{name}")
+        own = len(storage.created)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        storage.delete(spark, [*before, *storage.created[own:]])
+        docs, before = spark.read.parquet(path), [path]
     return docs

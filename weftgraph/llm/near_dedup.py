@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import release
 from .components import connected
 from .storage import numbered, stored
 from .textkernels import column_bytes, pieces, shingle_sets
@@ -251,6 +252,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     involved = involved.withColumn("sketch", F.substring("whole", 1, 8 * SKETCH))
     links = stored(_links(star, involved, numerator, denominator), "links")
     first = connected(links)
+    del postings, rare
+    release(docs.sparkSession)
 
     # Lists that still hold different components, each set of members once.
     now = members.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))

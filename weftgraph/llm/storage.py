@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders handed out in this process, in order, for those that know when a table is no longer read.
+created: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder URI under spark.checkpoint.dir.
 
-    Only a session in local mode, as in tests, may leave that setting out.
+    Only a session in local mode, as in tests, may leave that setting out. Tables stay
+    until `delete`: a query that was returned reads them when it runs.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir")
@@ -22,7 +27,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
         context._conf.set("spark.checkpoint.dir", base)
         context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    created.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return created[-1]
+
+
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Delete tables that no query reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        created.remove(folder)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
