@@ -32,13 +32,23 @@ def namespace(stem: Column, prefix: str = PREFIX) -> Column:
     return F.when(stem.rlike(r"^TS\d*_"), F.concat(F.lit(prefix), number, F.lit("/"), rest, F.lit("#"))).otherwise(F.concat(F.lit(prefix + "rdf/"), stem, F.lit("#")))
 
 
-def main_namespace(stem: Column, prefix: str = PREFIX, base: str | None = None) -> Column:
+def file_stem(doc: Column) -> Column:
+    """The name of a document without its folders."""
+    return F.regexp_replace(doc, "^.*/", "")
+
+
+def main_namespace(doc: Column, prefix: str = PREFIX, base: str | None = None) -> Column:
     """A document's own namespace: the given base for all documents, or else that of its name."""
-    return namespace(stem, prefix) if base is None else F.lit(base)
+    return namespace(file_stem(doc), prefix) if base is None else F.lit(base)
+
+
+def file_label(doc: Column) -> Column:
+    """The prefix of a document's namespace."""
+    return format_name(F.concat(file_stem(doc), F.lit(".yaml")))
 
 
-def owl_namespace(stem: Column, base: str = PREFIX) -> Column:
-    return F.concat(F.lit(base.rstrip("/") + "/"), format_name(F.concat(stem, F.lit(".yaml"))), F.lit("#"))
+def owl_namespace(doc: Column, base: str = PREFIX) -> Column:
+    return F.concat(F.lit(base.rstrip("/") + "/"), file_label(doc), F.lit("#"))
 
 
 def owl_external_namespace(stem: Column, base: str = PREFIX) -> Column:
@@ -53,14 +63,22 @@ def _file(ref: Column) -> Column:
     return F.regexp_replace(F.substring_index(ref, "#", 1), r"\.yaml$", "")
 
 
+def split_badly(ref: Column) -> Column:
+    """Whether a reference into a file does not name exactly one of its schemas."""
+    return ~ref.startswith(SCHEMAS) & ref.contains(".yaml#") & (F.size(F.split(ref, SCHEMAS)) != 2)
+
+
 def resolve_ref(ref: Column, main: Column, prefix: str = PREFIX) -> Column:
-    """URI of a reference; one that leads nowhere gets a name of its own in the main namespace."""
+    """URI of a reference; one that leads nowhere gets a name of its own in the main namespace.
+
+    Null, an error of the document, for a reference into a file that names no schema.
+    """
     external = F.concat(namespace(_file(ref), prefix), format_name(F.element_at(F.split(ref, SCHEMAS), -1)))
     lost = F.concat(main, F.lit("UnresolvedRef_"), format_name(F.translate(ref, "/#", "__")))
     return (
         F.when(ref.startswith(SCHEMAS), F.concat(main, format_name(_last(ref))))
-        .when(ref.contains(".yaml#") & ref.contains(SCHEMAS), external)
-        .when(ref.contains(".yaml#"), F.lit(None))
+        .when(split_badly(ref), F.lit(None))
+        .when(ref.contains(".yaml#"), external)
         .otherwise(lost)
     )
 
@@ -68,7 +86,7 @@ def resolve_ref(ref: Column, main: Column, prefix: str = PREFIX) -> Column:
 def resolve_ref_owl(ref: Column, main: Column, base: str = PREFIX) -> Column:
     """URI of a reference in the ontology mode; null if it leads nowhere, which fails the document."""
     external = F.concat(owl_external_namespace(_file(ref), base), format_name(F.element_at(F.split(ref, SCHEMAS), -1)))
-    return F.when(ref.startswith(SCHEMAS), F.concat(main, format_name(_last(ref)))).when(ref.contains(".yaml#") & ref.contains(SCHEMAS), external)
+    return F.when(ref.startswith(SCHEMAS), F.concat(main, format_name(_last(ref)))).when(ref.contains(".yaml#") & ~split_badly(ref), external)
 
 
 def is_object_ref(ref: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.naming import PREFIX, RDF, RDFS, SH
+from ..functions.naming import PREFIX, RDF, RDFS, SH, number_datatype, string_datatype
 
 _LOCAL = "element_at(split(s, '#'), -1)"
 # The SHACL terms that a shapes graph may use as predicates.
@@ -104,6 +104,52 @@ def stats(triples: DataFrame) -> DataFrame:
     return triples.groupBy("graph").agg(F.count("*").alias("triples"), F.countDistinct("doc", "s").alias("subjects"), hit("targetClass").alias("targets"), hit("path").alias("paths"))
 
 
+def type_mismatches(nodes: DataFrame, triples: DataFrame) -> DataFrame:
+    """(doc, s, expected, found): property shapes of strings, integers and numbers that lack the datatype of their type and format.
+
+    found is null where a shape has no datatype, else the smallest of the others.
+    """
+    typed = nodes.where("role = 'property' and kind in ('string', 'integer', 'number') and kept and carrier = shape")
+    right = F.when(F.col("kind") == "string", string_datatype(F.col("format"))).otherwise(number_datatype(F.col("kind"), F.col("format")))
+    want = typed.select("doc", F.concat(F.lit("_:"), "shape").alias("s"), right.alias("expected"))
+    have = triples.where((F.col("graph") == "shacl") & (F.col("p") == SH + "datatype")).select("doc", "s", "o")
+    held = F.max(F.coalesce((F.col("o") == F.col("expected")).cast("int"), F.lit(0)))
+    return want.join(have, ["doc", "s"], "left").groupBy("doc", "s", "expected").agg(held.alias("right"), F.min("o").alias("found")).where("right = 0").drop("right")
+
+
+def completeness(nodes: DataFrame, triples: DataFrame) -> DataFrame:
+    """A row for each document: names declared, found, missing and extra (sorted), of schemas and of properties, and descriptions kept."""
+    out = nodes.select("doc").distinct()
+    for role, kind, label in (("schema", RDFS + "Class", "schemas"), ("property", RDF + "Property", "properties")):
+        names = lambda df, c: df.groupBy("doc").agg(F.sort_array(F.collect_set("name")).alias(c))
+        total = coverage(nodes, triples, role, kind).select("doc", F.col("total").alias(label), F.col("percent").cast("double").alias(f"{label}_percent"))
+        found = typed(triples, kind).groupBy("doc").agg(F.count("*").alias(f"{label}_found"))
+        for part in (total, found, names(missing(nodes, triples, role, kind), f"{label}_missing"), names(extra(nodes, triples, role, kind), f"{label}_extra")):
+            out = out.join(part, "doc", "left")
+    said = nodes.where("role = 'schema' and description is not null").groupBy("doc").agg(F.count("*").alias("described"))
+    kept = described(nodes, triples).groupBy("doc").agg(F.count("*").alias("described_kept"))
+    out = out.join(said, "doc", "left").join(kept, "doc", "left")
+    none = {c: 0 for c in ("schemas", "schemas_found", "schemas_percent", "properties", "properties_found", "properties_percent", "described", "described_kept")}
+    lists = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("schemas_missing", "schemas_extra", "properties_missing", "properties_extra")}
+    return out.fillna(none).withColumns(lists)
+
+
+def report(complete: DataFrame) -> DataFrame:
+    """(doc, report): what `completeness` found, as text."""
+    bullets = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
+    percent = lambda x: F.concat(F.format_number(x, 1), F.lit("%"))
+    line = lambda label, x: F.concat(F.lit(f"- {label}: "), x.cast("string"))
+    kept = F.when(F.col("described") > 0, F.col("described_kept") * 100.0 / F.col("described")).otherwise(100.0)
+    parts = [F.lit("# Completeness of the conversion\n")]
+    for label, noun in (("schemas", "classes"), ("properties", "vocabulary properties")):
+        parts += [
+            F.lit(f"## {label.capitalize()}"), line("declared", F.col(label)), line(noun, F.col(f"{label}_found")), line("coverage", percent(F.col(f"{label}_percent"))),
+            F.lit("\n### Missing"), bullets(f"{label}_missing"), F.lit("\n### Extra"), F.concat(bullets(f"{label}_extra"), F.lit("\n")),
+        ]
+    parts += [F.lit("## Descriptions"), line("schemas described", F.col("described")), line("with a comment", F.col("described_kept")), line("kept", percent(kept))]
+    return complete.select("doc", F.concat_ws("\n", *parts).alias("report"))
+
+
 def score(nodes: DataFrame, triples: DataFrame) -> DataFrame:
     """(schemas, properties, descriptions, score, band) over all documents."""
     total = lambda df: df.agg(F.sum("found").alias("f"), F.sum("total").alias("t")).select((F.when(F.col("t") > 0, F.col("f") * 100.0 / F.col("t")).otherwise(0.0)).alias("v"))

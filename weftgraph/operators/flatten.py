@@ -111,7 +111,8 @@ class Walk:
             if "items" in spec and carrier:
                 child = f"{node}/items"
                 item = self.row(child, node, "items", None, spec["items"], shape=child, own_kind="PropertyShape", parent_shape=carrier, list_path=True)
-                item["min_items"], item["max_items"] = row["min_items"], row["max_items"]
+                # The list's own bounds, not those of the items; a list of lists has both.
+                item["min_items"], item["max_items"] = (None if spec.get(k) is None else term(spec[k])[0] for k in ("minItems", "maxItems"))
                 self.added += 3
                 self.dispatch(item, spec["items"], child, False)
         elif kind in ("string", "integer", "number"):

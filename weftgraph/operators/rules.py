@@ -6,14 +6,17 @@ nodes behind "_:", the same in every run. A graph is a set: `graph_set` drops re
 
 from __future__ import annotations
 
+from collections.abc import Collection, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import (
-    DASH, OWL, PREFIX, RDF, RDFS, SH, XSD, format_name, human_label, is_object_ref, is_object_uri_owl, main_namespace, namespace, number_datatype,
-    owl_datatype, owl_namespace, ref_datatype, resolve_ref, resolve_ref_owl, string_datatype,
+    DASH, OWL, PREFIX, RDF, RDFS, SH, XSD, file_label, format_name, human_label, is_object_ref, is_object_uri_owl, main_namespace, namespace, number_datatype,
+    owl_datatype, owl_namespace, ref_datatype, resolve_ref, resolve_ref_owl, split_badly, string_datatype,
 )
 
+_STRUCTS = "array<struct<graph:string,s:string,s_kind:string,p:string,o:string,o_kind:string,o_dt:string>>"
 TRIPLE = ("graph", "doc", "s", "s_kind", "p", "o", "o_kind", "o_dt")
 # Texts of the notes and comments.
 NOTE = "Note: This property is {} in OpenAPI - "
@@ -38,7 +41,7 @@ def _t(graph: str, s: Column, s_kind: str, p: str, o, o_kind: str, dt=None) -> C
 
 
 def _exploded(nodes: DataFrame, single: list[Column], many: list[Column]) -> DataFrame:
-    found = F.filter(F.array(*single), lambda x: x.isNotNull())
+    found = F.filter(F.array(*single) if single else F.array().cast(_STRUCTS), lambda x: x.isNotNull())
     every = F.concat(found, *[F.coalesce(m, F.slice(found, 1, 0)) for m in many])
     return nodes.select("doc", F.explode(every).alias("t")).select("t.graph", "doc", "t.s", "t.s_kind", "t.p", "t.o", "t.o_kind", "t.o_dt")
 
@@ -69,9 +72,11 @@ def list_item(x: Column) -> tuple[Column, Column, Column]:
     return F.when(named, xsd).otherwise(lex), F.when(iri | named, "iri").otherwise("literal"), F.when(~text, F.concat(F.lit(XSD), dt))
 
 
-def shacl_triples(nodes: DataFrame, prefix: str = PREFIX, compat: bool = True, base: str | None = None) -> DataFrame:
+def shacl_triples(nodes: DataFrame, prefix: str = PREFIX, compat: bool = True, base: str | None = None, predicates: Collection[str] | None = None) -> DataFrame:
     """The vocabulary (graph rdf) and the shapes (graph shacl) of schema nodes, with repeats.
 
+    With predicates, only the rules that make triples of these are worked out.
+
     compat keeps the predicate names or_ and booleans without a datatype; otherwise they
     are or, and booleans have theirs. base replaces the namespaces of the documents
     themselves; references to other files keep those made of the prefix.
@@ -84,8 +89,9 @@ def shacl_triples(nodes: DataFrame, prefix: str = PREFIX, compat: bool = True, b
     kept = c("kept") & c("error").isNull()
     top = c("role") == "schema"
     is_class = kept & ((top & c("kind").isin(*CLASSES)) | (c("kind") == "object"))
-    rdf = lambda cond, s, p, o, kind="iri", dt=None: F.when(cond, _t("rdf", s, "iri", p, o, kind, dt))
-    sh = lambda cond, s, p, o, kind="iri", dt=None: F.when(cond, _t("shacl", s, "bnode", p, o, kind, dt))
+    wanted = lambda p: predicates is None or not isinstance(p, str) or p in predicates
+    rdf = lambda cond, s, p, o, kind="iri", dt=None: F.when(cond, _t("rdf", s, "iri", p, o, kind, dt)) if wanted(p) else None
+    sh = lambda cond, s, p, o, kind="iri", dt=None: F.when(cond, _t("shacl", s, "bnode", p, o, kind, dt)) if wanted(p) else None
     uri = resolve_ref(c("ref"), main, prefix)
     described = c("description").isNotNull()
     comment = RDFS + "comment"
@@ -117,7 +123,7 @@ def shacl_triples(nodes: DataFrame, prefix: str = PREFIX, compat: bool = True, b
         rdf(vocabulary, prop, RDFS + "domain", owner),
         rdf(vocabulary, prop, RDFS + "range", ranged),
         rdf(vocabulary & described, prop, comment, c("description"), "literal"),
-        F.when(kept & c("shape").isNotNull(), _t("shacl", shape, "bnode", RDF + "type", F.concat(F.lit(SH), c("own_kind")), "iri")),
+        sh(kept & c("shape").isNotNull(), shape, RDF + "type", F.concat(F.lit(SH), c("own_kind"))),
         sh(kept & c("target"), F.when(c("kind").isin("object", "nodeshape"), shape).otherwise(on), SH + "targetClass", owner),
         sh(kept & c("parent_shape").isNotNull(), F.concat(F.lit("_:"), c("parent_shape")), SH + "property", shape, "bnode"),
         sh(kept & c("path"), shape, SH + "path", prop),
@@ -151,17 +157,23 @@ def shacl_triples(nodes: DataFrame, prefix: str = PREFIX, compat: bool = True, b
     member = lambda x: (F.concat(F.lit("_:"), x), F.lit("bnode"), F.lit(None).cast("string"))
     enums = F.when(text, _cells("shacl", F.concat(c("node_id"), F.lit("/enum")), c("enum"), list_item))
     members = F.when(c("list_on").isNotNull(), _cells("shacl", c("node_id"), c("members"), member))
-    return _exploded(nodes, singles, [listed, enums, members])
+    cells = wanted(RDF + "first") or wanted(RDF + "rest")
+    lists = [listed] * (cells or wanted(SH + "path") or wanted(SH + "zeroOrMorePath")) + [enums, members] * cells
+    out = _exploded(nodes, [x for x in singles if x is not None], lists)
+    return out if predicates is None else out.where(F.col("p").isin(*predicates))
 
 
 def owl_triples(nodes: DataFrame, base: str = PREFIX) -> DataFrame:
-    """The ontology (graph owl) of schema nodes, with repeats."""
+    """The ontology (graph owl) of schema nodes, with repeats.
+
+    A property whose reference leads nowhere gives none; see reference_errors.
+    """
     c = F.col
     main = owl_namespace(c("doc"), base)
     uri = lambda x: F.concat(main, format_name(x))
     o = lambda cond, s, p, x, kind="iri", dt=None: F.when(cond, _t("owl", s, "iri", p, x, kind, dt))
     top = (c("role") == "schema") & c("error").isNull()
-    own = (c("role") == "property") & c("owl_owner").isNotNull() & c("error").isNull()
+    own = (c("role") == "property") & c("owl_owner").isNotNull() & c("error").isNull() & ~F.coalesce(_lost_owl(), F.lit(False))
     me, label = uri(c("name")), human_label(format_name(c("name")))
     enum = top & (c("kind") == "string") & c("enum").isNotNull()
     union = top & (c("combinators").isNotNull()) & F.array_contains("combinators", "oneOf") & ~c("kind").isin("object", "string", "ref")
@@ -202,6 +214,30 @@ def owl_triples(nodes: DataFrame, base: str = PREFIX) -> DataFrame:
     return _exploded(nodes, singles, [F.when(enum, F.flatten(F.transform("enum", individual))), cells, members])
 
 
+def _lost_owl() -> Column:
+    """Whether a property needs a reference that the ontology cannot resolve."""
+    ref = F.when(F.col("kind") == "ref", F.col("ref")).when(F.col("kind") == "array", F.col("item_ref"))
+    return resolve_ref_owl(ref, F.lit(""), "").isNull() & ref.isNotNull()
+
+
+def reference_errors(nodes: DataFrame, mode: str = "shacl") -> DataFrame:
+    """(doc, error): references that fail their documents.
+
+    Shapes fail on a reference into a file (.yaml#) that does not name one of its schemas;
+    the ontology on that in a property, the items of one or a oneOf of a schema, and in
+    the former two on any reference that is neither to a schema here nor to one of a file.
+    """
+    c = F.col
+    if mode == "owl":
+        own = (c("role") == "property") & c("owl_owner").isNotNull() & _lost_owl()
+        ref = F.when(own, F.coalesce(F.when(c("kind") == "ref", c("ref")), c("item_ref")))
+        option = F.get(F.filter("one_of", split_badly), F.lit(0))
+        ref = F.coalesce(ref, F.when((c("role") == "schema") & ~c("kind").isin("object", "string", "ref"), option))
+    else:
+        ref = F.when((c("kind") == "ref") & c("carrier").isNotNull() & split_badly(c("ref")), c("ref"))
+    return nodes.select("doc", F.concat(F.lit("ValueError: cannot resolve the reference "), ref).alias("error")).where("error is not null")
+
+
 def owl_header(headers: DataFrame, base: str = PREFIX) -> DataFrame:
     """headers(doc, title, version, description, url) to the triples that describe each document."""
     main = owl_namespace(F.col("doc"), base)
@@ -228,12 +264,14 @@ def graph_set(triples: DataFrame) -> DataFrame:
     return triples.dropDuplicates(["graph", "doc", "s", "p", "o", "o_kind", "o_dt"])
 
 
-def prefixes(nodes: DataFrame, prefix: str = PREFIX) -> DataFrame:
-    """(doc, prefix, uri): the standard ones, the document's own and those of files it refers to."""
-    standard = {"rdf": RDF, "rdfs": RDFS, "xsd": XSD, "sh": SH, "dash": DASH}
+def prefixes(nodes: DataFrame, prefix: str = PREFIX, external: Sequence[str] = (), mode: str = "shacl") -> DataFrame:
+    """(doc, prefix, uri): the standard ones, the document's own, those of files it refers to and of the external files given."""
+    standard = {"rdf": RDF, "rdfs": RDFS, "xsd": XSD} | ({"owl": OWL} if mode == "owl" else {"sh": SH, "dash": DASH})
     fixed = F.array(*(F.struct(F.lit(k).alias("prefix"), F.lit(v).alias("uri")) for k, v in standard.items()))
-    own = F.array(F.struct(format_name(F.concat("doc", F.lit(".yaml"))).alias("prefix"), namespace(F.col("doc"), prefix).alias("uri")))
-    docs = nodes.select("doc").distinct().select("doc", F.explode(F.concat(fixed, own)).alias("x"))
+    own = F.array(F.struct(file_label(F.col("doc")).alias("prefix"), main_namespace(F.col("doc"), prefix).alias("uri")))
+    stems = [F.lit(x.rsplit("/", 1)[-1].removesuffix(".yaml")) for x in external]
+    more = [F.struct(format_name(F.concat(x, F.lit(".yaml"))).alias("prefix"), namespace(x, prefix).alias("uri")) for x in stems]
+    docs = nodes.select("doc").distinct().select("doc", F.explode(F.concat(fixed, own, *([F.array(*more)] if more else []))).alias("x"))
     file = F.regexp_replace(F.substring_index("r", "#", 1), r"\.yaml$", "")
     refs = nodes.select("doc", F.explode(F.array_compact(F.array("ref", "item_ref"))).alias("r")).where(F.col("r").contains(".yaml#"))
     outside = refs.select("doc", F.struct(format_name(F.concat(file, F.lit(".yaml"))).alias("prefix"), namespace(file, prefix).alias("uri")).alias("x"))

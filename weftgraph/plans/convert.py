@@ -4,23 +4,30 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.naming import PREFIX
 from ..operators.flatten import flatten
-from ..operators.rules import graph_set, owl_header, owl_triples, shacl_triples
-from ..sources.sinks import turtle_documents, write_ntriples, write_parquet
+from ..operators.rules import graph_set, owl_header, owl_triples, reference_errors, shacl_triples
+from ..sources.sinks import turtle_documents, write_ntriples, write_parquet, write_turtle
 from ..sources.yaml_source import discover, read_specs
 
 __version__ = "0.1.0"
 
 
-def convert(specs: DataFrame, mode: str = "shacl", prefix: str = PREFIX, compat: bool = True, base: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(triples, errors(doc, error)) of specs; a document with an error gives no triples."""
-    nodes = flatten(specs.where("spec is not null")).cache()
-    errors = nodes.where("error is not null").select("doc", "error")
+def convert(
+    specs: DataFrame, mode: str = "shacl", prefix: str = PREFIX, compat: bool = True, base: str | None = None, nodes: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(triples, errors(doc, error)) of specs; a document with an error gives no triples.
+
+    nodes: those of specs, if they have been worked out already.
+    """
+    nodes = flatten(specs.where("spec is not null")) if nodes is None else nodes
+    errors = nodes.where("error is not null").select("doc", "error").unionByName(reference_errors(nodes, mode))
     if "error" in specs.columns:
         errors = errors.unionByName(specs.where("error is not null").select("doc", "error"))
     good = nodes.join(errors.select("doc").distinct(), "doc", "left_anti")
@@ -28,12 +35,29 @@ def convert(specs: DataFrame, mode: str = "shacl", prefix: str = PREFIX, compat:
         triples = owl_triples(good, base or prefix)
         if "has_header" in specs.columns:
             headers = specs.where("has_header and error is null").select("doc", "title", "version", "description", "url").distinct()
-            triples = triples.unionByName(owl_header(headers, base or prefix))
+            triples = triples.unionByName(owl_header(headers.join(errors.select("doc").distinct(), "doc", "left_anti"), base or prefix))
     else:
         triples = shacl_triples(good, prefix, compat, base)
     return graph_set(triples), errors
 
 
+@contextmanager
+def converted(specs: DataFrame, *args, **options) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """What `convert` gives, over nodes that are worked out once and let go at the end."""
+    nodes = flatten(specs.where("spec is not null")).persist()
+    try:
+        yield convert(specs, *args, nodes=nodes, **options)
+    finally:
+        nodes.unpersist()
+
+
+def turtle_files(specs: DataFrame, triples: DataFrame, errors: DataFrame, mode: str = "shacl", prefix: str = PREFIX, base: str | None = None) -> DataFrame:
+    """(graph, doc, content) of every document that went well, a newline where it has no triples."""
+    graphs = F.explode(F.array(*map(F.lit, ("owl",) if mode == "owl" else ("rdf", "shacl"))))
+    every = specs.select("doc").distinct().join(errors.select("doc").distinct(), "doc", "left_anti").select(graphs.alias("graph"), "doc")
+    return every.join(turtle_documents(triples, prefix, base), ["graph", "doc"], "left").select("graph", "doc", F.coalesce("content", F.lit("\n")).alias("content"))
+
+
 def main(argv: list[str] | None = None) -> int:
     """Convert YAML files and folders; 0 if every document went well."""
     p = argparse.ArgumentParser(prog="weftgraph", description=main.__doc__)
@@ -51,12 +75,13 @@ def main(argv: list[str] | None = None) -> int:
     except Exception as e:
         print(e, file=sys.stderr)
         return 1
-    triples, errors = convert(read_specs(spark, files, a.format == "shacl"), a.format, a.prefix, base=a.base_namespace)
-    if a.sink == "turtle":
-        turtle_documents(triples, a.prefix, a.base_namespace).select("graph", "doc", "content").write.mode("overwrite").partitionBy("graph", "doc").text(a.output)
-    else:
-        (write_ntriples if a.sink == "ntriples" else write_parquet)(triples, a.output)
-    failed = errors.groupBy("doc").agg(F.first("error").alias("error")).collect()  # one row for each file that failed
+    specs = read_specs(spark, files, a.format == "shacl")
+    with converted(specs, a.format, a.prefix, base=a.base_namespace) as (triples, errors):
+        if a.sink == "turtle":
+            write_turtle(turtle_files(specs, triples, errors, a.format, a.prefix, a.base_namespace), a.output)
+        else:
+            (write_ntriples if a.sink == "ntriples" else write_parquet)(triples, a.output)
+        failed = errors.groupBy("doc").agg(F.min("error").alias("error")).collect()  # a row for some of the files that the driver listed
     for r in failed:
         print(f"{r.doc}: {r.error}", file=sys.stderr)
     print(f"{len(files)} documents, {len(files) - len(failed)} converted, {len(failed)} failed")

@@ -61,18 +61,31 @@ def _register(sql: str | None = None):
     return add
 
 
-def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.graph_set(rules.shacl_triples(corpus.nodes(spark, sf_dir)))
+def _triples(spark: SparkSession, sf_dir: str, *predicates: str) -> DataFrame:
+    """The triples of the corpus, of some predicates or all."""
+    return rules.graph_set(rules.shacl_triples(corpus.nodes(spark, sf_dir), predicates=predicates or None))
 
 
-def _property_triples(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    """Triples of the property nodes of object schemas, of some kinds or all."""
-    rows = corpus.nodes(spark, sf_dir).where("role = 'property' and parent_id = concat(doc, '#/', schema)")
-    return rules.shacl_triples(rows.where(F.col("kind").isin(*kinds)) if kinds else rows)
+#: z: the children that are nodes of their own wherever they stand, as properties, items of arrays, branches of unions or, in
+#: mixed unions, what is neither primitive nor reference; nid is the node, place the shape its constraints go to. y: the
+#: properties of inline objects. c: the references to classes of mixed unions.
+_PLACES = """kept AS (SELECT k.schema_id, count(CASE WHEN kind NOT IN ('boolean', 'untyped') THEN 1 END) AS n FROM k JOIN m ON m.schema_id = k.schema_id WHERE NOT mixed AND parent_kind IN ('anyOf', 'oneOf') GROUP BY k.schema_id),
+z AS (SELECT k.*, shape AS nid, shape AS place FROM k WHERE parent_kind = 'object'
+  UNION ALL SELECT k.*, concat('_:', parent, '/items'), concat('_:', parent, '/items') FROM k WHERE parent_kind = 'array'
+  UNION ALL SELECT k.*, concat('_:', parent, '/', parent_kind, '/', i), concat('_:', parent, CASE WHEN parent_kind = 'allOf' OR kept.n = 1 THEN '' ELSE concat('/', parent_kind, '/', i) END)
+    FROM k JOIN m ON m.schema_id = k.schema_id LEFT JOIN kept ON kept.schema_id = k.schema_id WHERE NOT mixed AND (parent_kind = 'allOf' OR kind NOT IN ('boolean', 'untyped'))
+  UNION ALL SELECT k.*, concat('_:', parent, '/other/', i), concat('_:', parent, '/other/', i) FROM k JOIN m ON m.schema_id = k.schema_id WHERE mixed AND NOT plain AND kind <> 'ref'),
+y AS (SELECT doc, concat(nid, '/properties/inner-', ordinal) AS place, parent_kind IN ('anyOf', 'oneOf') AND NOT contains(nid, '/other/') AS shapes_only FROM z WHERE kind = 'object' AND ordinal % 2 = 0),
+c0 AS (SELECT k.schema_id, k.doc, parent, ref, uri, row_number() OVER (PARTITION BY k.schema_id ORDER BY min(i)) - 1 AS n FROM k JOIN m ON m.schema_id = k.schema_id WHERE mixed AND NOT plain AND kind = 'ref' GROUP BY k.schema_id, k.doc, parent, ref, uri),
+c AS (SELECT doc, concat('_:', parent, '/class/', n) AS place, uri FROM c0
+  UNION ALL SELECT doc, concat('_:', parent), uri FROM c0 WHERE schema_id IN (SELECT schema_id FROM c0 GROUP BY schema_id HAVING count(*) = 1) AND schema_id NOT IN (SELECT schema_id FROM z WHERE contains(nid, '/other/')))"""
 
 
-def _on(df: DataFrame, *predicates: str) -> DataFrame:
-    return df.where(F.col("p").isin(*(N.SH + p for p in predicates))).select("doc", "s", "p", "o")
+def _of_kind(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...], *predicates: str) -> DataFrame:
+    """Triples of some predicates that all nodes of some kinds, or all nodes, make."""
+    rows = corpus.nodes(spark, sf_dir)
+    rows = rows.where(F.col("kind").isin(*kinds)) if kinds else rows
+    return rules.graph_set(rules.shacl_triples(rows, predicates=predicates)).where("graph = 'shacl'").select("doc", "s", "p", "o")
 
 
 @_register(f"{_BASE} SELECT schema_id, {_fmt('name')} AS formatted FROM s")
@@ -100,12 +113,12 @@ def fn_human_label(spark, sf_dir):
 
 @_register(f"{_BASE} {_CLS}")
 def rule_classes(spark, sf_dir):
-    return _triples(spark, sf_dir).where((F.col("p") == N.RDF + "type") & (F.col("o") == N.RDFS + "Class")).select("doc", "s")
+    return _triples(spark, sf_dir, N.RDF + "type").where(F.col("o") == N.RDFS + "Class").select("doc", "s")
 
 
 @_register(f"{_BASE}, {_PROPS} SELECT DISTINCT doc, s, '{N.RDF}type' AS p, '{N.RDF}Property' AS o FROM v UNION SELECT doc, s, '{N.RDFS}domain', owner FROM v UNION SELECT doc, s, '{N.RDFS}range', r FROM v")
 def rule_properties(spark, sf_dir):
-    x = _triples(spark, sf_dir).where("graph = 'rdf'")
+    x = _triples(spark, sf_dir, N.RDF + "type", N.RDFS + "domain", N.RDFS + "range").where("graph = 'rdf'")
     return x.where(((F.col("p") == N.RDF + "type") & (F.col("o") == N.RDF + "Property")) | F.col("p").isin(N.RDFS + "domain", N.RDFS + "range")).select("doc", "s", "p", "o")
 
 
@@ -116,50 +129,47 @@ _COMBO_SQL = "Note: Uses OpenAPI ', CASE kind WHEN 'anyOf' THEN 'or_' WHEN 'oneO
 @_register(f"""{_BASE} SELECT doc, owner AS s, description AS o FROM s WHERE kind IN ('object', 'array', 'string', 'integer', 'number') AND description IS NOT NULL
   UNION {_NOTE_SQL} UNION SELECT doc, owner, concat('{_COMBO_SQL}') FROM s WHERE kind IN ('anyOf', 'oneOf', 'allOf')""")
 def rule_comments(spark, sf_dir):
-    return _triples(spark, sf_dir).where((F.col("graph") == "rdf") & (F.col("p") == N.RDFS + "comment")).select("doc", "s", "o")
+    return _triples(spark, sf_dir, N.RDFS + "comment").where("graph = 'rdf'").select("doc", "s", "o")
 
 
-@_register(f"{_BASE} SELECT doc, shape AS s, '{N.SH}minCount' AS p, '1' AS o FROM k WHERE parent_kind = 'object' AND required UNION ALL SELECT doc, shape, '{N.SH}maxCount', '1' FROM k WHERE parent_kind = 'object' AND kind <> 'array'")
+@_register(f"""{_BASE}, {_PLACES} SELECT doc, shape AS s, '{N.SH}minCount' AS p, '1' AS o FROM k WHERE parent_kind = 'object' AND required UNION ALL SELECT doc, shape, '{N.SH}maxCount', '1' FROM k WHERE parent_kind = 'object' AND kind <> 'array'
+  UNION ALL SELECT doc, place, '{N.SH}maxCount', '1' FROM y WHERE NOT shapes_only UNION ALL SELECT doc, concat(nid, '/items'), '{N.SH}minCount', CAST(min_items AS VARCHAR) FROM z WHERE kind = 'array'""")
 def rule_cardinality(spark, sf_dir):
-    return _on(_property_triples(spark, sf_dir), "minCount", "maxCount")
+    return _of_kind(spark, sf_dir, (), N.SH + "minCount", N.SH + "maxCount")
 
 
-@_register(f"{_BASE} SELECT doc, concat(shape, '/items') AS s, CAST(min_items AS VARCHAR) AS o FROM k WHERE parent_kind = 'object' AND kind = 'array'")
-def rule_item_cardinality(spark, sf_dir):
-    x = _triples(spark, sf_dir).where((F.col("p") == N.SH + "minCount") & F.col("s").rlike(r"/properties/prop-\d+/items$"))
-    return x.select("doc", "s", "o")
-
-
-@_register(f"{_BASE} SELECT doc, shape AS s, CASE WHEN isobj THEN '{N.SH}class' ELSE '{N.SH}datatype' END AS p, CASE WHEN isobj THEN uri ELSE refdt END AS o FROM k WHERE parent_kind = 'object' AND kind = 'ref'")
+@_register(f"""{_BASE}, {_PLACES}, r AS (SELECT doc, place, isobj, uri, refdt FROM z WHERE kind = 'ref' UNION ALL SELECT doc, concat(nid, '/items'), isobj, uri, refdt FROM z WHERE kind = 'array')
+  SELECT DISTINCT doc, place AS s, CASE WHEN isobj THEN '{N.SH}class' ELSE '{N.SH}datatype' END AS p, CASE WHEN isobj THEN uri ELSE refdt END AS o FROM r UNION SELECT doc, place, '{N.SH}class', uri FROM c""")
 def rule_ref_constraint(spark, sf_dir):
-    return _on(_property_triples(spark, sf_dir, "ref"), "class", "datatype")
+    return _of_kind(spark, sf_dir, ("ref",), N.SH + "class", N.SH + "datatype")
 
 
-@_register(f"""{_BASE} SELECT doc, shape AS s, '{N.SH}datatype' AS p, concat('{N.XSD}', CASE WHEN kind = 'string' AND ordinal = 3 THEN 'dateTime' ELSE 'string' END) AS o FROM k WHERE parent_kind = 'object' AND kind IN ('string', 'enum')
-  UNION ALL SELECT doc, shape, '{N.SH}minLength', CAST(minimum AS VARCHAR) FROM k WHERE parent_kind = 'object' AND kind = 'string' AND ordinal <> 3
-  UNION ALL SELECT doc, shape, '{N.SH}maxLength', CAST(maximum AS VARCHAR) FROM k WHERE parent_kind = 'object' AND kind = 'string' AND ordinal <> 3""")
+@_register(f"""{_BASE}, {_PLACES} SELECT DISTINCT doc, place AS s, '{N.SH}datatype' AS p, concat('{N.XSD}', CASE WHEN kind = 'string' AND ordinal = 3 THEN 'dateTime' ELSE 'string' END) AS o FROM z WHERE kind IN ('string', 'enum')
+  UNION SELECT doc, place, '{N.SH}datatype', '{N.XSD}string' FROM y
+  UNION SELECT doc, place, '{N.SH}minLength', CAST(minimum AS VARCHAR) FROM z WHERE kind = 'string' AND ordinal <> 3
+  UNION SELECT doc, place, '{N.SH}maxLength', CAST(maximum AS VARCHAR) FROM z WHERE kind = 'string' AND ordinal <> 3""")
 def rule_string_facets(spark, sf_dir):
-    return _on(_property_triples(spark, sf_dir, "string"), "datatype", "minLength", "maxLength", "pattern")
+    return _of_kind(spark, sf_dir, ("string",), N.SH + "datatype", N.SH + "minLength", N.SH + "maxLength", N.SH + "pattern")
 
 
-@_register(f"""{_BASE} SELECT doc, shape AS s, '{N.SH}datatype' AS p, concat('{N.XSD}', CASE WHEN kind = 'integer' THEN 'integer' WHEN ordinal % 2 = 1 THEN 'float' ELSE 'double' END) AS o FROM k WHERE parent_kind = 'object' AND kind IN ('integer', 'number')
-  UNION ALL SELECT doc, shape, '{N.SH}minInclusive', CAST(minimum AS VARCHAR) FROM k WHERE parent_kind = 'object' AND kind IN ('integer', 'number')
-  UNION ALL SELECT doc, shape, '{N.SH}maxInclusive', CAST(maximum AS VARCHAR) FROM k WHERE parent_kind = 'object' AND kind IN ('integer', 'number')""")
+@_register(f"""{_BASE}, {_PLACES} SELECT DISTINCT doc, place AS s, '{N.SH}datatype' AS p, concat('{N.XSD}', CASE WHEN kind = 'integer' THEN 'integer' WHEN ordinal % 2 = 1 THEN 'float' ELSE 'double' END) AS o FROM z WHERE kind IN ('integer', 'number')
+  UNION SELECT doc, place, '{N.SH}minInclusive', CAST(minimum AS VARCHAR) FROM z WHERE kind IN ('integer', 'number')
+  UNION SELECT doc, place, '{N.SH}maxInclusive', CAST(maximum AS VARCHAR) FROM z WHERE kind IN ('integer', 'number')""")
 def rule_numeric_facets(spark, sf_dir):
-    return _on(_property_triples(spark, sf_dir, "integer", "number"), "datatype", "minInclusive", "maxInclusive")
+    return _of_kind(spark, sf_dir, ("integer", "number"), N.SH + "datatype", N.SH + "minInclusive", N.SH + "maxInclusive")
 
 
-@_register(f"""{_BASE}, e AS (SELECT doc, concat(shape, '/enum/cell') AS cell, unnest(['1-URGENT', '2-HIGH', 'NULL', CAST(ordinal AS VARCHAR)]) AS o, unnest([0, 1, 2, 3]) AS i FROM k WHERE parent_kind = 'object' AND kind = 'enum')
+@_register(f"""{_BASE}, {_PLACES}, e AS (SELECT doc, concat(nid, '/enum/cell') AS cell, unnest(['1-URGENT', '2-HIGH', 'NULL', CAST(ordinal AS VARCHAR)]) AS o, unnest([0, 1, 2, 3]) AS i FROM z WHERE kind = 'enum')
   SELECT doc, concat(cell, i) AS s, '{N.RDF}first' AS p, o FROM e UNION ALL SELECT doc, concat(cell, i), '{N.RDF}rest', CASE WHEN i = 3 THEN '{N.RDF}nil' ELSE concat(cell, i + 1) END FROM e""")
 def rule_enum_list(spark, sf_dir):
-    return _property_triples(spark, sf_dir, "string").where(F.col("p").isin(N.RDF + "first", N.RDF + "rest")).select("doc", "s", "p", "o")
+    return _of_kind(spark, sf_dir, ("string",), N.RDF + "first", N.RDF + "rest").where(F.col("s").contains("/enum/cell"))
 
 
 @_register(f"""{_BASE}, a AS (SELECT doc, shape, concat(shape, '/items') AS item FROM k WHERE parent_kind = 'object' AND kind = 'array')
   SELECT doc, shape AS s, '{N.SH}node' AS p, '{N.DASH}ListShape' AS o FROM a UNION ALL SELECT doc, shape, '{N.SH}property', item FROM a UNION ALL SELECT doc, item, '{N.SH}path', concat(item, '/path') FROM a
   UNION ALL SELECT doc, concat(item, '/path/many'), '{N.SH}zeroOrMorePath', '{N.RDF}rest' FROM a""")
 def rule_array_shape(spark, sf_dir):
-    x = _triples(spark, sf_dir).where("graph = 'shacl'")
+    x = _triples(spark, sf_dir, N.SH + "node", N.SH + "property", N.SH + "path", N.SH + "zeroOrMorePath")
     own = F.col("s").rlike(r"^_:[^/]*/[^/]*/properties/prop-\d+(/items(/path/many)?)?$")
     item = F.col("s").endswith("/items")
     array = (F.col("p") == N.SH + "node") | ((F.col("p") == N.SH + "property") & F.col("o").endswith("/items")) | ((F.col("p") == N.SH + "path") & item) | (F.col("p") == N.SH + "zeroOrMorePath")
@@ -181,15 +191,19 @@ def rule_union_collapse(spark, sf_dir):
     return x.groupBy("doc", "schema").agg(F.count(F.when(F.col("kept"), 1)).alias("kept"))
 
 
-@_register(f"{_BASE} SELECT DISTINCT k.doc, concat('_:', parent) AS s, uri AS o FROM k JOIN m ON m.schema_id = k.schema_id WHERE NOT mixed AND parent_kind = 'allOf' AND kind = 'ref' AND isobj")
+@_register(f"{_BASE} SELECT DISTINCT doc, concat('_:', parent) AS s, uri AS o FROM k WHERE kind = 'ref' AND isobj")
 def rule_allof_inline(spark, sf_dir):
-    x = corpus.nodes(spark, sf_dir).where("role = 'allOf' and kind = 'ref'")
-    return _on(rules.graph_set(rules.shacl_triples(x)), "class").select("doc", "s", "o")
+    """Each schema as an allOf of its references to objects: all of them constrain the schema's own shape."""
+    t = corpus.tables(spark, sf_dir)
+    refs = t["children"].where((F.col("kind") == "ref") & N.is_object_ref(F.col("ref"))).groupBy("schema_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", F.col("ref").alias("$ref")))).alias("x"))
+    spec = F.to_json(F.struct(F.transform("x", lambda r: F.struct(r["$ref"].alias("$ref"))).alias("allOf")))
+    rows = t["schemas"].join(t["docs"].select("doc_id", "doc"), "doc_id").join(refs, "schema_id").select("doc", F.col("name").alias("schema"), F.col("schema_id").cast("int").alias("ordinal"), spec.alias("spec"))
+    return rules.graph_set(rules.shacl_triples(flatten(rows), predicates=(N.SH + "class",))).select("doc", "s", "o")
 
 
 @_register(f"{_BASE} SELECT doc, shape AS s FROM k WHERE parent_kind = 'object' AND kind IN ('boolean', 'untyped', 'object')")
 def rule_default_nodekind(spark, sf_dir):
-    return _on(_property_triples(spark, sf_dir), "nodeKind").select("doc", "s")
+    return _triples(spark, sf_dir, N.SH + "nodeKind").where(F.col("s").rlike(r"^_:[^/]*/[^/]*/properties/prop-\d+$")).select("doc", "s")
 
 
 @_register(f"""{_BASE}, h AS (SELECT *, concat('{P}', {_fmt(chr(39).join(['concat(doc, ', '.yaml', ')']))}, '#') AS o_ns FROM d), c AS (SELECT *, concat(o_ns, {_fmt(_SPACELESS)}) AS cls FROM h)
@@ -214,16 +228,33 @@ def owl_classes(spark, sf_dir):
     return _owl(spark, sf_dir).where((F.col("p") == N.RDF + "type") & (F.col("o") == N.OWL + "Class")).select("doc", "s")
 
 
-@_register(f"""{_BASE} SELECT DISTINCT doc, concat({_OWLNS}, {_fmt('name')}) AS s, concat({_OWLNS}, {_fmt('schema')}) AS o FROM k WHERE parent_kind = 'object' AND NOT (kind IN ('ref', 'array') AND ordinal = 7)
-  UNION SELECT doc, concat({_OWLNS}, 'inner_', ordinal), concat({_OWLNS}, {_fmt('name')}) FROM k WHERE parent_kind = 'object' AND kind = 'object' AND ordinal % 2 = 0""")
+_OWLPROPS = f"""g AS (SELECT *, concat({_OWLNS}, {_fmt('name')}) AS me, CASE WHEN kind IN ('ref', 'array') THEN CASE WHEN starts_with(ref, '#/') THEN concat({_OWLNS}, {_fmt(_LASTREF)}) ELSE concat('{P}', split_part(ref, '.yaml#', 1), '#', {_fmt(_LASTREF)}) END
+    WHEN kind = 'object' THEN concat({_OWLNS}, {_fmt('name')}) WHEN kind IN ('integer', 'boolean') THEN concat('{N.XSD}', kind) WHEN kind = 'number' THEN '{N.XSD}double' ELSE '{N.XSD}string' END AS r FROM k WHERE parent_kind = 'object' AND NOT (kind IN ('ref', 'array') AND ordinal = 7)),
+  f AS (SELECT *, kind = 'object' OR (kind IN ('ref', 'array') AND NOT regexp_matches(lower(split_part(r, '/', -1)), 'float|int|string')) AS isclass FROM g)"""
+
+
+@_register(f"""{_BASE}, {_OWLPROPS} SELECT doc, me AS s, '{N.RDFS}domain' AS p, concat({_OWLNS}, {_fmt('schema')}) AS o FROM f UNION SELECT doc, me, '{N.RDFS}range', r FROM f
+  UNION SELECT doc, me, '{N.RDF}type', concat('{N.OWL}', CASE WHEN isclass THEN 'ObjectProperty' ELSE 'DatatypeProperty' END) FROM f
+  UNION SELECT doc, concat({_OWLNS}, 'inner_', ordinal), '{N.RDFS}domain', me FROM f WHERE kind = 'object' AND ordinal % 2 = 0
+  UNION SELECT doc, concat({_OWLNS}, 'inner_', ordinal), '{N.RDFS}range', '{N.XSD}string' FROM f WHERE kind = 'object' AND ordinal % 2 = 0
+  UNION SELECT doc, concat({_OWLNS}, 'inner_', ordinal), '{N.RDF}type', '{N.OWL}DatatypeProperty' FROM f WHERE kind = 'object' AND ordinal % 2 = 0""")
 def owl_properties(spark, sf_dir):
-    x = corpus.nodes(spark, sf_dir).where("not coalesce(ref = 'other.json#/X' or item_ref = 'other.json#/X', false)")
-    return rules.graph_set(rules.owl_triples(x)).where(F.col("p") == N.RDFS + "domain").select("doc", "s", "o")
+    """Properties whose references can be resolved; owl_reference_errors has the others."""
+    typed = (F.col("p") == N.RDF + "type") & F.col("o").isin(N.OWL + "ObjectProperty", N.OWL + "DatatypeProperty")
+    return _owl(spark, sf_dir).where(typed | F.col("p").isin(N.RDFS + "domain", N.RDFS + "range")).select("doc", "s", "p", "o")
 
 
-@_register(f"{_BASE} SELECT DISTINCT doc, concat({_OWLNS}, {_fmt('name')}) AS s FROM k WHERE parent_kind = 'object' AND required")
+@_register(f"{_BASE} SELECT doc, concat('ValueError: cannot resolve the reference ', ref) AS error, count(*) AS n FROM k WHERE parent_kind = 'object' AND kind IN ('ref', 'array') AND ordinal = 7 GROUP BY doc, ref")
+def owl_reference_errors(spark, sf_dir):
+    """What fails a document in the ontology mode."""
+    return rules.reference_errors(corpus.nodes(spark, sf_dir), "owl").groupBy("doc", "error").agg(F.count("*").alias("n"))
+
+
+@_register(f"""{_BASE}, {_OWLPROPS} SELECT doc, me AS s, '{N.OWL}minCardinality' AS p, '1' AS o FROM f WHERE required UNION SELECT doc, me, '{N.OWL}maxCardinality', '1' FROM f WHERE required AND kind <> 'array' AND isclass
+  UNION SELECT doc, me, '{N.RDF}type', '{N.OWL}FunctionalProperty' FROM f WHERE required AND kind <> 'array' AND NOT isclass""")
 def owl_cardinality(spark, sf_dir):
-    return _owl(spark, sf_dir).where(F.col("p") == N.OWL + "minCardinality").select("doc", "s")
+    x = _owl(spark, sf_dir)
+    return x.where(F.col("p").isin(N.OWL + "minCardinality", N.OWL + "maxCardinality") | (F.col("o") == N.OWL + "FunctionalProperty")).select("doc", "s", "p", "o")
 
 
 @_register(f"""{_BASE}, u AS (SELECT *, row_number() OVER (PARTITION BY schema_id ORDER BY ordinal) - 1 AS n FROM k WHERE parent_kind = 'oneOf' AND kind = 'ref' AND ordinal <> 7)
@@ -234,12 +265,18 @@ def owl_oneof(spark, sf_dir):
     return _owl(spark, sf_dir).where(F.col("p").isin(N.OWL + "oneOf", N.RDF + "first")).select("doc", "s", "o")
 
 
-@_register()
+@_register(f"""WITH e AS (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY o_orderpriority) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT o_orderpriority FROM orders)),
+  x AS (SELECT *, concat('{P}orders#', {_fmt('v')}) AS me, concat('_:orders#/Order-Priority/owl/cell', i) AS cell FROM e),
+  t AS (SELECT unnest([('{N.RDF}type', '{N.OWL}Class', 'iri'), ('{N.RDFS}label', 'Order Priority', 'literal'), ('{N.RDFS}comment', 'Enumeration of Order Priority values.', 'literal'), ('{N.OWL}oneOf', '_:orders#/Order-Priority/owl/cell0', 'bnode')]) AS r)
+  SELECT '{P}orders#Order_Priority' AS s, r[1] AS p, r[2] AS o, r[3] AS o_kind FROM t
+  UNION ALL SELECT me, '{N.RDF}type', '{N.OWL}NamedIndividual', 'iri' FROM x UNION ALL SELECT me, '{N.RDFS}label', v, 'literal' FROM x
+  UNION ALL SELECT me, '{N.RDFS}comment', concat('Indicates that the Order Priority value is ', v, '.'), 'literal' FROM x
+  UNION ALL SELECT cell, '{N.RDF}first', me, 'iri' FROM x UNION ALL SELECT cell, '{N.RDF}rest', CASE WHEN i = n - 1 THEN '{N.RDF}nil' ELSE concat('_:orders#/Order-Priority/owl/cell', i + 1) END, CASE WHEN i = n - 1 THEN 'iri' ELSE 'bnode' END FROM x""")
 def owl_enum(spark, sf_dir):
     """Priorities of orders as one enumeration class."""
     values = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderpriority").distinct().agg(F.sort_array(F.collect_list("o_orderpriority")).alias("e"))
     spec = F.to_json(F.struct(F.lit("string").alias("type"), F.col("e").alias("enum")))
-    return rules.owl_triples(flatten(values.select(F.lit("orders").alias("doc"), F.lit("Order-Priority").alias("schema"), F.lit(0).alias("ordinal"), spec.alias("spec"))))
+    return rules.owl_triples(flatten(values.select(F.lit("orders").alias("doc"), F.lit("Order-Priority").alias("schema"), F.lit(0).alias("ordinal"), spec.alias("spec")))).select("s", "p", "o", "o_kind")
 
 
 @_register("SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS s, l_returnflag AS p, CAST(l_suppkey AS VARCHAR) AS o FROM lineitem")
@@ -254,9 +291,9 @@ def src_dedup(spark, sf_dir):
     return dedup_paths(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.col("page_id").alias("pos")))
 
 
-def _pair(spark, sf_dir):
+def _pair(spark, sf_dir, *predicates):
     nodes = corpus.nodes(spark, sf_dir)
-    return nodes, rules.graph_set(rules.shacl_triples(nodes))
+    return nodes, rules.graph_set(rules.shacl_triples(nodes, predicates=predicates or None))
 
 
 _WANT = "w AS (SELECT DISTINCT doc, replace(name, '-', '_') AS name FROM s), h AS (SELECT DISTINCT doc, split_part(owner, '#', -1) AS name FROM s WHERE kind IN " + _CLASSKINDS + ")"
@@ -264,17 +301,17 @@ _WANT = "w AS (SELECT DISTINCT doc, replace(name, '-', '_') AS name FROM s), h A
 
 @_register(f"{_BASE}, {_WANT} SELECT * FROM w EXCEPT SELECT * FROM h")
 def audit_missing(spark, sf_dir):
-    return audit.missing(*_pair(spark, sf_dir))
+    return audit.missing(*_pair(spark, sf_dir, N.RDF + "type"))
 
 
 @_register(f"{_BASE}, {_WANT} SELECT * FROM h EXCEPT SELECT * FROM w")
 def audit_extra(spark, sf_dir):
-    return audit.extra(*_pair(spark, sf_dir))
+    return audit.extra(*_pair(spark, sf_dir, N.RDF + "type"))
 
 
 @_register(f"{_BASE}, {_WANT} SELECT w.doc, count(*) AS total, count(h.name) AS found, count(h.name) * 100.0 / count(*) AS percent FROM w LEFT JOIN h USING (doc, name) GROUP BY w.doc")
 def audit_coverage(spark, sf_dir):
-    return audit.coverage(*_pair(spark, sf_dir)).withColumn("percent", F.col("percent").cast("double"))
+    return audit.coverage(*_pair(spark, sf_dir, N.RDF + "type")).withColumn("percent", F.col("percent").cast("double"))
 
 
 _SAID = "c AS (SELECT DISTINCT doc, split_part(owner, '#', -1) AS name FROM s WHERE (kind IN ('object', 'array', 'string', 'integer', 'number') AND description IS NOT NULL) OR kind IN ('anyOf', 'oneOf', 'allOf') OR (kind = 'object' AND (nullable OR read_only OR deprecated)))"
@@ -282,22 +319,37 @@ _SAID = "c AS (SELECT DISTINCT doc, split_part(owner, '#', -1) AS name FROM s WH
 
 @_register(f"{_BASE}, {_SAID} SELECT doc, replace(name, '-', '_') AS name FROM s WHERE description IS NOT NULL AND EXISTS (SELECT 1 FROM c WHERE c.doc = s.doc AND c.name = replace(s.name, '-', '_'))")
 def audit_comment_ask(spark, sf_dir):
-    return audit.described(*_pair(spark, sf_dir))
+    return audit.described(*_pair(spark, sf_dir, N.RDFS + "comment"))
+
+
+def _damaged(spark, sf_dir, predicate, name):
+    """The vocabulary without the triples of one predicate of the properties of one name, which the audit has to find."""
+    x = _triples(spark, sf_dir, N.RDF + "type", predicate)
+    return x.where(~((F.col("p") == predicate) & F.col("s").endswith(f"#{name}")))
 
 
-@_register(f"{_BASE}, {_PROPS} SELECT DISTINCT doc, s FROM v WHERE owner IS NULL")
+@_register(f"{_BASE}, {_PROPS} SELECT DISTINCT doc, s FROM v WHERE s LIKE '%#prop\\_3' ESCAPE '\\'")
 def audit_no_domain(spark, sf_dir):
-    return audit.lacking(_triples(spark, sf_dir), N.RDFS + "domain")
+    return audit.lacking(_damaged(spark, sf_dir, N.RDFS + "domain", "prop_3"), N.RDFS + "domain")
 
 
-@_register(f"{_BASE}, {_PROPS} SELECT DISTINCT doc, s FROM v WHERE r IS NULL")
+@_register(f"{_BASE}, {_PROPS} SELECT DISTINCT doc, s FROM v WHERE s LIKE '%#prop\\_5' ESCAPE '\\'")
 def audit_no_range(spark, sf_dir):
-    return audit.lacking(_triples(spark, sf_dir), N.RDFS + "range")
+    return audit.lacking(_damaged(spark, sf_dir, N.RDFS + "range", "prop_5"), N.RDFS + "range")
+
+
+@_register(f"""{_BASE} SELECT doc, shape AS s, concat('{N.XSD}', CASE WHEN kind = 'integer' THEN 'integer' WHEN kind = 'number' THEN 'double' ELSE 'string' END) AS expected, '{N.XSD}boolean' AS found
+  FROM k WHERE parent_kind = 'object' AND ordinal = 4 AND kind IN ('string', 'enum', 'integer', 'number')""")
+def audit_type_mapping(spark, sf_dir):
+    """Datatypes of the properties prop-4 are damaged, which the audit has to find."""
+    nodes, t = _pair(spark, sf_dir, N.SH + "datatype")
+    bad = F.when(F.col("s").endswith("/prop-4"), F.lit(N.XSD + "boolean")).otherwise(F.col("o"))
+    return audit.type_mismatches(nodes, t.withColumn("o", bad))
 
 
 @_register(f"""{_BASE}, c AS ({_CLS}), t AS (SELECT doc, owner AS s FROM s WHERE kind IN ('object', 'array', 'anyOf', 'oneOf', 'allOf')) SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc = c.doc AND t.s = c.s)""")
 def audit_no_shape(spark, sf_dir):
-    return audit.without_shape(_triples(spark, sf_dir))
+    return audit.without_shape(_triples(spark, sf_dir, N.RDF + "type", N.SH + "targetClass"))
 
 
 @_register(f"""{_BASE} SELECT doc, name, 'readOnly' AS reason FROM s WHERE read_only AND kind <> 'ref' UNION ALL SELECT doc, name, 'nullable' FROM s WHERE nullable AND kind <> 'ref' UNION ALL SELECT doc, name, kind FROM s WHERE kind IN ('anyOf', 'oneOf', 'allOf')""")
@@ -305,7 +357,11 @@ def audit_ambiguous(spark, sf_dir):
     return audit.ambiguous(corpus.nodes(spark, sf_dir))
 
 
-@_register()
+@_register(f"""{_BASE}, {_PLACES}, x AS (SELECT k.schema_id, count(DISTINCT CASE WHEN plain THEN CASE WHEN kind = 'ref' THEN split_part(refdt, '#', 2) WHEN kind = 'number' THEN 'double' WHEN kind = 'enum' THEN 'string' WHEN kind = 'string' AND ordinal = 3 THEN 'dateTime' ELSE kind END END) AS words,
+    count(DISTINCT CASE WHEN NOT plain AND kind = 'ref' THEN ref END) AS refs, count(CASE WHEN NOT plain AND kind <> 'ref' THEN 1 END) AS others FROM k JOIN m ON m.schema_id = k.schema_id WHERE mixed GROUP BY k.schema_id),
+  n AS (SELECT CAST(words > 1 AS INTEGER) + CAST(NOT (refs = 1 AND others = 0) AS INTEGER) AS n FROM x
+    UNION ALL SELECT 1 FROM kept JOIN s ON s.schema_id = kept.schema_id WHERE s.kind = 'anyOf' AND kept.n > 1)
+  SELECT '{N.SH}or_' AS p, CAST(sum(n) AS BIGINT) AS n FROM n HAVING sum(n) > 0""")
 def audit_predicate_whitelist(spark, sf_dir):
     return audit.odd_predicates(_triples(spark, sf_dir))
 
@@ -320,17 +376,26 @@ def audit_stats(spark, sf_dir):
     return audit.stats(_triples(spark, sf_dir))
 
 
-@_register(f"""{_BASE}, {_WANT}, {_PROPS}, {_SAID}, x AS (SELECT (SELECT count(*) FROM w JOIN h USING (doc, name)) * 100.0 / (SELECT count(*) FROM w) AS schemas, 100.0 AS properties,
+@_register(f"""{_BASE}, {_WANT}, {_PROPS}, {_SAID}, pw AS (SELECT DISTINCT doc, replace(name, '-', '_') AS name FROM k WHERE parent_kind = 'object'), ph AS (SELECT DISTINCT doc, split_part(s, '#', -1) AS name FROM v), x AS (SELECT (SELECT count(*) FROM w JOIN h USING (doc, name)) * 100.0 / (SELECT count(*) FROM w) AS schemas, (SELECT count(*) FROM pw JOIN ph USING (doc, name)) * 100.0 / (SELECT count(*) FROM pw) AS properties,
   (SELECT count(*) FROM s WHERE description IS NOT NULL AND EXISTS (SELECT 1 FROM c WHERE c.doc = s.doc AND c.name = replace(s.name, '-', '_'))) * 100.0 / (SELECT count(*) FROM s WHERE description IS NOT NULL AND kind <> 'ref') AS descriptions)
   SELECT *, (schemas + properties + descriptions) / 3 AS score, CASE WHEN (schemas + properties + descriptions) / 3 >= 95 THEN 'excellent' WHEN (schemas + properties + descriptions) / 3 >= 85 THEN 'good' WHEN (schemas + properties + descriptions) / 3 >= 70 THEN 'fair' ELSE 'poor' END AS band FROM x""")
 def audit_score(spark, sf_dir):
-    x = audit.score(*_pair(spark, sf_dir))
+    x = audit.score(*_pair(spark, sf_dir, N.RDF + "type", N.RDFS + "comment"))
     return x.select(*(F.col(c).cast("double").alias(c) for c in ("schemas", "properties", "descriptions", "score")), "band")
 
 
+@_register(f"""{_BASE}, {_WANT}, miss AS (SELECT doc, string_agg(name, ',' ORDER BY name) AS missing FROM (SELECT * FROM w EXCEPT SELECT * FROM h) GROUP BY doc), more AS (SELECT doc, string_agg(name, ',' ORDER BY name) AS extra FROM (SELECT * FROM h EXCEPT SELECT * FROM w) GROUP BY doc)
+  SELECT d.doc, count(DISTINCT w.name) AS schemas, coalesce(any_value(miss.missing), '') AS missing, coalesce(any_value(more.extra), '') AS extra, any_value(x.described) AS described
+  FROM (SELECT DISTINCT doc FROM s) d JOIN w ON w.doc = d.doc LEFT JOIN miss ON miss.doc = d.doc LEFT JOIN more ON more.doc = d.doc LEFT JOIN (SELECT doc, count(description) AS described FROM s WHERE kind <> 'ref' GROUP BY doc) x ON x.doc = d.doc GROUP BY d.doc""")
+def audit_report(spark, sf_dir):
+    """The figures of the completeness report; its text is made of them."""
+    x = audit.completeness(*_pair(spark, sf_dir, N.RDF + "type", N.RDFS + "comment"))
+    return x.select("doc", "schemas", F.array_join("schemas_missing", ",").alias("missing"), F.array_join("schemas_extra", ",").alias("extra"), "described")
+
+
 @_register(f"{_BASE} SELECT DISTINCT doc, concat('<', owner, '> <{N.RDF}type> <{N.RDFS}Class> .') AS line FROM s WHERE kind IN {_CLASSKINDS}")
 def sink_ntriples(spark, sf_dir):
-    x = _triples(spark, sf_dir).where((F.col("p") == N.RDF + "type") & (F.col("o") == N.RDFS + "Class"))
+    x = _triples(spark, sf_dir, N.RDF + "type").where(F.col("o") == N.RDFS + "Class")
     return sinks.ntriples(x).select("doc", "line")
 
 
@@ -348,7 +413,15 @@ def turtle_roundtrip(spark, sf_dir):
     return t.groupBy("graph", "doc").agg(F.count("*").alias("written")).join(read, ["graph", "doc"])
 
 
-@_register()
+_FIXED = ", ".join(f"('{k}', '{v}')" for k, v in (("rdf", N.RDF), ("rdfs", N.RDFS), ("xsd", N.XSD), ("sh", N.SH), ("dash", N.DASH)))
+_LABEL = f"{_fmt(chr(39).join(['concat(doc, ', '.yaml', ')']))}"
+_PREFIXES = f"""{_BASE}, fixed AS (SELECT unnest([{_FIXED}]) AS r),
+  files AS (SELECT k.doc AS own, split_part(ref, '.yaml#', 1) AS doc FROM k LEFT JOIN m ON m.schema_id = k.schema_id WHERE contains(ref, '.yaml#') AND (kind = 'array' OR (kind = 'ref' AND NOT (coalesce(mixed, false) AND NOT isobj)))
+    UNION ALL SELECT s.doc, t.doc FROM s JOIN s AS t ON t.schema_id = 0 WHERE s.kind = 'ref' AND s.doc_id <> t.doc_id),
+  prefixes AS (SELECT DISTINCT s.doc, r[1] AS prefix, r[2] AS uri FROM s CROSS JOIN fixed UNION SELECT doc, {_LABEL}, ns FROM s UNION SELECT own, {_LABEL}, {_ns('doc')} FROM files)"""
+
+
+@_register(f"{_PREFIXES} SELECT * FROM prefixes")
 def graph_prefixes(spark, sf_dir):
     return rules.prefixes(corpus.nodes(spark, sf_dir))
 
@@ -359,14 +432,17 @@ def audit_unused_prefixes(spark, sf_dir):
     return audit.unused_prefixes(rules.prefixes(nodes), t)
 
 
-@_register()
+@_register(f"{_PREFIXES} SELECT * FROM prefixes WHERE prefix NOT IN ('rdf', 'rdfs', 'xsd', 'owl', 'sh', 'dash') AND NOT starts_with(uri, '{P}rdf/')")
 def audit_odd_prefixes(spark, sf_dir):
-    return audit.odd_prefixes(rules.prefixes(corpus.nodes(spark, sf_dir)))
+    """Prefixes outside of one folder of the namespace."""
+    return audit.odd_prefixes(rules.prefixes(corpus.nodes(spark, sf_dir)), P + "rdf/")
 
 
-@_register()
+@_register(f"{_BASE} SELECT doc, NOT bool_or(kind IN ('object', 'array', 'anyOf', 'oneOf', 'allOf') AND NOT contains(name, 'Int')) AS no_target, false AS no_shacl FROM s GROUP BY doc HAVING bool_or(kind IN ('object', 'array', 'anyOf', 'oneOf', 'allOf'))")
 def audit_shape_findings(spark, sf_dir):
-    return audit.shape_findings(_triples(spark, sf_dir))
+    """The shapes without the targets whose names have Int in them."""
+    x = _triples(spark, sf_dir).where(~((F.col("p") == N.SH + "targetClass") & F.element_at(F.split("o", "#"), -1).contains("Int")))
+    return audit.shape_findings(x)
 
 
 @_register()

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.naming import DASH, OWL, RDF, RDFS, SH, XSD, format_name, main_namespace
+from ..functions.naming import DASH, OWL, RDF, RDFS, SH, XSD, file_label, file_stem, main_namespace
 
 STANDARD = {"rdf": RDF, "rdfs": RDFS, "xsd": XSD, "owl": OWL, "sh": SH, "dash": DASH}
 
@@ -41,6 +43,40 @@ def write_parquet(triples: DataFrame, path: str) -> None:
     triples.write.mode("overwrite").partitionBy("graph").parquet(path)
 
 
+#: Where the files of each graph go, by the name of the document.
+FILES = {"rdf": "rdf/{}_rdf.ttl", "shacl": "shacl/{}_shacl.ttl", "owl": "{}.ttl"}
+
+
+def write_turtle(documents: DataFrame, path: str) -> None:
+    """Write documents(graph, doc, content), a file each: rdf/<name>_rdf.ttl, shacl/<name>_shacl.ttl or <name>.ttl.
+
+    Contents are written by the executors into a folder beside, whose files then get their
+    names. A file that is there is replaced; of documents with one name the last in order stays.
+    """
+    spark = documents.sparkSession
+    staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    make = jvm.org.apache.hadoop.fs.Path
+    fs = make(path).getFileSystem(conf)
+    # The writer ends a row with a newline of its own.
+    documents.select("graph", "doc", F.regexp_replace("content", r"\n\z", "").alias("content")).write.partitionBy("graph", "doc").text(staging)
+    try:
+        for graph, pattern in FILES.items():
+            top = make(f"{staging}/graph={graph}")
+            if not fs.exists(top):
+                continue
+            for folder in sorted(fs.listStatus(top), key=lambda f: unquote(f.getPath().getName())):
+                name = unquote(folder.getPath().getName().removeprefix("doc=")).rsplit("/", 1)[-1]
+                part = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+                target = make(f"{path.rstrip('/')}/{pattern.format(name)}")
+                fs.mkdirs(target.getParent())
+                fs.delete(target, False)
+                if not fs.rename(part, target):
+                    raise OSError(f"cannot write {target}")
+    finally:
+        fs.delete(make(staging), True)
+
+
 _LOCAL = re.compile(r"[A-Za-z_][A-Za-z0-9_\-]*\Z")
 
 
@@ -110,7 +146,7 @@ def turtle_documents(triples: DataFrame, prefix: str, base: str | None = None) -
         rows = [tuple(None if x is None or x != x else x for x in r) for r in pdf[["s", "s_kind", "p", "o", "o_kind", "o_dt"]].itertuples(index=False)]
         return pd.DataFrame([{"graph": first["graph"], "doc": first["doc"], "content": turtle(rows, {first["label"]: first["space"]})}])
 
-    named = triples.withColumn("label", format_name(F.concat("doc", F.lit(".yaml")))).withColumn("space", main_namespace(F.col("doc"), prefix, base))
+    named = triples.withColumn("label", file_label(F.col("doc"))).withColumn("space", main_namespace(F.col("doc"), prefix, base))
     return named.groupBy("graph", "doc").applyInPandas(run, "graph string, doc string, content string")
 
 

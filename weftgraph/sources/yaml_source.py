@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
@@ -20,10 +21,13 @@ def dedup_paths(paths: DataFrame) -> DataFrame:
 
 
 def discover(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Files of the given paths: a folder gives its *.yaml files at any depth; anything else must end in .yaml."""
+    """Files of the given paths, which must all exist: a folder gives its *.yaml files at any depth; anything else must end in .yaml."""
     out: list[str] = []
     for p in paths:
         if p.endswith(".yaml"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+                raise FileNotFoundError(f"{p} does not exist")
             out.append(p)
             continue
         found = sorted(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.yaml").load(p).inputFiles())
@@ -45,11 +49,11 @@ def _bad_key(k: Any) -> str:
     raise TypeError(f"{k!r} is no string key")
 
 
-def decoded(path: str, content: str, strict: bool = True) -> list[dict[str, Any]]:
-    """Rows of one document; one row with an error, or without a schema, if there are none."""
+def decoded(path: str, content: str, strict: bool = True, whole: bool = False) -> list[dict[str, Any]]:
+    """Rows of one document; one row with an error, or without a schema, if there are none. With whole, its path is its name."""
     import yaml
 
-    base = {"doc": path.rsplit("/", 1)[-1].removesuffix(".yaml"), "path": path, "ordinal": -1, "has_header": False}
+    base = {"doc": (path if whole else path.rsplit("/", 1)[-1]).removesuffix(".yaml"), "path": path, "ordinal": -1, "has_header": False}
     try:
         tree = yaml.safe_load(content)
         if tree is None and strict:
@@ -66,12 +70,17 @@ def decoded(path: str, content: str, strict: bool = True) -> list[dict[str, Any]
 
 
 def read_specs(spark: SparkSession, files: list[str], strict: bool = True) -> DataFrame:
-    """One row for each schema of each file. A file that fails is one row with its error; the others go on."""
+    """One row for each schema of each file. A file that fails is one row with its error; the others go on.
+
+    A document goes by the name of its file, or, if several files have that, by its path.
+    """
+    count = Counter(f.rsplit("/", 1)[-1] for f in dict.fromkeys(files))
+    shared = {n for n, k in count.items() if k > 1}
     names = [x.strip().split(" ")[0] for x in SPEC.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [r for path, content in batch.itertuples(index=False) for r in decoded(path, content, strict)]
+            rows = [r for path, content in batch.itertuples(index=False) for r in decoded(path, content, strict, path.rsplit("/", 1)[-1] in shared)]
             yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
 
     same = lambda c: F.regexp_replace(F.regexp_replace(c, r"^/", "file:/"), r"^file:/+", "file:/")

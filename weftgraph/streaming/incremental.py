@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.naming import PREFIX
-from ..plans.convert import convert
+from ..plans.convert import converted
 from ..sources.yaml_source import SPEC, decoded
 
 
 def stream_conversion(spark: SparkSession, folder: str, output: str, checkpoint: str, mode: str = "shacl", prefix: str = PREFIX) -> StreamingQuery:
-    """Convert each new *.yaml file of a folder into Parquet triples under output/batch=<n>; a rerun batch overwrites its own."""
+    """Convert each new *.yaml file of a folder into Parquet triples under output/batch=<n>, errors under output/_errors/batch=<n>.
+
+    A rerun batch overwrites its own.
+    """
     import pandas as pd
 
     texts = spark.readStream.format("text").schema("value string").option("wholetext", True).option("pathGlobFilter", "*.yaml").option("recursiveFileLookup", True).load(folder)
@@ -24,7 +27,10 @@ def stream_conversion(spark: SparkSession, folder: str, output: str, checkpoint:
             yield pd.DataFrame([[r.get(n) for n in names] for path, content in b.itertuples(index=False) for r in decoded(path, content, mode == "shacl")], columns=names, dtype=object)
 
     def batch(df: DataFrame, number: int) -> None:
-        triples, _ = convert(df.mapInPandas(rows, SPEC), mode, prefix)
-        triples.write.mode("overwrite").parquet(f"{output}/batch={number}")
+        specs = df.mapInPandas(rows, SPEC).persist()
+        with converted(specs, mode, prefix) as (triples, errors):
+            triples.write.mode("overwrite").parquet(f"{output}/batch={number}")
+            errors.write.mode("overwrite").parquet(f"{output}/_errors/batch={number}")
+        specs.unpersist()
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
