@@ -8,6 +8,8 @@ stage against a brute-force version.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,29 @@ from weftgraph.llm.blocks import release
 from weftgraph.llm.storage import shared_dir, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Tables that stages wrote for themselves.
+_held: list[str] = []
+
+
+def _stage(function):
+    """The stage, which first frees the shuffle files and tables of earlier ones, but for tables that its docs still read."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        read = docs.inputFiles() if _held else []
+        done = [x for x in _held if not any(x.rsplit("/", 1)[1] in file for file in read)]
+        storage.delete(spark, [x for x in done if x in storage.created])
+        _held[:] = [x for x in _held if x not in done]
+        own = len(storage.created)
+        out = function(spark, docs, sf_dir)
+        _held.extend(storage.created[own:])
+        return out
+
+    return run_stage
 
 
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language is found, null texts and those without a letter; lang becomes the predicted language.
 
@@ -29,27 +52,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+@_stage
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, with the largest doc_id."""
-    release(spark)  # shuffle files of the stage before
     return exact_dedup.without_copies(docs.select(*COLUMNS))
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates, of a similarity of 0.8 or more, one row stays, with the smallest doc_id."""
-    release(spark)  # shuffle files of the stage before
     return near_dedup.without_near_copies(docs.select(*COLUMNS), numerator=80)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it: not at all, once or twice."""
-    release(spark)  # shuffle files of the stage before
     return mixing.repeated(docs.select(*COLUMNS))
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
-    release(spark)  # shuffle files of the stage before
     import public_tokenizers
 
     return bpe.encoding_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
