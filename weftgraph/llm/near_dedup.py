@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import storage
 from .blocks import release
 from .components import connected
 from .storage import numbered, stored
@@ -244,15 +245,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rare = postings.join(shared, "key").withColumn("common", common).where(F.col("common") > F.least("n", F.lit(INDEXED)) - listed(F.col("n"), numerator, denominator))
     listings = stored(rare.select("key", "id").distinct(), "listings")
     members = stored(listings.join(listings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "members")
+    del postings, shared, rare
+    release(docs.sparkSession)
     central = members.groupBy("id").agg(F.sum("m").alias("met"))
     placed = members.join(central, "id")
     pivots = placed.groupBy("key").agg(F.max(F.struct(F.col("met"), (-F.col("id")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("pivot"))
     star = members.join(pivots, "key").where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     involved = stored(rows.join(central.select("id"), "id", "left_semi").mapInArrow(_sets(words), "id long, n long, whole binary"), "sets")
+    release(docs.sparkSession)  # the texts that were dealt for their sets
     involved = involved.withColumn("sketch", F.substring("whole", 1, 8 * SKETCH))
     links = stored(_links(star, involved, numerator, denominator), "links")
     first = connected(links)
-    del postings, rare
     release(docs.sparkSession)
 
     # Lists that still hold different components, each set of members once.
@@ -302,7 +305,13 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     its component has one.
     """
     rows, row = numbered(docs)
+    own = len(storage.created)
     found = near_duplicates(rows, row, text_col, words, numerator, denominator).select(F.col("doc_id").alias("node"), "component_id")
     about = rows.select(F.col(row).alias("node"), F.col(id_col).cast("long").alias("id"))
     first = found.join(about, "node").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("x"))
-    return rows.join(first.select(F.col("x.node").alias(row)), row, "left_semi").select(*docs.columns)
+    done = len(storage.created)
+    kept = stored(first.select(F.col("x.node").alias(row)), "kept")
+    # Sets and lists go before the texts are dealt once more.
+    storage.delete(docs.sparkSession, storage.created[own:done])
+    release(docs.sparkSession)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
