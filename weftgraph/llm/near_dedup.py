@@ -314,4 +314,5 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Sets and lists go before the texts are dealt once more.
     storage.delete(docs.sparkSession, storage.created[own:done])
     release(docs.sparkSession)
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    # Not broadcast: files of such numbers are many times smaller than what they are in memory, and Spark goes by the files.
+    return rows.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
