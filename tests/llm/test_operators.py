@@ -206,6 +206,66 @@ def test_warc(spark, tmp_path):
         assert zipfile.ZipFile(p).testzip() is None
 
 
+@pytest.mark.parametrize("zip64", [False, True])
+def test_warc_members_and_indexes(tmp_path, zip64):
+    """Records come back from WARC files by their indexes, without one by walking, and damage is found."""
+    import io
+    import json
+    import zipfile
+
+    made = [warc.record("response", f"http://h.example.org:80/ü {i}", bytes([65 + i % 26]) * (i * 37), i, i * 37, "d", None) for i in range(200)]
+    file = io.BytesIO()
+    writer = warc.WarcWriter(file, zip64, member_bytes=20_000)
+    for i, data in enumerate(made):
+        writer.add(f"http://h.example.org:80/ü {i}", "d", data)
+    writer.close()
+    whole = file.getvalue()
+    assert list(warc.ZipReader(file, len(whole)).records()) == made
+    other = zipfile.ZipFile(file)
+    assert other.testzip() is None
+    names = other.namelist()
+    assert len(names) > 10 and {n.split("/")[0] for n in names} == {"archive", "indexes"}
+    for n in names:
+        if n.startswith("indexes/"):
+            for line in other.read(n).decode().splitlines():
+                key, _, place = line.split(" ", 2)
+                place = json.loads(place)
+                at, size = int(place["offset"]), int(place["length"])
+                assert key.startswith("org,example,h)/") and other.read("archive/" + place["filename"])[at : at + size] in made
+
+    bare = io.BytesIO()
+    plain = warc.ZipWriter(bare, zip64)
+    plain.add("archive/a.warc", *made[:100])
+    plain.add("notes.txt", b"x")
+    plain.add("archive/b.warc", *made[100:])
+    plain.close()
+    assert list(warc.ZipReader(bare, len(bare.getvalue())).records()) == made
+
+    at = whole.index(b"C" * 37 * 2)
+    broken = io.BytesIO(whole[:at] + b"x" + whole[at + 1 :])
+    with pytest.raises(ValueError):
+        list(warc.ZipReader(broken, len(whole)).records())
+
+
+def test_warc_names_the_response(spark):
+    """Empty tables, clashing columns, and the standard fields of revisits."""
+    schema = "page_id long, url string, html string, digest string, size long, first long"
+    none = warc.read_archives(warc.write_archives(spark.createDataFrame([], schema)))
+    assert none.count() == 0
+    big = "é" * 70_000
+    rows = [(1, "http://a/1", big), (9, None, big), (9, "http://a/9", big), (None, None, big), (None, None, None)]
+    done = warc.write_archives(spark.createDataFrame([(*r, "x", 0, 0) for r in rows], schema))
+    got = sorted((str(r.page_id), r.url, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(done).collect())
+    assert got == sorted([("1", "http://a/1", "revisit", 9, 140_000), ("9", "", "response", None, 140_000), ("9", "http://a/9", "response", None, 140_000), ("None", "", "revisit", 9, 140_000), ("None", "", "response", None, 0)])
+    raw = []
+    for r in done.collect():
+        files, path = warc._open(r.archive)
+        with files.open_input_file(path) as f:
+            raw += [warc.parsed(x)[0] for x in warc.ZipReader(f, files.get_file_info(path).size).records()]
+    ids = {f["warc-record-id"] for f in raw if f["warc-target-uri"] == "http://a/9"}
+    assert {f["warc-refers-to"] for f in raw if f["warc-type"] == "revisit"} == ids and len(ids) == 1
+
+
 def test_top_products(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(120)] + [(120, None, 0), (121, [None] * 8, 0), (122, [float("nan")] * 8, 0), (123, rows0 := [0.5] * 8, 0), (124, rows0, 0)]
