@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from .textkernels import column_bytes, pieces
 
-#: Distinct words a worker remembers, and the words it joins at once.
-_REMEMBERED = 300_000
+#: Distinct words a worker remembers, and the words it joins and learns at once.
+_REMEMBERED = 200_000
 _JOINED = 1 << 16
+_LEARNED = 1 << 13
 
 
 def byte_characters() -> list[str]:
@@ -115,9 +116,13 @@ class Codec:
             known.clear()
             words = needed
         plain = [w for w in words if " " not in w]
-        known.update(zip(plain, self._entries(plain, True), strict=True))
+        for i in range(0, len(plain), _LEARNED):
+            part = plain[i : i + _LEARNED]
+            known.update(zip(part, self._entries(part, True), strict=True))
         rest = [w for w in words if " " in w]
-        known.update(zip(rest, self._entries([" " + w for w in rest], False), strict=True))
+        for i in range(0, len(rest), _LEARNED):
+            part = rest[i : i + _LEARNED]
+            known.update(zip(part, self._entries([" " + w for w in part], False), strict=True))
 
     def _words(self, text: str) -> list[str]:
         """A text cut at single spaces between other characters.
@@ -187,7 +192,7 @@ def codec(path: str, pattern: str) -> Codec:
 def _digested(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", 1 << 19):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             own.prepare(texts)
             rows = own.digests(texts)
@@ -200,7 +205,7 @@ def _digested(path: str, pattern: str):
 def _coded(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 1 << 19):
             ids = own.encode([t or "" for t in batch.column(1).to_pylist()])
             texts = [own.decode(i) for i in ids]
             columns = [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.binary())]
