@@ -20,6 +20,8 @@ from weftgraph.llm.storage import shared_dir, stored
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Tables that stages wrote for themselves.
 _held: list[str] = []
+#: Rows of a batch between Spark and Python, if the session sets none: whole texts of 10,000 rows would take tens of MB a task, several times over.
+_BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def _stage(function):
@@ -28,6 +30,8 @@ def _stage(function):
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark)
+        if spark.conf.get(_BATCH[0], None) is None:
+            spark.conf.set(*_BATCH)
         read = docs.inputFiles() if _held else []
         done = [x for x in _held if not any(x.rsplit("/", 1)[1] in file for file in read)]
         storage.delete(spark, [x for x in done if x in storage.created])
