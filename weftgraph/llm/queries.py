@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, langid, lm, mixing, near_dedup, suffix_dedup, topk, warc
+from . import bpe, exact_dedup, html_extract, langid, line_dedup, lm, mixing, near_dedup, prefix_trie, suffix_dedup, topk, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,12 +57,28 @@ def op10_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(_table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_near_duplicates, op2_mixing, op3_language_model, op4_suffix_dedup, op5_language_id,
         op6_html_text, op7_byte_bpe, op8_exact_duplicates, op9_warc, op10_top_products,
+        op11_prefix_trie, op12_vector_codes, op13_line_dedup,
     )
 }
 
-ORACLE_SQL = {"op8_exact_duplicates": exact_dedup.EXACT_SQL, "op9_warc": warc.WARC_SQL, "op10_top_products": topk.TOPK_SQL}
+ORACLE_SQL = {
+    "op8_exact_duplicates": exact_dedup.EXACT_SQL, "op9_warc": warc.WARC_SQL, "op10_top_products": topk.TOPK_SQL,
+    "op11_prefix_trie": prefix_trie.TRIE_SQL, "op12_vector_codes": vector_codes.CODES_SQL, "op13_line_dedup": line_dedup.LINES_SQL,
+}
