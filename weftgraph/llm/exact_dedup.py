@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import numbered, stored
+from .storage import numbered, scope, stored
 from .textkernels import column_bytes, pieces
 
 _SLOTS = 4
@@ -207,8 +207,11 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     what repeats only the id of another row, or has none, is as safe as all others.
     """
     rows, row = numbered(docs)
-    kept = _decided(rows.select(F.col(id_col).cast("long").alias("id"), F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))).where("row = keep_row")
-    return rows.join(kept.select(F.col("row").alias(row)), row, "left_semi").select(*docs.columns)
+    with scope() as own:
+        decided = _decided(rows.select(F.col(id_col).cast("long").alias("id"), F.col(row).alias("row"), F.col(text_col).cast("string").alias("text")))
+        kept = stored(decided.where("row = keep_row").select(F.col("row").alias(row)), "kept")
+        own.delete(docs.sparkSession, kept)
+    return rows.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 EXACT_SQL = """

@@ -25,6 +25,8 @@ DOCUMENT = 300
 LANGUAGES = 64
 _PIECE = 1 << 19
 _CODE = np.uint64(1 << 21)
+#: The blank has a code of its own, which is no letter; 0 is no character at all, so that " a", "a" and "a " differ.
+_BLANK = 1
 
 _letters: np.ndarray | None = None
 
@@ -37,13 +39,13 @@ def _is_letter() -> np.ndarray:
 
 
 def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased letters of all texts with one blank (0) for what stands between, and each one's text."""
+    """Lower-cased letters of all texts with one blank for what stands between, and each one's text."""
     low = [t.lower() for t in texts]
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(low)), [len(t) for t in low])
-    codes = np.where(_is_letter()[codes], codes, 0)
+    codes = np.where(_is_letter()[codes], codes, _BLANK)
     n = len(codes)
-    blank = codes == 0
+    blank = codes == _BLANK
     again = np.zeros(n, bool)
     again[1:] = blank[1:] & blank[:-1] & (owner[1:] == owner[:-1])
     keep = ~again
@@ -53,14 +55,14 @@ def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def gram_counts(texts: list[str], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, code, count) of all n-grams, sorted by group and code; group numbers the texts.
 
-    Each text starts and ends with a blank. A code holds three characters of 21 bits.
+    Each text starts and ends with a blank. A code holds three characters of 21 bits, the
+    first ones 0 in n-grams of fewer. Blanks alone are no n-gram, and none has one inside.
     """
     codes, owner = _characters([f" {t} " for t in texts])
     alphabet, small = np.unique(codes, return_inverse=True)
-    if not len(alphabet) or alphabet[0] != 0:
-        alphabet, small = np.concatenate([[0], alphabet]), small + 1
+    alphabet, small = np.concatenate([[0], alphabet]), small.astype(np.int64) + 1
     bits = max(1, int(len(alphabet) - 1).bit_length())
-    small = small.astype(np.int64)
+    letter = alphabet[small] != _BLANK
     groups = int(group.max()) + 1 if len(group) else 0
     if 3 * bits + max(1, groups.bit_length()) > 62:  # many scripts at once
         if len(texts) > 1:
@@ -75,10 +77,9 @@ def gram_counts(texts: list[str], group: np.ndarray) -> tuple[np.ndarray, np.nda
     at = group.astype(np.int64)[owner] << shift
     same2 = owner[1:] == owner[:-1]
     same3 = same2[1:] & same2[:-1]
-    one = (at | small)[small > 0]
+    one = (at | small)[letter]
     two = (at[1:] | small[:-1] << np.int64(bits) | small[1:])[same2]
-    three = (at[2:] | small[:-2] << np.int64(2 * bits) | small[1:-1] << np.int64(bits) | small[2:])[same3 & (small[1:-1] > 0)]
-    two = two[((two >> np.int64(bits)) & np.int64((1 << bits) - 1)) > 0]  # a blank and a letter would look like the letter alone
+    three = (at[2:] | small[:-2] << np.int64(2 * bits) | small[1:-1] << np.int64(bits) | small[2:])[same3 & letter[1:-1]]
     keys = np.sort(np.concatenate([one, two, three]))
     if not len(keys):
         none = np.zeros(0, np.int64)
@@ -115,7 +116,7 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_profiles(labelled: DataFrame) -> DataFrame:
     """labelled(lang, text) to profiles(lang, rank, gram), of all its rows; null langs and texts teach nothing."""
-    used = labelled.where("lang is not null and text is not null")
+    used = labelled.where("lang is not null and text is not null").select("lang", "text")
     counts = used.mapInArrow(_learned, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE).select("lang", (F.col("rank") - 1).alias("rank"), "gram")

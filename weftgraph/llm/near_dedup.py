@@ -305,14 +305,13 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     its component has one.
     """
     rows, row = numbered(docs)
-    own = len(storage.created)
-    found = near_duplicates(rows, row, text_col, words, numerator, denominator).select(F.col("doc_id").alias("node"), "component_id")
-    about = rows.select(F.col(row).alias("node"), F.col(id_col).cast("long").alias("id"))
-    first = found.join(about, "node").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("x"))
-    done = len(storage.created)
-    kept = stored(first.select(F.col("x.node").alias(row)), "kept")
-    # Sets and lists go before the texts are dealt once more.
-    storage.delete(docs.sparkSession, storage.created[own:done])
+    with storage.scope() as own:
+        found = near_duplicates(rows, row, text_col, words, numerator, denominator).select(F.col("doc_id").alias("node"), "component_id")
+        about = rows.select(F.col(row).alias("node"), F.col(id_col).cast("long").alias("id"))
+        first = found.join(about, "node").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("x"))
+        kept = stored(first.select(F.col("x.node").alias(row)), "kept")
+        # Sets and lists go before the texts are dealt once more.
+        own.delete(docs.sparkSession, kept)
     release(docs.sparkSession)
     # Not broadcast: files of such numbers are many times smaller than what they are in memory, and Spark goes by the files.
     return rows.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
