@@ -13,33 +13,24 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, exact_dedup, langid, mixing, near_dedup, storage
+from weftgraph.llm import bpe, exact_dedup, langid, mixing, near_dedup
 from weftgraph.llm.blocks import release
-from weftgraph.llm.storage import shared_dir, stored
+from weftgraph.llm.storage import scope, shared_dir, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Tables that stages wrote for themselves.
-_held: list[str] = []
 #: Rows of a batch between Spark and Python, if the session sets none: whole texts of 10,000 rows would take tens of MB a task, several times over.
 _BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def _stage(function):
-    """The stage, which first frees the shuffle files and tables of earlier ones, but for tables that its docs still read."""
+    """The stage, which first lets go of the shuffle files of finished ones. Tables stay: results that are still read may need them."""
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark)
         if spark.conf.get(_BATCH[0], None) is None:
             spark.conf.set(*_BATCH)
-        read = docs.inputFiles() if _held else []
-        done = [x for x in _held if not any(x.rsplit("/", 1)[1] in file for file in read)]
-        storage.delete(spark, [x for x in done if x in storage.created])
-        _held[:] = [x for x in _held if x not in done]
-        own = len(storage.created)
-        out = function(spark, docs, sf_dir)
-        _held.extend(storage.created[own:])
-        return out
+        return function(spark, docs, sf_dir)
 
     return run_stage
 
@@ -96,13 +87,17 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage is written as Parquet and read again by the next.
 
-    What a stage wrote for itself, and the output of the one before, goes when it is done.
+    A run owns the tables of its stages: what a stage wrote for itself goes when its
+    output is written, and that output when the next one's is.
     """
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = shared_dir(spark, f"stage-{name}")
-        own = len(storage.created)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        storage.delete(spark, [*before, *storage.created[own:]])
-        docs, before = spark.read.parquet(path), [path]
+        with scope() as output:
+            path = shared_dir(spark, f"stage-{name}")
+        with scope() as own:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        own.delete(spark)
+        if before is not None:
+            before.delete(spark)
+        docs, before = spark.read.parquet(path), output
     return docs
