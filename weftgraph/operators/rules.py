@@ -41,9 +41,10 @@ def _t(graph: str, s: Column, s_kind: str, p: str, o, o_kind: str, dt=None) -> C
 
 
 def _exploded(nodes: DataFrame, single: list[Column], many: list[Column]) -> DataFrame:
-    found = F.filter(F.array(*single) if single else F.array().cast(_STRUCTS), lambda x: x.isNotNull())
-    every = F.concat(found, *[F.coalesce(m, F.slice(found, 1, 0)) for m in many])
-    return nodes.select("doc", F.explode(every).alias("t")).select("t.graph", "doc", "t.s", "t.s_kind", "t.p", "t.o", "t.o_kind", "t.o_dt")
+    none = F.array().cast(_STRUCTS)
+    # Triples that do not hold are null and go behind the explode: a filter of the array would be interpreted, with all that is in it.
+    every = F.concat(F.array(*single).cast(_STRUCTS) if single else none, *[F.coalesce(m, none) for m in many])
+    return nodes.select("doc", F.explode(every).alias("t")).where("t is not null").select("t.graph", "doc", "t.s", "t.s_kind", "t.p", "t.o", "t.o_kind", "t.o_dt")
 
 
 def _cells(graph: str, base: Column, values: Column, item) -> Column:
