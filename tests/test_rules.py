@@ -17,7 +17,7 @@ NS = "http://example.org/models/TS1/A#"
 def graph(spark, schemas, convert=shacl_triples):
     rows = [("TS1_A", k, i, json.dumps(v)) for i, (k, v) in enumerate(schemas.items())]
     specs = spark.createDataFrame(rows, "doc string, schema string, ordinal int, spec string")
-    return {(r.graph, r.s, r.p, r.o) for r in graph_set(convert(flatten(specs))).collect()}
+    return {(r.graph, r.s, r.p, r.o) for r in graph_set(convert(flatten(specs, "owl" if convert is owl_triples else "shacl"))).collect()}
 
 
 def found(g, p, s=None):

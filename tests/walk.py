@@ -28,7 +28,7 @@ def term(value: Any) -> tuple[str, str]:
         return str(value), "integer"
     if isinstance(value, float):
         return repr(value), "double"
-    return ("NULL" if value is None else str(value)), "string"
+    return ("NULL", "null") if value is None else (str(value), "string")
 
 
 def named_primitive(ref: str) -> bool:

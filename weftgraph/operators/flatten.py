@@ -96,16 +96,23 @@ _CHILDREN = f"""CASE
     chain=f"concat(array(concat(t.node_id, '/', t.kind, '/', i)), CASE WHEN t.role IN ('anyOf', 'oneOf') THEN t.chain ELSE {_NONE} END)")})
   END"""
 
-#: line: the shape that constraints go to, and those they go to instead while a single branch takes its parent's place. chain: the
-#: branches that stay if this one does. lead: nothing has spoken on the carrier before.
-_TREE = f"""
+def _tree(mode: str) -> str:
+    """The recursion.
+
+    line: the shape that constraints go to, and those they go to instead while a single
+    branch takes its parent's place. chain: the branches that stay if this one does. lead:
+    nothing has spoken on the carrier before. For the ontology, a type is all that counts
+    at the top.
+    """
+    top = _kind("v") if mode == "shacl" else f"CASE WHEN {_text('v', 'type')} = 'object' THEN 'object' ELSE {_kind('v')} END"
+    return f"""
 WITH RECURSIVE tree (doc, schema, ordinal, node_id, parent_id, role, name, v, line, pline, shapes_only, required, lead, chain, owl_owner, least, most, kind, branches, plain, mixed) MAX RECURSION LEVEL {LEVELS} AS (
   SELECT s.*, {_mixed('s')} FROM (
     SELECT r.*, transform(r.branches, b -> {_plain('b')}) AS plain FROM (
       SELECT q.*, {_branches('q')} AS branches FROM (
         SELECT doc, schema, CAST(ordinal AS INT) AS ordinal, concat(doc, '#/', schema) AS node_id, CAST(NULL AS STRING) AS parent_id, 'schema' AS role, schema AS name, v,
-          CASE WHEN {_kind('v')} IN ('array', 'anyOf', 'oneOf', 'allOf') THEN array(concat(doc, '#/', schema)) ELSE {_NONE} END AS line, {_NONE} AS pline, false AS shapes_only, false AS required, true AS lead,
-          {_NONE} AS chain, schema AS owl_owner, {_text('v', 'minItems')} AS least, {_text('v', 'maxItems')} AS most, {_kind('v')} AS kind FROM {{parsed}}) q) r) s
+          CASE WHEN {top} IN ('array', 'anyOf', 'oneOf', 'allOf') THEN array(concat(doc, '#/', schema)) ELSE {_NONE} END AS line, {_NONE} AS pline, false AS shapes_only, false AS required, true AS lead,
+          {_NONE} AS chain, schema AS owl_owner, {_text('v', 'minItems')} AS least, {_text('v', 'maxItems')} AS most, {top} AS kind FROM {{parsed}}) q) r) s
   UNION ALL
   SELECT s.*, {_mixed('s')} FROM (
     SELECT r.*, transform(r.branches, b -> {_plain('b')}) AS plain FROM (
@@ -120,7 +127,7 @@ SELECT * FROM tree"""
 def _term(v: str) -> str:
     """A scalar as its lexical form and the name of its datatype; null is the text NULL."""
     kind, text = f"schema_of_variant({v})", f"try_cast({v} AS STRING)"
-    return f"""named_struct('lex', CASE WHEN {kind} = 'VOID' THEN 'NULL' ELSE {text} END, 'dt', CASE WHEN {kind} = 'BOOLEAN' THEN 'boolean' WHEN {kind} = 'BIGINT' THEN 'integer'
+    return f"""named_struct('lex', CASE WHEN {kind} = 'VOID' THEN 'NULL' ELSE {text} END, 'dt', CASE WHEN {kind} = 'BOOLEAN' THEN 'boolean' WHEN {kind} = 'BIGINT' THEN 'integer' WHEN {kind} = 'VOID' THEN 'null'
       WHEN {kind} = 'DOUBLE' OR {kind} LIKE 'DECIMAL%' THEN CASE WHEN {text} RLIKE '^[+-]?[0-9]+$' THEN 'integer' ELSE 'double' END ELSE 'string' END)"""
 
 
@@ -214,8 +221,8 @@ SELECT doc, schema, ordinal, coalesce(m.id, node_id) AS node_id, CASE WHEN m IS
 FROM (SELECT *, explode(concat(array(CAST(NULL AS {_ROW})), {_MADE})) AS m FROM {{placed}})"""
 
 
-def flatten(specs: DataFrame) -> DataFrame:
-    """specs(doc, schema, ordinal, spec: JSON) to schema nodes.
+def flatten(specs: DataFrame, mode: str = "shacl") -> DataFrame:
+    """specs(doc, schema, ordinal, spec: JSON) to schema nodes, as shapes (shacl) or the ontology (owl) see them.
 
     A schema that is no JSON, or an object whose properties are no mapping, is a row with
     its error; a schema has at most LEVELS levels. Properties of one object are in no order.
@@ -225,6 +232,6 @@ def flatten(specs: DataFrame) -> DataFrame:
     spark = specs.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     parsed = specs.select("doc", "schema", "ordinal", F.try_parse_json("spec").alias("v"))
-    tree = spark.sql(_TREE, parsed=parsed)
+    tree = spark.sql(_tree(mode), parsed=parsed)
     placed = spark.sql(_PLACED, fields=spark.sql(_FIELDS, tree=tree))
     return spark.sql(_ROWS, placed=placed).to(NODE)

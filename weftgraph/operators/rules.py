@@ -65,7 +65,7 @@ def _cells(graph: str, base: Column, values: Column, item) -> Column:
 def list_item(x: Column) -> tuple[Column, Column, Column]:
     """What an enumeration value becomes in a list: an IRI, a typed literal or a plain one."""
     lex, dt = x["lex"], x["dt"]
-    text = dt == "string"
+    text = dt.isin("string", "null")
     iri = text & (lex.startswith("http://") | lex.startswith("https://") | lex.startswith("urn:"))
     named = text & ~iri & (lex.startswith("xsd:") | lex.contains("XMLSchema"))
     known = F.when(lex.contains("string"), "string").when(lex.contains("integer"), "integer").when(lex.contains("double"), "double").when(lex.contains("boolean"), "boolean").when(lex.contains("float"), "float")
@@ -164,31 +164,43 @@ def shacl_triples(nodes: DataFrame, prefix: str = PREFIX, compat: bool = True, b
     return out if predicates is None else out.where(F.col("p").isin(*predicates))
 
 
-def owl_triples(nodes: DataFrame, base: str = PREFIX) -> DataFrame:
-    """The ontology (graph owl) of schema nodes, with repeats.
+def _owl_enum() -> Column:
+    return (F.col("type") == "string") & F.col("enum").isNotNull()
 
-    A property whose reference leads nowhere gives none; see reference_errors.
+
+def _owl_union() -> Column:
+    """Whether a schema is a union for the ontology: oneOf, whatever stands beside it, unless it is an object or an enumeration."""
+    return F.coalesce(F.array_contains("combinators", "oneOf"), F.lit(False)) & ~F.coalesce(F.col("type") == "object", F.lit(False)) & ~F.coalesce(_owl_enum(), F.lit(False))
+
+
+def owl_triples(nodes: DataFrame, base: str = PREFIX, predicates: Collection[str] | None = None) -> DataFrame:
+    """The ontology (graph owl) of the schema nodes of `flatten` in mode owl, with repeats.
+
+    With predicates, only the rules that make triples of these are worked out. A property
+    whose reference leads nowhere gives none; see reference_errors.
     """
     c = F.col
     main = owl_namespace(c("doc"), base)
     uri = lambda x: F.concat(main, format_name(x))
-    o = lambda cond, s, p, x, kind="iri", dt=None: F.when(cond, _t("owl", s, "iri", p, x, kind, dt))
-    top = (c("role") == "schema") & c("error").isNull()
-    own = (c("role") == "property") & c("owl_owner").isNotNull() & c("error").isNull() & ~F.coalesce(_lost_owl(), F.lit(False))
+    wanted = lambda *ps: predicates is None or any(p in predicates for p in ps)
+    o = lambda cond, s, p, x, kind="iri", dt=None: F.when(cond, _t("owl", s, "iri", p, x, kind, dt)) if wanted(p) else None
+    good = c("error").isNull()
+    top = (c("role") == "schema") & good
+    own = (c("role") == "property") & c("owl_owner").isNotNull() & good & ~F.coalesce(_lost_owl(), F.lit(False))
     me, label = uri(c("name")), human_label(format_name(c("name")))
-    enum = top & (c("kind") == "string") & c("enum").isNotNull()
-    union = top & (c("combinators").isNotNull()) & F.array_contains("combinators", "oneOf") & ~c("kind").isin("object", "string", "ref")
-    a_class = (top | own) & (c("kind") == "object")
+    enum, union = top & _owl_enum(), top & _owl_union()
     inline = own & (c("kind") == "object")
+    a_class = (top & (c("kind") == "object")) | inline
+    any_class = a_class | enum | union
     target = F.when(c("kind") == "ref", resolve_ref_owl(c("ref"), main, base)).when((c("kind") == "array") & c("item_ref").isNotNull(), resolve_ref_owl(c("item_ref"), main, base))
-    ranged = F.coalesce(target, F.when(inline, me), F.when(c("kind") == "array", owl_datatype(c("item_type"))), F.when(c("kind").isin("integer", "number", "boolean"), owl_datatype(c("kind"))), F.lit(XSD + "string"))
+    ranged = F.coalesce(target, F.when(inline, me), F.when(c("kind") == "array", owl_datatype(c("item_type"))), F.when(c("type").isin("integer", "number", "boolean"), owl_datatype(c("type"))), F.lit(XSD + "string"))
     is_object = F.when(target.isNotNull(), is_object_uri_owl(target)).otherwise(inline)
-    many = c("kind") == "array"
+    many = F.coalesce(c("type") == "array", F.lit(False))
     options = F.filter(F.transform("one_of", lambda x: resolve_ref_owl(x, main, base)), lambda x: x.isNotNull())
     kind = F.when(is_object, F.lit(OWL + "ObjectProperty")).otherwise(F.lit(OWL + "DatatypeProperty"))
     singles = [
-        o(a_class | enum | union, me, RDF + "type", OWL + "Class"),
-        o(a_class | enum | union, me, RDFS + "label", label, "literal"),
+        o(any_class, me, RDF + "type", OWL + "Class"),
+        o(any_class, me, RDFS + "label", label, "literal"),
         o(a_class & c("description").isNotNull(), me, RDFS + "comment", c("description"), "literal"),
         o(enum, me, RDFS + "comment", F.concat(F.lit("Enumeration of "), label, F.lit(" values.")), "literal"),
         o(union, me, RDFS + "comment", F.concat(F.lit("Represents a resource that can be one of several types related to "), label, F.lit(".")), "literal"),
@@ -196,23 +208,28 @@ def owl_triples(nodes: DataFrame, base: str = PREFIX) -> DataFrame:
         o(own, me, RDF + "type", kind),
         o(own, me, RDFS + "domain", uri(c("owl_owner"))),
         o(own, me, RDFS + "range", ranged),
-        o(own, me, RDFS + "label", human_label(c("name")), "literal"),
-        o(own, me, RDFS + "comment", F.concat(F.lit("Property representing the "), human_label(c("name")), F.lit(".")), "literal"),
+        o(own, me, RDFS + "label", label, "literal"),
+        o(own, me, RDFS + "comment", F.concat(F.lit("Property representing the "), label, F.lit(".")), "literal"),
         o(own & c("required"), me, OWL + "minCardinality", "1", "literal", XSD + "integer"),
         o(own & c("required") & ~many & ~is_object, me, RDF + "type", OWL + "FunctionalProperty"),
         o(own & c("required") & ~many & is_object, me, OWL + "maxCardinality", "1", "literal", XSD + "integer"),
     ]
-    value = lambda x: F.concat(main, format_name(x["lex"]))
+    # Values go by what YAML 1.1 makes of them: True, False, None.
+    said = lambda x: F.when(x["dt"] == "boolean", F.initcap(x["lex"])).when(x["dt"] == "null", "None").otherwise(x["lex"])
+    value = lambda x: F.concat(main, format_name(said(x)))
 
     def individual(x: Column) -> Column:
         return F.array(
-            _t("owl", value(x), "iri", RDF + "type", OWL + "NamedIndividual", "iri"), _t("owl", value(x), "iri", RDFS + "label", x["lex"], "literal"),
-            _t("owl", value(x), "iri", RDFS + "comment", F.concat(F.lit("Indicates that the "), label, F.lit(" value is "), x["lex"], F.lit(".")), "literal"),
+            _t("owl", value(x), "iri", RDF + "type", OWL + "NamedIndividual", "iri"), _t("owl", value(x), "iri", RDFS + "label", said(x), "literal"),
+            _t("owl", value(x), "iri", RDFS + "comment", F.concat(F.lit("Indicates that the "), label, F.lit(" value is "), said(x), F.lit(".")), "literal"),
         )
 
-    cells = F.when(enum, _cells("owl", F.concat(c("node_id"), F.lit("/owl")), c("enum"), lambda x: (value(x), F.lit("iri"), F.lit(None).cast("string"))))
-    members = F.when(union, _cells("owl", F.concat(c("node_id"), F.lit("/owl")), options, lambda x: (x, F.lit("iri"), F.lit(None).cast("string"))))
-    return _exploded(nodes, singles, [F.when(enum, F.flatten(F.transform("enum", individual))), cells, members])
+    cell = F.concat(c("node_id"), F.lit("/owl"))
+    iri = lambda x: (x, F.lit("iri"), F.lit(None).cast("string"))
+    many_each = [F.when(enum, F.flatten(F.transform("enum", individual)))] * wanted(RDF + "type", RDFS + "label", RDFS + "comment")
+    cells = [F.when(enum, _cells("owl", cell, c("enum"), lambda x: iri(value(x)))), F.when(union, _cells("owl", cell, options, iri))] * wanted(RDF + "first", RDF + "rest")
+    out = _exploded(nodes, [x for x in singles if x is not None], many_each + cells)
+    return out if predicates is None else out.where(F.col("p").isin(*predicates))
 
 
 def _lost_owl() -> Column:
@@ -233,7 +250,7 @@ def reference_errors(nodes: DataFrame, mode: str = "shacl") -> DataFrame:
         own = (c("role") == "property") & c("owl_owner").isNotNull() & _lost_owl()
         ref = F.when(own, F.coalesce(F.when(c("kind") == "ref", c("ref")), c("item_ref")))
         option = F.get(F.filter("one_of", split_badly), F.lit(0))
-        ref = F.coalesce(ref, F.when((c("role") == "schema") & ~c("kind").isin("object", "string", "ref"), option))
+        ref = F.coalesce(ref, F.when((c("role") == "schema") & _owl_union(), option))
     else:
         ref = F.when((c("kind") == "ref") & c("carrier").isNotNull() & split_badly(c("ref")), c("ref"))
     return nodes.select("doc", F.concat(F.lit("ValueError: cannot resolve the reference "), ref).alias("error")).where("error is not null")

@@ -26,7 +26,7 @@ def convert(
 
     nodes: those of specs, if they have been worked out already.
     """
-    nodes = flatten(specs.where("spec is not null")) if nodes is None else nodes
+    nodes = flatten(specs.where("spec is not null"), mode) if nodes is None else nodes
     errors = nodes.where("error is not null").select("doc", "error").unionByName(reference_errors(nodes, mode))
     if "error" in specs.columns:
         errors = errors.unionByName(specs.where("error is not null").select("doc", "error"))
@@ -42,11 +42,11 @@ def convert(
 
 
 @contextmanager
-def converted(specs: DataFrame, *args, **options) -> Iterator[tuple[DataFrame, DataFrame]]:
+def converted(specs: DataFrame, mode: str = "shacl", *args, **options) -> Iterator[tuple[DataFrame, DataFrame]]:
     """What `convert` gives, over nodes that are worked out once and let go at the end."""
-    nodes = flatten(specs.where("spec is not null")).persist()
+    nodes = flatten(specs.where("spec is not null"), mode).persist()
     try:
-        yield convert(specs, *args, nodes=nodes, **options)
+        yield convert(specs, mode, *args, nodes=nodes, **options)
     finally:
         nodes.unpersist()
 

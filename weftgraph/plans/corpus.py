@@ -26,7 +26,7 @@ SELECT g.schema_id, s.doc_id, g.ordinal, concat('prop-', g.ordinal) AS name,
   CASE WHEN s.kind = 'object' THEN 'property' WHEN s.kind = 'array' THEN 'items' ELSE s.kind END AS role,
   CASE (g.target_id + g.ordinal) % 9 WHEN 0 THEN 'string' WHEN 1 THEN 'integer' WHEN 2 THEN 'number' WHEN 3 THEN 'boolean' WHEN 4 THEN 'array' WHEN 5 THEN 'object' WHEN 6 THEN 'ref' WHEN 7 THEN 'enum' ELSE 'untyped' END AS kind,
   g.rf = 'R' AS required, g.q AS minimum, g.q + 10 AS maximum, g.n AS min_items,
-  CASE WHEN g.ordinal = 7 THEN 'other.json#/X' WHEN t.doc_id = s.doc_id THEN concat('#/components/schemas/', t.name) ELSE concat(d.doc, '.yaml#/components/schemas/', t.name) END AS ref
+  CASE WHEN g.ordinal = 7 AND s.doc_id % 2 = 1 THEN 'other.json#/X' WHEN t.doc_id = s.doc_id THEN concat('#/components/schemas/', t.name) ELSE concat(d.doc, '.yaml#/components/schemas/', t.name) END AS ref
 FROM (SELECT l_partkey AS schema_id, l_linenumber AS ordinal, min(l_suppkey) AS target_id, CAST(min(l_quantity) AS INT) AS q, count(*) AS n, max(l_returnflag) AS rf FROM lineitem GROUP BY l_partkey, l_linenumber) g
 JOIN corpus_schemas s ON s.schema_id = g.schema_id JOIN corpus_schemas t ON t.schema_id = g.target_id JOIN corpus_docs d ON d.doc_id = t.doc_id
 WHERE s.kind IN ('object', 'anyOf', 'oneOf', 'allOf') OR (s.kind = 'array' AND g.ordinal = 1)"""
@@ -70,5 +70,5 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc", F.col("name").alias("schema"), F.col("schema_id").cast("int").alias("ordinal"), F.expr(spec).alias("spec"))
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten(specs(spark, sf_dir))
+def nodes(spark: SparkSession, sf_dir: str, mode: str = "shacl") -> DataFrame:
+    return flatten(specs(spark, sf_dir), mode)

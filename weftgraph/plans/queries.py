@@ -13,6 +13,7 @@ from ..operators.flatten import flatten
 from ..sources import sinks
 from ..sources.yaml_source import dedup_paths
 from . import corpus
+from .convert import convert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -206,63 +207,96 @@ def rule_default_nodekind(spark, sf_dir):
     return _triples(spark, sf_dir, N.SH + "nodeKind").where(F.col("s").rlike(r"^_:[^/]*/[^/]*/properties/prop-\d+$")).select("doc", "s")
 
 
-@_register(f"""{_BASE}, h AS (SELECT *, concat('{P}', {_fmt(chr(39).join(['concat(doc, ', '.yaml', ')']))}, '#') AS o_ns FROM d), c AS (SELECT *, concat(o_ns, {_fmt(_SPACELESS)}) AS cls FROM h)
-  SELECT doc, cls AS s, '{N.RDF}type' AS p, '{N.OWL}Class' AS o FROM c UNION ALL SELECT doc, cls, '{N.RDFS}label', title FROM c UNION ALL SELECT doc, concat(cls, 'Instance'), '{N.RDF}type', cls FROM c
-  UNION ALL SELECT doc, concat(cls, 'Instance'), concat(o_ns, 'version'), version FROM c UNION ALL SELECT doc, concat(cls, 'Instance'), concat(o_ns, 'url'), url FROM c WHERE url IS NOT NULL""")
+_ATTRIBUTES = ", ".join(
+    f"('{n}', '{k}', '{label}', '{text}')"
+    for n, k, label, text in (
+        ("version", "FunctionalProperty", "Version", "The version of the document."), ("description", "DatatypeProperty", "Description", "A description of the document."),
+        ("url", "DatatypeProperty", "URL", "The URL for external documentation related to the document."),
+    )
+)
+
+
+@_register(f"""{_BASE}, h AS (SELECT *, concat('{P}', {_fmt(chr(39).join(['concat(doc, ', '.yaml', ')']))}, '#') AS o_ns FROM d), c AS (SELECT *, concat(o_ns, {_fmt(_SPACELESS)}) AS cls FROM h),
+  a AS (SELECT c.*, r[1] AS name, r[2] AS kind, r[3] AS label, r[4] AS said, CASE r[1] WHEN 'version' THEN version WHEN 'url' THEN url ELSE concat('Of ', title) END AS value FROM c CROSS JOIN (SELECT unnest([{_ATTRIBUTES}]) AS r) WHERE r[1] <> 'url' OR url IS NOT NULL)
+  SELECT doc, cls AS s, '{N.RDF}type' AS p, '{N.OWL}Class' AS o FROM c UNION ALL SELECT doc, cls, '{N.RDFS}label', title FROM c UNION ALL SELECT doc, cls, '{N.RDFS}comment', concat('Class representing the ', title, ' document metadata.') FROM c
+  UNION ALL SELECT doc, concat(cls, 'Instance'), '{N.RDF}type', cls FROM c UNION ALL SELECT doc, concat(o_ns, name), '{N.RDF}type', concat('{N.OWL}', kind) FROM a UNION ALL SELECT doc, concat(o_ns, name), '{N.RDFS}domain', cls FROM a
+  UNION ALL SELECT doc, concat(o_ns, name), '{N.RDFS}range', '{N.XSD}string' FROM a UNION ALL SELECT doc, concat(o_ns, name), '{N.RDFS}label', label FROM a UNION ALL SELECT doc, concat(o_ns, name), '{N.RDFS}comment', said FROM a
+  UNION ALL SELECT doc, concat(cls, 'Instance'), concat(o_ns, name), value FROM a""")
 def owl_header(spark, sf_dir):
-    docs = corpus.tables(spark, sf_dir)["docs"].withColumn("description", F.lit(None).cast("string"))
-    x = rules.owl_header(docs, P)
-    cls = F.col("p").isin(N.RDF + "type", N.RDFS + "label") & F.col("s").contains("#Model")
-    return x.where(cls | F.col("p").endswith("#version") | F.col("p").endswith("#url")).select("doc", "s", "p", "o")
+    """Every triple that describes a document."""
+    docs = corpus.tables(spark, sf_dir)["docs"].withColumn("description", F.concat(F.lit("Of "), F.col("title")))
+    return rules.owl_header(docs, P).select("doc", "s", "p", "o")
 
 
 _OWLNS = f"concat('{P}', {_fmt(chr(39).join(['concat(doc, ', '.yaml', ')']))}, '#')"
 
 
-def _owl(spark, sf_dir):
-    return rules.graph_set(rules.owl_triples(corpus.nodes(spark, sf_dir)))
+def _owl(spark, sf_dir, *predicates):
+    return rules.graph_set(rules.owl_triples(corpus.nodes(spark, sf_dir, "owl"), predicates=predicates or None))
 
 
 @_register(f"{_BASE} SELECT DISTINCT doc, concat({_OWLNS}, {_fmt('name')}) AS s FROM s WHERE kind IN ('object', 'oneOf') UNION SELECT doc, concat({_OWLNS}, {_fmt('name')}) FROM k WHERE parent_kind = 'object' AND kind = 'object'")
 def owl_classes(spark, sf_dir):
-    return _owl(spark, sf_dir).where((F.col("p") == N.RDF + "type") & (F.col("o") == N.OWL + "Class")).select("doc", "s")
+    return _owl(spark, sf_dir, N.RDF + "type").where(F.col("o") == N.OWL + "Class").select("doc", "s")
 
 
-_OWLPROPS = f"""g AS (SELECT *, concat({_OWLNS}, {_fmt('name')}) AS me, CASE WHEN kind IN ('ref', 'array') THEN CASE WHEN starts_with(ref, '#/') THEN concat({_OWLNS}, {_fmt(_LASTREF)}) ELSE concat('{P}', split_part(ref, '.yaml#', 1), '#', {_fmt(_LASTREF)}) END
-    WHEN kind = 'object' THEN concat({_OWLNS}, {_fmt('name')}) WHEN kind IN ('integer', 'boolean') THEN concat('{N.XSD}', kind) WHEN kind = 'number' THEN '{N.XSD}double' ELSE '{N.XSD}string' END AS r FROM k WHERE parent_kind = 'object' AND NOT (kind IN ('ref', 'array') AND ordinal = 7)),
-  f AS (SELECT *, kind = 'object' OR (kind IN ('ref', 'array') AND NOT regexp_matches(lower(split_part(r, '/', -1)), 'float|int|string')) AS isclass FROM g)"""
+_LOST = "kind IN ('ref', 'array') AND ref = 'other.json#/X'"
+_OWLREF = f"CASE WHEN starts_with(ref, '#/') THEN concat({_OWLNS}, {_fmt(_LASTREF)}) ELSE concat('{P}', split_part(ref, '.yaml#', 1), '#', {_fmt(_LASTREF)}) END"
+_OWLPROPS = f"""g AS (SELECT *, concat({_OWLNS}, {_fmt('name')}) AS me, CASE WHEN kind IN ('ref', 'array') THEN {_OWLREF}
+    WHEN kind = 'object' THEN concat({_OWLNS}, {_fmt('name')}) WHEN kind IN ('integer', 'boolean') THEN concat('{N.XSD}', kind) WHEN kind = 'number' THEN '{N.XSD}double' ELSE '{N.XSD}string' END AS r FROM k WHERE parent_kind = 'object' AND NOT ({_LOST})),
+  f AS (SELECT *, kind = 'object' OR (kind IN ('ref', 'array') AND NOT regexp_matches(lower(split_part(r, '/', -1)), 'float|int|string')) AS isclass FROM g),
+  i AS (SELECT *, concat({_OWLNS}, 'inner_', ordinal) AS inner_me FROM f WHERE kind = 'object' AND ordinal % 2 = 0)"""
+_OWLKINDS = f"""SELECT doc, me AS s, '{N.RDFS}domain' AS p, concat({_OWLNS}, {_fmt('schema')}) AS o FROM f UNION SELECT doc, me, '{N.RDFS}range', r FROM f
+  UNION SELECT doc, me, '{N.RDF}type', concat('{N.OWL}', CASE WHEN isclass THEN 'ObjectProperty' ELSE 'DatatypeProperty' END) FROM f
+  UNION SELECT doc, inner_me, '{N.RDFS}domain', me FROM i UNION SELECT doc, inner_me, '{N.RDFS}range', '{N.XSD}string' FROM i UNION SELECT doc, inner_me, '{N.RDF}type', '{N.OWL}DatatypeProperty' FROM i"""
+_OWLCARDS = f"""SELECT doc, me AS s, '{N.OWL}minCardinality' AS p, '1' AS o FROM f WHERE required UNION SELECT doc, me, '{N.OWL}maxCardinality', '1' FROM f WHERE required AND kind <> 'array' AND isclass
+  UNION SELECT doc, me, '{N.RDF}type', '{N.OWL}FunctionalProperty' FROM f WHERE required AND kind <> 'array' AND NOT isclass"""
+_OWLLISTS = f"""u AS (SELECT *, row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY schema_id) AS many, {_OWLREF} AS option FROM k WHERE parent_kind = 'oneOf' AND kind = 'ref' AND NOT ({_LOST}) WINDOW w AS (PARTITION BY schema_id ORDER BY ordinal))"""
 
 
-@_register(f"""{_BASE}, {_OWLPROPS} SELECT doc, me AS s, '{N.RDFS}domain' AS p, concat({_OWLNS}, {_fmt('schema')}) AS o FROM f UNION SELECT doc, me, '{N.RDFS}range', r FROM f
-  UNION SELECT doc, me, '{N.RDF}type', concat('{N.OWL}', CASE WHEN isclass THEN 'ObjectProperty' ELSE 'DatatypeProperty' END) FROM f
-  UNION SELECT doc, concat({_OWLNS}, 'inner_', ordinal), '{N.RDFS}domain', me FROM f WHERE kind = 'object' AND ordinal % 2 = 0
-  UNION SELECT doc, concat({_OWLNS}, 'inner_', ordinal), '{N.RDFS}range', '{N.XSD}string' FROM f WHERE kind = 'object' AND ordinal % 2 = 0
-  UNION SELECT doc, concat({_OWLNS}, 'inner_', ordinal), '{N.RDF}type', '{N.OWL}DatatypeProperty' FROM f WHERE kind = 'object' AND ordinal % 2 = 0""")
+@_register(f"{_BASE}, {_OWLPROPS} {_OWLKINDS}")
 def owl_properties(spark, sf_dir):
     """Properties whose references can be resolved; owl_reference_errors has the others."""
+    x = _owl(spark, sf_dir, N.RDF + "type", N.RDFS + "domain", N.RDFS + "range")
     typed = (F.col("p") == N.RDF + "type") & F.col("o").isin(N.OWL + "ObjectProperty", N.OWL + "DatatypeProperty")
-    return _owl(spark, sf_dir).where(typed | F.col("p").isin(N.RDFS + "domain", N.RDFS + "range")).select("doc", "s", "p", "o")
+    return x.where(typed | F.col("p").isin(N.RDFS + "domain", N.RDFS + "range")).select("doc", "s", "p", "o")
 
 
-@_register(f"{_BASE} SELECT doc, concat('ValueError: cannot resolve the reference ', ref) AS error, count(*) AS n FROM k WHERE parent_kind = 'object' AND kind IN ('ref', 'array') AND ordinal = 7 GROUP BY doc, ref")
+@_register(f"{_BASE} SELECT doc, concat('ValueError: cannot resolve the reference ', ref) AS error, count(*) AS n FROM k WHERE parent_kind = 'object' AND {_LOST} GROUP BY doc, ref")
 def owl_reference_errors(spark, sf_dir):
     """What fails a document in the ontology mode."""
-    return rules.reference_errors(corpus.nodes(spark, sf_dir), "owl").groupBy("doc", "error").agg(F.count("*").alias("n"))
+    return rules.reference_errors(corpus.nodes(spark, sf_dir, "owl"), "owl").groupBy("doc", "error").agg(F.count("*").alias("n"))
 
 
-@_register(f"""{_BASE}, {_OWLPROPS} SELECT doc, me AS s, '{N.OWL}minCardinality' AS p, '1' AS o FROM f WHERE required UNION SELECT doc, me, '{N.OWL}maxCardinality', '1' FROM f WHERE required AND kind <> 'array' AND isclass
-  UNION SELECT doc, me, '{N.RDF}type', '{N.OWL}FunctionalProperty' FROM f WHERE required AND kind <> 'array' AND NOT isclass""")
+@_register(f"{_BASE}, {_OWLPROPS} {_OWLCARDS}")
 def owl_cardinality(spark, sf_dir):
-    x = _owl(spark, sf_dir)
+    x = _owl(spark, sf_dir, N.RDF + "type", N.OWL + "minCardinality", N.OWL + "maxCardinality")
     return x.where(F.col("p").isin(N.OWL + "minCardinality", N.OWL + "maxCardinality") | (F.col("o") == N.OWL + "FunctionalProperty")).select("doc", "s", "p", "o")
 
 
-@_register(f"""{_BASE}, u AS (SELECT *, row_number() OVER (PARTITION BY schema_id ORDER BY ordinal) - 1 AS n FROM k WHERE parent_kind = 'oneOf' AND kind = 'ref' AND ordinal <> 7)
-  SELECT doc, concat('_:', parent, '/owl/cell', n) AS s, CASE WHEN starts_with(ref, '#/') THEN concat({_OWLNS}, {_fmt(_LASTREF)}) ELSE concat('{P}', split_part(ref, '.yaml#', 1), '#', {_fmt(_LASTREF)}) END AS o FROM u
-  UNION ALL SELECT doc, concat({_OWLNS}, {_fmt('schema')}), concat('_:', parent, '/owl/cell0') FROM u WHERE n = 0""")
+@_register(f"""{_BASE}, {_OWLLISTS} SELECT doc, concat('_:', parent, '/owl/cell', n) AS s, option AS o FROM u UNION ALL SELECT doc, concat({_OWLNS}, {_fmt('schema')}), concat('_:', parent, '/owl/cell0') FROM u WHERE n = 0""")
 def owl_oneof(spark, sf_dir):
     """The lists of unions: each class with its first cell, each cell with its member."""
-    return _owl(spark, sf_dir).where(F.col("p").isin(N.OWL + "oneOf", N.RDF + "first")).select("doc", "s", "o")
+    return _owl(spark, sf_dir, N.OWL + "oneOf", N.RDF + "first").select("doc", "s", "o")
+
+
+_ME = f"concat({_OWLNS}, {_fmt('name')})"
+_SAIDAS = f"replace({_fmt('name')}, '_', ' ')"
+
+
+@_register(f"""{_BASE}, {_OWLPROPS}, {_OWLLISTS}, bad AS (SELECT DISTINCT doc FROM k WHERE parent_kind = 'object' AND {_LOST}),
+  x AS ({_OWLKINDS} UNION {_OWLCARDS}
+    UNION SELECT doc, {_ME}, '{N.RDF}type', '{N.OWL}Class' FROM s WHERE kind IN ('object', 'oneOf') UNION SELECT doc, {_ME}, '{N.RDFS}label', {_SAIDAS} FROM s WHERE kind IN ('object', 'oneOf')
+    UNION SELECT doc, {_ME}, '{N.RDFS}comment', description FROM s WHERE kind = 'object' AND description IS NOT NULL
+    UNION SELECT doc, {_ME}, '{N.RDFS}comment', concat('Represents a resource that can be one of several types related to ', {_SAIDAS}, '.') FROM s WHERE kind = 'oneOf'
+    UNION SELECT doc, me, '{N.RDF}type', '{N.OWL}Class' FROM f WHERE kind = 'object' UNION SELECT doc, me, '{N.RDFS}label', {_SAIDAS} FROM f UNION SELECT doc, me, '{N.RDFS}comment', concat('Property representing the ', {_SAIDAS}, '.') FROM f
+    UNION SELECT doc, inner_me, '{N.RDFS}label', concat('inner ', ordinal) FROM i UNION SELECT doc, inner_me, '{N.RDFS}comment', concat('Property representing the inner ', ordinal, '.') FROM i
+    UNION SELECT doc, concat({_OWLNS}, {_fmt('schema')}), '{N.OWL}oneOf', concat('_:', parent, '/owl/cell0') FROM u WHERE n = 0
+    UNION SELECT doc, concat('_:', parent, '/owl/cell', n), '{N.RDF}first', option FROM u UNION SELECT doc, concat('_:', parent, '/owl/cell', n), '{N.RDF}rest', CASE WHEN n = many - 1 THEN '{N.RDF}nil' ELSE concat('_:', parent, '/owl/cell', n + 1) END FROM u)
+  SELECT * FROM x WHERE doc NOT IN (SELECT doc FROM bad)""")
+def owl_conversion(spark, sf_dir):
+    """Every triple of the whole conversion to ontologies; documents with references that lead nowhere give none."""
+    return convert(corpus.specs(spark, sf_dir), "owl")[0].select("doc", "s", "p", "o")
 
 
 @_register(f"""WITH e AS (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY o_orderpriority) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT o_orderpriority FROM orders)),
