@@ -83,9 +83,15 @@ def shacl_triples(nodes: DataFrame, prefix: str = PREFIX, compat: bool = True, b
     themselves; references to other files keep those made of the prefix.
     """
     c = F.col
-    main = main_namespace(c("doc"), prefix, base)
+    # What many rules need is worked out once a node, as columns of its own.
+    nodes = nodes.withColumn("_main", main_namespace(c("doc"), prefix, base))
+    main = c("_main")
     name = lambda x: F.concat(main, format_name(x))
-    owner, prop = name(c("schema")), name(c("name"))
+    nodes = nodes.withColumns({
+        "_owner": name(c("schema")), "_prop": name(c("name")), "_uri": resolve_ref(c("ref"), main, prefix), "_object": is_object_ref(c("ref")), "_word": ref_datatype(c("ref")),
+        "_datatype": F.when(c("kind") == "string", string_datatype(c("format"))).otherwise(number_datatype(c("kind"), c("format"))),
+    })
+    owner, prop, uri, datatype = c("_owner"), c("_prop"), c("_uri"), c("_datatype")
     on, shape = F.concat(F.lit("_:"), c("carrier")), F.concat(F.lit("_:"), c("shape"))
     kept = c("kept") & c("error").isNull()
     top = c("role") == "schema"
@@ -93,18 +99,16 @@ def shacl_triples(nodes: DataFrame, prefix: str = PREFIX, compat: bool = True, b
     wanted = lambda p: predicates is None or not isinstance(p, str) or p in predicates
     rdf = lambda cond, s, p, o, kind="iri", dt=None: F.when(cond, _t("rdf", s, "iri", p, o, kind, dt)) if wanted(p) else None
     sh = lambda cond, s, p, o, kind="iri", dt=None: F.when(cond, _t("shacl", s, "bnode", p, o, kind, dt)) if wanted(p) else None
-    uri = resolve_ref(c("ref"), main, prefix)
     described = c("description").isNotNull()
     comment = RDFS + "comment"
     combined = c("kind").isin("anyOf", "oneOf", "allOf")
     spelled = F.when(c("kind") == "anyOf", "or_").when(c("kind") == "oneOf", "xone").otherwise("and_")
     scalar = c("kind").isin("string", "integer", "number")
     text = kept & (c("kind") == "string") & c("carrier").isNotNull()
-    datatype = F.when(c("kind") == "string", string_datatype(c("format"))).otherwise(number_datatype(c("kind"), c("format")))
     plain = text & (datatype == XSD + "string")
     number = kept & c("kind").isin("integer", "number") & c("carrier").isNotNull()
     item = c("role") == "items"
-    ref_range = F.when(is_object_ref(c("ref")), uri).otherwise(ref_datatype(c("ref")))
+    ref_range = F.when(c("_object"), uri).otherwise(c("_word"))
     ranged = (
         F.when(c("kind") == "ref", ref_range).when(c("kind") == "boolean", F.lit(XSD + "boolean")).when(c("type") == "boolean", F.lit(XSD + "boolean"))
         .when(c("kind") == "object", F.lit(RDFS + "Resource")).when((c("kind") == "array") & c("item_ref").isNotNull(), resolve_ref(c("item_ref"), main, prefix))
@@ -133,8 +137,8 @@ def shacl_triples(nodes: DataFrame, prefix: str = PREFIX, compat: bool = True, b
         sh(kept & item & c("min_items").isNotNull(), shape, SH + "minCount", c("min_items"), "literal", integer),
         sh(kept & item & c("max_items").isNotNull(), shape, SH + "maxCount", c("max_items"), "literal", integer),
         sh(kept & c("describe") & described, F.coalesce(shape, on), comment, c("description"), "literal"),
-        sh(kept & (c("kind") == "ref") & c("carrier").isNotNull() & is_object_ref(c("ref")), on, SH + "class", uri),
-        sh(kept & (c("kind") == "ref") & c("carrier").isNotNull() & ~is_object_ref(c("ref")), on, SH + "datatype", ref_datatype(c("ref"))),
+        sh(kept & (c("kind") == "ref") & c("carrier").isNotNull() & c("_object"), on, SH + "class", uri),
+        sh(kept & (c("kind") == "ref") & c("carrier").isNotNull() & ~c("_object"), on, SH + "datatype", c("_word")),
         sh(kept & (c("kind") == "datatype"), on, SH + "datatype", F.concat(F.lit(XSD), c("type"))),
         sh(kept & (c("kind") == "array") & c("carrier").isNotNull(), on, SH + "node", DASH + "ListShape"),
         sh(text | number, on, SH + "datatype", datatype),
@@ -180,19 +184,23 @@ def owl_triples(nodes: DataFrame, base: str = PREFIX, predicates: Collection[str
     whose reference leads nowhere gives none; see reference_errors.
     """
     c = F.col
-    main = owl_namespace(c("doc"), base)
+    nodes = nodes.withColumn("_main", owl_namespace(c("doc"), base))
+    main = c("_main")
     uri = lambda x: F.concat(main, format_name(x))
+    nodes = nodes.withColumns({
+        "_me": uri(c("name")), "_label": human_label(format_name(c("name"))), "_union": _owl_union(), "_lost": F.coalesce(_lost_owl(), F.lit(False)),
+        "_target": F.when(c("kind") == "ref", resolve_ref_owl(c("ref"), main, base)).when((c("kind") == "array") & c("item_ref").isNotNull(), resolve_ref_owl(c("item_ref"), main, base)),
+    })
     wanted = lambda *ps: predicates is None or any(p in predicates for p in ps)
     o = lambda cond, s, p, x, kind="iri", dt=None: F.when(cond, _t("owl", s, "iri", p, x, kind, dt)) if wanted(p) else None
     good = c("error").isNull()
     top = (c("role") == "schema") & good
-    own = (c("role") == "property") & c("owl_owner").isNotNull() & good & ~F.coalesce(_lost_owl(), F.lit(False))
-    me, label = uri(c("name")), human_label(format_name(c("name")))
-    enum, union = top & _owl_enum(), top & _owl_union()
+    own = (c("role") == "property") & c("owl_owner").isNotNull() & good & ~c("_lost")
+    me, label, target = c("_me"), c("_label"), c("_target")
+    enum, union = top & _owl_enum(), top & c("_union")
     inline = own & (c("kind") == "object")
     a_class = (top & (c("kind") == "object")) | inline
     any_class = a_class | enum | union
-    target = F.when(c("kind") == "ref", resolve_ref_owl(c("ref"), main, base)).when((c("kind") == "array") & c("item_ref").isNotNull(), resolve_ref_owl(c("item_ref"), main, base))
     ranged = F.coalesce(target, F.when(inline, me), F.when(c("kind") == "array", owl_datatype(c("item_type"))), F.when(c("type").isin("integer", "number", "boolean"), owl_datatype(c("type"))), F.lit(XSD + "string"))
     is_object = F.when(target.isNotNull(), is_object_uri_owl(target)).otherwise(inline)
     many = F.coalesce(c("type") == "array", F.lit(False))
