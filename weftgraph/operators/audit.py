@@ -104,6 +104,12 @@ def stats(triples: DataFrame) -> DataFrame:
     return triples.groupBy("graph").agg(F.count("*").alias("triples"), F.countDistinct("doc", "s").alias("subjects"), hit("targetClass").alias("targets"), hit("path").alias("paths"))
 
 
+def stats_rollup(triples: DataFrame) -> DataFrame:
+    """(level, graph, doc, triples, subjects, predicates): figures of each graph of each document (level 0), of each graph (1) and of all (3), in one pass."""
+    x = triples.rollup("graph", "doc").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("triples"), F.countDistinct("doc", "s").alias("subjects"), F.countDistinct("p").alias("predicates"))
+    return x.select("level", "graph", "doc", "triples", "subjects", "predicates")
+
+
 def type_mismatches(nodes: DataFrame, triples: DataFrame) -> DataFrame:
     """(doc, s, expected, found): property shapes of strings, integers and numbers that lack the datatype of their type and format.
 

@@ -10,10 +10,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.naming import PREFIX
+from ..functions.naming import PREFIX, file_stem
 from ..operators.flatten import flatten
 from ..operators.rules import graph_set, owl_header, owl_triples, reference_errors, shacl_triples
-from ..sources.sinks import turtle_documents, write_ntriples, write_parquet, write_turtle
+from ..sources.sinks import turtle_lines, write_ntriples, write_parquet, write_turtle
 from ..sources.yaml_source import discover, read_specs
 
 __version__ = "0.1.0"
@@ -43,19 +43,28 @@ def convert(
 
 @contextmanager
 def converted(specs: DataFrame, mode: str = "shacl", *args, **options) -> Iterator[tuple[DataFrame, DataFrame]]:
-    """What `convert` gives, over nodes that are worked out once and let go at the end."""
+    """What `convert` gives, over nodes and triples that are worked out once and let go at the end."""
     nodes = flatten(specs.where("spec is not null"), mode).persist()
+    triples, errors = convert(specs, mode, *args, nodes=nodes, **options)
+    triples = triples.persist()
     try:
-        yield convert(specs, mode, *args, nodes=nodes, **options)
+        yield triples, errors
     finally:
+        triples.unpersist()
         nodes.unpersist()
 
 
 def turtle_files(specs: DataFrame, triples: DataFrame, errors: DataFrame, mode: str = "shacl", prefix: str = PREFIX, base: str | None = None) -> DataFrame:
-    """(graph, doc, content) of every document that went well, a newline where it has no triples."""
+    """(graph, doc, place, text): the lines of every document that went well, an empty one where it has no triples.
+
+    Of documents with one name the last in order stays.
+    """
     graphs = F.explode(F.array(*map(F.lit, ("owl",) if mode == "owl" else ("rdf", "shacl"))))
     every = specs.select("doc").distinct().join(errors.select("doc").distinct(), "doc", "left_anti").select(graphs.alias("graph"), "doc")
-    return every.join(turtle_documents(triples, prefix, base), ["graph", "doc"], "left").select("graph", "doc", F.coalesce("content", F.lit("\n")).alias("content"))
+    every = every.groupBy("graph", file_stem(F.col("doc"))).agg(F.max("doc").alias("doc")).select("graph", "doc")
+    lines = turtle_lines(triples.join(every, ["graph", "doc"], "left_semi"), prefix, base)
+    empty = every.join(triples.select("graph", "doc").distinct(), ["graph", "doc"], "left_anti")
+    return lines.unionByName(empty.select("graph", "doc", F.struct(F.lit(0).alias("part"), F.lit("").alias("key")).alias("place"), F.lit("\n").alias("text")))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -14,6 +14,7 @@ from ..sources import sinks
 from ..sources.yaml_source import dedup_paths
 from . import corpus
 from .convert import convert
+from .tables import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -326,8 +327,8 @@ def src_dedup(spark, sf_dir):
 
 
 def _pair(spark, sf_dir, *predicates):
-    nodes = corpus.nodes(spark, sf_dir)
-    return nodes, rules.graph_set(rules.shacl_triples(nodes, predicates=predicates or None))
+    nodes = kept(corpus.nodes(spark, sf_dir))
+    return nodes, kept(rules.graph_set(rules.shacl_triples(nodes, predicates=predicates or None)))
 
 
 _WANT = "w AS (SELECT DISTINCT doc, replace(name, '-', '_') AS name FROM s), h AS (SELECT DISTINCT doc, split_part(owner, '#', -1) AS name FROM s WHERE kind IN " + _CLASSKINDS + ")"
@@ -400,9 +401,14 @@ def audit_predicate_whitelist(spark, sf_dir):
     return audit.odd_predicates(_triples(spark, sf_dir))
 
 
-@_register("""SELECT doc_id, CAST(len(regexp_extract_all(text, '"N[a-f0-9]{32}"')) AS BIGINT) AS anonymous, CAST(len(regexp_extract_all(text, '"[N_][a-zA-Z0-9_]{20,}"')) AS BIGINT) AS quoted FROM documents""")
+_PLANTED = """concat(text, CASE WHEN doc_id % 5 = 0 THEN concat(' "N', md5(CAST(doc_id AS VARCHAR)), '"') ELSE '' END, CASE WHEN doc_id % 7 = 0 THEN ' "_a_name_of_a_blank_node_" "N0"' ELSE '' END)"""
+
+
+@_register(f"""SELECT doc_id, CAST(len(regexp_extract_all(text, '"N[a-f0-9]{{32}}"')) AS BIGINT) AS anonymous, CAST(len(regexp_extract_all(text, '"[N_][a-zA-Z0-9_]{{20,}}"')) AS BIGINT) AS quoted FROM (SELECT doc_id, {_PLANTED} AS text FROM documents)""")
 def audit_anon_ids(spark, sf_dir):
-    return audit.blank_node_names(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "text").drop("text")
+    """Identifiers in quotes that stand for blank nodes; the texts have none of their own, so some are put behind them."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(_PLANTED.replace("VARCHAR", "STRING")).alias("text"))
+    return audit.blank_node_names(texts, "text").drop("text")
 
 
 @_register()
@@ -433,6 +439,33 @@ def sink_ntriples(spark, sf_dir):
     return sinks.ntriples(x).select("doc", "line")
 
 
+@_register(f"""SELECT concat('{P}doc/', doc_id) AS s, 'iri' AS s_kind, '{N.RDFS}comment' AS p, text AS o, 'literal' AS o_kind, CAST(NULL AS VARCHAR) AS o_dt FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT concat('_:', lang, '#/', coalesce(source, ''), ' "', doc_id), 'bnode', '{N.RDFS}seeAlso', concat('{P}doc/', doc_id), 'iri', NULL FROM documents
+  UNION ALL SELECT concat('{P}doc/', doc_id), 'iri', '{N.RDF}value', CAST(n_chars AS VARCHAR), 'literal', '{N.XSD}integer' FROM documents""")
+def source_ntriples(spark, sf_dir):
+    """Texts, references and blank nodes of documents as N-Triples, read back."""
+    c, none = F.col, F.lit(None).cast("string")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    me = F.concat(F.lit(P + "doc/"), c("doc_id").cast("string"))
+    blank = F.concat(F.lit("_:"), c("lang"), F.lit("#/"), F.coalesce("source", F.lit("")), F.lit(' "'), c("doc_id").cast("string"))
+    row = lambda s, kind, p, o, o_kind, dt: docs.select(F.lit("rdf").alias("graph"), F.lit("d").alias("doc"), s.alias("s"), F.lit(kind).alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), F.lit(o_kind).alias("o_kind"), dt.alias("o_dt"))
+    t = row(me, "iri", N.RDFS + "comment", c("text"), "literal", none).where("o is not null").unionByName(row(blank, "bnode", N.RDFS + "seeAlso", me, "iri", none))
+    t = t.unionByName(row(me, "iri", N.RDF + "value", c("n_chars").cast("string"), "literal", F.lit(N.XSD + "integer")))
+    return sinks.parsed_ntriples(sinks.ntriples(t)).select("s", "s_kind", "p", "o", "o_kind", "o_dt")
+
+
+_VOCABULARY = f"SELECT DISTINCT doc, s, '{N.RDFS}domain' AS p, owner AS o FROM v UNION SELECT doc, s, '{N.RDFS}range', r FROM v"
+_COUNTS = f"""SELECT doc, shape AS s, '{N.SH}minCount' AS p, '1' AS o FROM k WHERE parent_kind = 'object' AND required UNION ALL SELECT doc, shape, '{N.SH}maxCount', '1' FROM k WHERE parent_kind = 'object' AND kind <> 'array'
+  UNION ALL SELECT doc, place, '{N.SH}maxCount', '1' FROM y WHERE NOT shapes_only UNION ALL SELECT doc, concat(nid, '/items'), '{N.SH}minCount', CAST(min_items AS VARCHAR) FROM z WHERE kind = 'array'"""
+
+
+@_register(f"""{_BASE}, {_PROPS}, {_PLACES}, x AS (SELECT 'rdf' AS graph, * FROM ({_VOCABULARY}) UNION ALL SELECT 'shacl', * FROM ({_COUNTS}))
+  SELECT CAST(grouping(graph, doc) AS INTEGER) AS level, graph, doc, count(*) AS triples, count(DISTINCT concat(doc, ' ', s)) AS subjects, count(DISTINCT p) AS predicates FROM x GROUP BY ROLLUP (graph, doc)""")
+def audit_rollup(spark, sf_dir):
+    """Figures of domains, ranges and cardinalities: of every graph of every document, every graph and all."""
+    return audit.stats_rollup(_triples(spark, sf_dir, N.RDFS + "domain", N.RDFS + "range", N.SH + "minCount", N.SH + "maxCount"))
+
+
 @_register()
 def turtle_roundtrip(spark, sf_dir):
     """Triples of each document's graphs, and those read back from its Turtle."""
@@ -442,7 +475,7 @@ def turtle_roundtrip(spark, sf_dir):
         for b in batches:
             yield pd.DataFrame([(g, d, len(sinks.parse_turtle(t)) if t.strip() else 0) for g, d, t in b.itertuples(index=False)], columns=["graph", "doc", "read"])
 
-    t = _triples(spark, sf_dir)
+    t = kept(_triples(spark, sf_dir))
     read = sinks.turtle_documents(t, P).mapInPandas(back, "graph string, doc string, read long")
     return t.groupBy("graph", "doc").agg(F.count("*").alias("written")).join(read, ["graph", "doc"])
 

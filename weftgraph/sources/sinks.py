@@ -1,17 +1,16 @@
-"""Triples out: N-Triples lines and Parquet anywhere, Turtle document by document."""
+"""Triples out and in: N-Triples lines and Parquet anywhere, Turtle by subjects and blank-node trees."""
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections import defaultdict
-from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.naming import DASH, OWL, RDF, RDFS, SH, XSD, file_label, file_stem, main_namespace
+from .document_sink import write_files
 
 STANDARD = {"rdf": RDF, "rdfs": RDFS, "xsd": XSD, "owl": OWL, "sh": SH, "dash": DASH}
 
@@ -35,6 +34,49 @@ def ntriples(triples: DataFrame) -> DataFrame:
     return triples.select("graph", "doc", F.concat(term(F.col("s"), F.col("s_kind")), F.lit(" <"), F.col("p"), F.lit("> "), o, F.lit(" .")).alias("line"))
 
 
+_NT_IRI, _NT_BLANK = r"<[^<>\"{}|^`\\\x00-\x20]*>", r"_:[^\s<>\"]+"
+_NT_LINE = rf"^\s*({_NT_IRI}|{_NT_BLANK})\s*({_NT_IRI})\s*(.*)$"
+_NT_NODE = rf"^({_NT_IRI}|{_NT_BLANK})\s*\.\s*(?:#.*)?$"
+#: From the first quote to the last one: a pattern of escapes would go as deep as a text is long.
+_NT_LITERAL = rf'^("(.*)")(?:\^\^({_NT_IRI})|@[A-Za-z0-9-]+)?\s*\.\s*(?:#[^"]*)?$'
+
+
+def parsed_ntriples(lines: DataFrame, column: str = "line") -> DataFrame:
+    """The columns of lines, but for the line, with s, s_kind, p, o, o_kind, o_dt and error: a row for each line that is neither empty nor a comment.
+
+    Expressions of the JVM alone, so that files are split anywhere between lines. error has
+    a line that is no triple. Blank nodes that `ntriples` wrote get their paths back;
+    language tags are dropped, as the model has none.
+    """
+    text = F.col(column)
+    part = lambda x, pattern, i: F.nullif(F.regexp_extract(x, pattern, i), F.lit(""))
+    inside = lambda x: F.substring(x, F.lit(2), F.length(x) - 2)
+    rows = lines.where(~F.trim(text).startswith("#") & (F.trim(text) != "")).withColumns({f"_{n}": part(text, _NT_LINE, i) for i, n in ((1, "s"), (2, "p"), (3, "rest"))})
+    c, literal = F.col, F.col("_rest").startswith('"')
+    rows = rows.withColumns({"_node": F.when(~literal, part(c("_rest"), _NT_NODE, 1)), "_text": F.when(literal, part(c("_rest"), _NT_LITERAL, 1)), "_dt": F.when(literal, part(c("_rest"), _NT_LITERAL, 3))})
+    plain = F.replace(F.replace(inside(c("_text")), F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    good = F.coalesce(c("_node").isNotNull() | ~plain.contains('"'), F.lit(False))
+
+    def node(x: Column) -> Column:
+        code = F.regexp_extract(x, "^_:b((?:[0-9a-f][0-9a-f])++)$", 1)
+        path = F.concat(F.lit("_:"), F.decode(F.unhex(code), "UTF-8"))
+        return F.when(x.startswith("<"), inside(x)).when(code != "", path).otherwise(x)
+
+    kind = lambda x: F.when(x.startswith("<"), "iri").otherwise("bnode")
+    # Escapes are those of JSON.
+    value = F.when(~c("_text").contains("\\"), inside(c("_text"))).otherwise(F.get(F.from_json(F.concat(F.lit("["), c("_text"), F.lit("]")), "array<string>", {"allowUnquotedControlChars": "true"}), F.lit(0)))
+    own = {
+        "s": node(c("_s")), "s_kind": kind(c("_s")), "p": inside(c("_p")), "o": F.when(literal, value).otherwise(node(c("_node"))), "o_kind": F.when(literal, "literal").otherwise(kind(c("_node"))),
+        "o_dt": inside(c("_dt")),
+    }
+    return rows.select(*(x for x in lines.columns if x != column), *(F.when(good, x).alias(n) for n, x in own.items()), F.when(~good, text).alias("error"))
+
+
+def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
+    """(graph, s, s_kind, p, o, o_kind, o_dt, error) of what `write_ntriples` wrote; graph only if the files are in its folders."""
+    return parsed_ntriples(spark.read.text(path), "value")
+
+
 def write_ntriples(triples: DataFrame, path: str) -> None:
     ntriples(triples).select("graph", "line").write.mode("overwrite").partitionBy("graph").text(path)
 
@@ -47,107 +89,127 @@ def write_parquet(triples: DataFrame, path: str) -> None:
 FILES = {"rdf": "rdf/{}_rdf.ttl", "shacl": "shacl/{}_shacl.ttl", "owl": "{}.ttl"}
 
 
-def write_turtle(documents: DataFrame, path: str) -> None:
-    """Write documents(graph, doc, content), a file each: rdf/<name>_rdf.ttl, shacl/<name>_shacl.ttl or <name>.ttl.
+def turtle_file(graph: Column, doc: Column) -> Column:
+    """The file of a document's graph."""
+    out = F.lit(None)
+    for g, pattern in FILES.items():
+        before, after = pattern.split("{}")
+        out = F.when(graph == g, F.concat(F.lit(before), file_stem(doc), F.lit(after))).otherwise(out)
+    return out
 
-    Contents are written by the executors into a folder beside, whose files then get their
-    names. A file that is there is replaced; of documents with one name the last in order stays.
+
+def write_turtle(lines: DataFrame, path: str) -> None:
+    """Write lines(graph, doc, place, text) as rdf/<name>_rdf.ttl, shacl/<name>_shacl.ttl or <name>.ttl, a file each.
+
+    The lines of a document go through one task, which writes them as they come, so that
+    none is too long. A file that is there is replaced. Documents must have names of their own.
     """
-    spark = documents.sparkSession
-    staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    make = jvm.org.apache.hadoop.fs.Path
-    fs = make(path).getFileSystem(conf)
-    # The writer ends a row with a newline of its own.
-    documents.select("graph", "doc", F.regexp_replace("content", r"\n\z", "").alias("content")).write.partitionBy("graph", "doc").text(staging)
-    try:
-        for graph, pattern in FILES.items():
-            top = make(f"{staging}/graph={graph}")
-            if not fs.exists(top):
-                continue
-            for folder in sorted(fs.listStatus(top), key=lambda f: unquote(f.getPath().getName())):
-                name = unquote(folder.getPath().getName().removeprefix("doc=")).rsplit("/", 1)[-1]
-                part = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
-                target = make(f"{path.rstrip('/')}/{pattern.format(name)}")
-                fs.mkdirs(target.getParent())
-                fs.delete(target, False)
-                if not fs.rename(part, target):
-                    raise OSError(f"cannot write {target}")
-    finally:
-        fs.delete(make(staging), True)
-
-
-_LOCAL = re.compile(r"[A-Za-z_][A-Za-z0-9_\-]*\Z")
-
-
-def turtle(rows: list[tuple], own: dict[str, str] | None = None) -> str:
-    """One graph of (s, s_kind, p, o, o_kind, o_dt) as Turtle: used prefixes, sorted subjects, nested blank nodes, lists in brackets."""
-    spaces = {u: p for p, u in {**STANDARD, **(own or {})}.items()}
-    used: set[str] = set()
-    by: dict[str, dict[str, list[tuple]]] = defaultdict(lambda: defaultdict(list))
-    kinds, incoming = {}, defaultdict(int)
-    for s, sk, p, o, ok, dt in rows:
-        by[s][p].append((o, ok, dt))
-        kinds[s] = sk
-        if ok == "bnode":
-            incoming[o] += 1
+    write_files(lines.select(turtle_file(F.col("graph"), F.col("doc")).alias("file"), "place", "text"), path)
+
+
+_LOCAL = r"[A-Za-z_][A-Za-z0-9_\-]*"
+_LITERAL = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
+
+
+def _short(x: Column) -> Column:
+    """An IRI with a prefix, the document's own (label, space) or a standard one, else in brackets."""
+    out = F.concat(F.lit("<"), x, F.lit(">"))
+    spaces = [(F.lit(p), F.lit(u)) for p, u in STANDARD.items()]
+    for label, space in [*spaces, (F.col("label"), F.col("space"))]:  # the document's own first
+        local = F.substring(x, F.length(space) + 1, F.length(x))
+        out = F.when(F.startswith(x, space) & local.rlike(f"^{_LOCAL}$"), F.concat(label, F.lit(":"), local)).otherwise(out)
+    return out
+
+
+def _object(o: Column, kind: Column, dt: Column) -> Column:
+    text = o
+    for x, y in _LITERAL:
+        text = F.replace(text, F.lit(x), F.lit(y))
+    bare = ((dt == XSD + "integer") & o.rlike(r"^[+-]?\d+$")) | ((dt == XSD + "boolean") & o.isin("true", "false"))
+    literal = F.when(bare, o).otherwise(F.concat(F.lit('"'), text, F.lit('"'), F.when(dt.isNotNull(), F.concat(F.lit("^^"), _short(dt))).otherwise("")))
+    return F.when(kind == "literal", literal).when(o == RDF + "nil", "()").otherwise(_short(o))
 
-    def iri(x: str) -> str:
-        for u in sorted(spaces, key=len, reverse=True):
-            if x.startswith(u) and _LOCAL.match(x[len(u) :]):
-                used.add(u)
-                return f"{spaces[u]}:{x[len(u):]}"
-        return f"<{x}>"
 
-    def literal(x: str, dt: str | None) -> str:
-        text = x.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t")
-        if dt == XSD + "integer" and re.fullmatch(r"[+-]?\d+", x) or dt == XSD + "boolean" and x in ("true", "false"):
-            return x
-        return f'"{text}"' + (f"^^{iri(dt)}" if dt else "")
+def _body(pairs: Column, depth: str = "    ") -> Column:
+    """(p, predicate, object) of one subject as Turtle: its type first, then by predicate; objects in order."""
+    ordered = F.array_sort(F.array_distinct(F.transform(pairs, lambda x: F.struct((x["p"] != RDF + "type").alias("late"), x["p"].alias("p"), x["predicate"].alias("predicate")))))
+    said = lambda k: F.concat(k["predicate"], F.lit(" "), F.array_join(F.array_sort(F.transform(F.filter(pairs, lambda x: x["p"] == k["p"]), lambda x: x["object"])), ", "))
+    return F.array_join(F.transform(ordered, said), " ;\n" + depth)
+
+
+def _trees(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The blank nodes of one schema to the texts of those that no other of them holds: as an object of a subject, and as a statement."""
+    by: dict[str, dict[str, tuple[str, list[tuple]]]] = defaultdict(dict)
+    incoming: dict[str, int] = defaultdict(int)
+    for s, p, predicate, o, kind, text in zip(*(pdf[c] for c in ("s", "p", "predicate", "o", "o_kind", "object")), strict=True):
+        by[s].setdefault(p, (predicate, []))[1].append((o, kind, text))
+        if kind == "bnode":
+            incoming[o] += 1
+
+    def label(x: str) -> str:
+        return "_:b" + x[2:].encode().hex()
 
     def term(x: tuple, depth: int) -> str:
-        o, kind, dt = x
-        if kind == "literal":
-            return literal(o, dt)
-        if kind == "iri":
-            return "()" if o == RDF + "nil" else iri(o)
+        o, kind, text = x
+        if kind != "bnode":
+            return text
         if incoming[o] > 1 or o not in by:
-            return "_:b" + o[2:].encode().hex()
+            return label(o)
+        return held(o, depth)
+
+    def held(o: str, depth: int) -> str:
         items, at = [], o
-        while at in by and set(by[at]) == {RDF + "first", RDF + "rest"} and len(by[at][RDF + "first"]) == len(by[at][RDF + "rest"]) == 1:
-            items.append(by[at][RDF + "first"][0])
-            at = by[at][RDF + "rest"][0][0]
+        while at in by and set(by[at]) == {RDF + "first", RDF + "rest"} and len(by[at][RDF + "first"][1]) == len(by[at][RDF + "rest"][1]) == 1:
+            items.append(by[at][RDF + "first"][1][0])
+            at = by[at][RDF + "rest"][1][0][0]
         if items and at == RDF + "nil":
             return "( " + " ".join(term(i, depth + 1) for i in items) + " )"
         return "[ " + body(o, depth + 1) + " ]"
 
     def body(s: str, depth: int) -> str:
-        pad = " ;\n" + "    " * depth
         order = sorted(by[s], key=lambda p: (p != RDF + "type", p))
-        return pad.join(("a" if p == RDF + "type" else iri(p)) + " " + ", ".join(sorted(term(o, depth) for o in by[s][p])) for p in order)
+        return (" ;\n" + "    " * depth).join(by[s][p][0] + " " + ", ".join(sorted(term(o, depth) for o in by[s][p][1])) for p in order)
 
-    out = []
-    for s in sorted(by, key=lambda s: (kinds[s] == "bnode", s)):
-        if kinds[s] != "bnode":
-            out.append(f"{iri(s)} {body(s, 1)} .\n")
-        elif not incoming[s]:
-            out.append(f"[] {body(s, 1)} .\n")
-        elif incoming[s] > 1:
-            out.append(f"_:b{s[2:].encode().hex()} {body(s, 1)} .\n")
-    head = "".join(f"@prefix {spaces[u]}: <{u}> .\n" for u in sorted(used, key=lambda u: spaces[u]))
-    return (head + "\n" + "\n".join(out)) if out else "\n"
+    first = pdf.iloc[0]
+    rows = [(first["graph"], first["doc"], s, held(s, 1) if not incoming[s] else label(s), (f"[] {body(s, 1)}" if not incoming[s] else f"{label(s)} {body(s, 1)}") + " .\n") for s in by if incoming[s] != 1]
+    return pd.DataFrame(rows, columns=["graph", "doc", "node", "held", "statement"])
 
 
-def turtle_documents(triples: DataFrame, prefix: str, base: str | None = None) -> DataFrame:
-    """(graph, doc, content): each graph of each document as Turtle; a group is one document."""
+def turtle_lines(triples: DataFrame, prefix: str, base: str | None = None) -> DataFrame:
+    """(graph, doc, place, text): each graph of each document as Turtle, in the order of place; nothing holds a whole document.
+
+    Prefixes that are used come first, then subjects by IRI, then blank nodes that no
+    subject holds. Blank nodes are nested within one schema, by which they are grouped;
+    one that several hold has a label.
+    """
+    c = F.col
+    named = triples.withColumn("label", file_label(c("doc"))).withColumn("space", main_namespace(c("doc"), prefix, base))
+    predicate = F.when(c("p") == RDF + "type", "a").otherwise(_short(c("p")))
+    terms = named.withColumns({"predicate": predicate, "object": F.when(c("o_kind") != "bnode", _object(c("o"), c("o_kind"), c("o_dt")))})
+    blank = terms.where("s_kind = 'bnode'")
+    schema = F.substring_index(F.substring(c("s"), F.length("doc") + 5, F.length("s")), "/", 1)  # behind _:doc#/
+    shape = "graph string, doc string, node string, held string, statement string"
+    trees = blank.select("graph", "doc", "s", "p", "predicate", "o", "o_kind", "object", schema.alias("tree")).groupBy("graph", "doc", "tree").applyInPandas(_trees, shape)
+    own = terms.where("s_kind = 'iri'").select("graph", "doc", "s", "p", "predicate", "o", "o_kind", "object", _short(c("s")).alias("subject"))
+    held = own.where("o_kind = 'bnode'").join(trees.select("graph", "doc", c("node").alias("o"), "held"), ["graph", "doc", "o"], "left")
+    label = F.concat(F.lit("_:b"), F.lower(F.hex(F.substring("o", 3, 1 << 20))))
+    whole = own.where("o_kind <> 'bnode'").unionByName(held.withColumn("object", F.coalesce("held", label)).drop("held"))
+    subjects = whole.groupBy("graph", "doc", "s").agg(F.any_value("subject").alias("subject"), F.collect_list(F.struct("p", "predicate", "object")).alias("pairs"))
+    subjects = subjects.select("graph", "doc", F.struct(F.lit(1).alias("part"), c("s").alias("key")).alias("place"), F.concat(c("subject"), F.lit(" "), _body(c("pairs")), F.lit(" .\n")).alias("text"))
+    loose = trees.join(held.select("graph", "doc", c("o").alias("node")).distinct(), ["graph", "doc", "node"], "left_anti")
+    loose = loose.select("graph", "doc", F.struct(F.lit(2).alias("part"), c("node").alias("key")).alias("place"), c("statement").alias("text"))
+    shorts = F.array_compact(F.array(F.when(c("s_kind") == "iri", _short(c("s"))), F.when(predicate != "a", predicate), F.when(c("o_kind") == "iri", _short(c("o"))), F.when(c("o_kind") == "literal", F.when(~c("object").rlike(r'^(true|false|[+-]?\d+)$'), _short(c("o_dt"))))))
+    used = terms.select("graph", "doc", "label", "space", F.explode(shorts).alias("x")).where("x not like '<%'").select("graph", "doc", "label", "space", F.substring_index("x", ":", 1).alias("prefix")).distinct()
+    uri = F.coalesce(F.when(c("prefix") == c("label"), c("space")), F.try_element_at(F.create_map(*(F.lit(x) for pair in STANDARD.items() for x in pair)), c("prefix")))
+    head = used.select("graph", "doc", F.struct(F.lit(0).alias("part"), c("prefix").alias("key")).alias("place"), F.concat(F.lit("@prefix "), c("prefix"), F.lit(": <"), uri, F.lit("> .\n")).alias("text"))
+    # An empty line before each statement.
+    return head.unionByName(subjects.unionByName(loose).withColumn("text", F.concat(F.lit("\n"), "text")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        rows = [tuple(None if x is None or x != x else x for x in r) for r in pdf[["s", "s_kind", "p", "o", "o_kind", "o_dt"]].itertuples(index=False)]
-        return pd.DataFrame([{"graph": first["graph"], "doc": first["doc"], "content": turtle(rows, {first["label"]: first["space"]})}])
 
-    named = triples.withColumn("label", file_label(F.col("doc"))).withColumn("space", main_namespace(F.col("doc"), prefix, base))
-    return named.groupBy("graph", "doc").applyInPandas(run, "graph string, doc string, content string")
+def turtle_documents(triples: DataFrame, prefix: str, base: str | None = None) -> DataFrame:
+    """(graph, doc, content): each graph of each document as one text, for documents that are no longer than a row may be."""
+    lines = turtle_lines(triples, prefix, base).groupBy("graph", "doc").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("lines"))
+    return lines.select("graph", "doc", F.array_join(F.transform("lines", lambda x: x["text"]), "").alias("content"))
 
 
 _TOKEN = re.compile(
