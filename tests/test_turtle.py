@@ -9,7 +9,8 @@ from test_rules import REF
 from weftgraph.operators.flatten import flatten
 from weftgraph.operators.rules import graph_set, owl_triples, shacl_triples
 from weftgraph.sources.document_sink import write_files
-from weftgraph.sources.sinks import parse_turtle, turtle_documents, turtle_lines
+from weftgraph.sources import sinks
+from weftgraph.sources.sinks import parse_turtle, turtle_documents
 
 P = "http://example.org/models/"
 SCHEMAS = {
@@ -74,6 +75,12 @@ def test_failed_tasks_leave_nothing(spark, tmp_path):
     assert [p.name for p in tmp_path.rglob("*") if not p.name.startswith("_staging")] == ["f1"] and (tmp_path / "f1").read_text() == "as it was"
 
 
-def test_lines_need_no_whole_document(spark):
-    plan = turtle_lines(triples(spark), P)._jdf.queryExecution().toString()
-    assert "tree" in plan and "applyInPandas" not in plan.split("FlatMapGroupsInPandas")[0]
+def test_portions_end_with_schemas(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(sinks, "_HELD", 5)
+    rows = [("g", "d", tree, i) for tree, n in enumerate([3, 1, 12, 2, 2, 1]) for i in range(n)]
+    for size in (1, 2, 4, 100):
+        got = list(sinks._batched(pd.DataFrame(rows[a : a + size], columns=["graph", "doc", "tree", "i"]) for a in range(0, len(rows), size)))
+        assert [tuple(r) for p in got for r in p.itertuples(index=False)] == rows
+        assert all(set(a["tree"]).isdisjoint(b["tree"]) for a, b in zip(got, got[1:], strict=False)) and (size > 4 or len(got) > 2)

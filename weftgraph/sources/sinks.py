@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,8 +138,36 @@ def _body(pairs: Column, depth: str = "    ") -> Column:
     return F.array_join(F.transform(ordered, said), " ;\n" + depth)
 
 
-def _trees(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The blank nodes of one schema to the texts of those that no other of them holds: as an object of a subject, and as a statement."""
+#: Triples of whole schemas that a task turns into text at once, about.
+_HELD = 20_000
+
+
+def _batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Triples of blank nodes in the order of their schemas, in portions that end where a schema ends."""
+    held: list[pd.DataFrame] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= _HELD:
+            whole = pd.concat(held, ignore_index=True)
+            key = ["graph", "doc", "tree"]
+            first = int((whole[key] == whole[key].iloc[-1]).all(axis=1).to_numpy().argmax())  # of the last schema, which may go on
+            if first:
+                yield whole.iloc[:first]
+            held, rows = [whole.iloc[first:]], len(whole) - first
+    if rows:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for portion in _batched(batches):
+        for (graph, doc), rows in portion.groupby(["graph", "doc"], sort=False):
+            yield _texts(graph, doc, rows)
+
+
+def _texts(graph: str, doc: str, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The blank nodes of whole schemas to the texts of those that no other of them holds: as an object of a subject, and as a statement."""
     by: dict[str, dict[str, tuple[str, list[tuple]]]] = defaultdict(dict)
     incoming: dict[str, int] = defaultdict(int)
     for s, p, predicate, o, kind, text in zip(*(pdf[c] for c in ("s", "p", "predicate", "o", "o_kind", "object")), strict=True):
@@ -170,8 +199,7 @@ def _trees(pdf: pd.DataFrame) -> pd.DataFrame:
         order = sorted(by[s], key=lambda p: (p != RDF + "type", p))
         return (" ;\n" + "    " * depth).join(by[s][p][0] + " " + ", ".join(sorted(term(o, depth) for o in by[s][p][1])) for p in order)
 
-    first = pdf.iloc[0]
-    rows = [(first["graph"], first["doc"], s, held(s, 1) if not incoming[s] else label(s), (f"[] {body(s, 1)}" if not incoming[s] else f"{label(s)} {body(s, 1)}") + " .\n") for s in by if incoming[s] != 1]
+    rows = [(graph, doc, s, held(s, 1) if not incoming[s] else label(s), (f"[] {body(s, 1)}" if not incoming[s] else f"{label(s)} {body(s, 1)}") + " .\n") for s in by if incoming[s] != 1]
     return pd.DataFrame(rows, columns=["graph", "doc", "node", "held", "statement"])
 
 
@@ -189,7 +217,7 @@ def turtle_lines(triples: DataFrame, prefix: str, base: str | None = None) -> Da
     blank = terms.where("s_kind = 'bnode'")
     schema = F.substring_index(F.substring(c("s"), F.length("doc") + 5, F.length("s")), "/", 1)  # behind _:doc#/
     shape = "graph string, doc string, node string, held string, statement string"
-    trees = blank.select("graph", "doc", "s", "p", "predicate", "o", "o_kind", "object", schema.alias("tree")).groupBy("graph", "doc", "tree").applyInPandas(_trees, shape)
+    trees = blank.select("graph", "doc", "s", "p", "predicate", "o", "o_kind", "object", schema.alias("tree")).repartition("graph", "doc", "tree").sortWithinPartitions("graph", "doc", "tree").mapInPandas(_trees, shape)
     own = terms.where("s_kind = 'iri'").select("graph", "doc", "s", "p", "predicate", "o", "o_kind", "object", _short(c("s")).alias("subject"))
     held = own.where("o_kind = 'bnode'").join(trees.select("graph", "doc", c("node").alias("o"), "held"), ["graph", "doc", "o"], "left")
     label = F.concat(F.lit("_:b"), F.lower(F.hex(F.substring("o", 3, 1 << 20))))
