@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import naming as N
 from ..operators import audit, rules
 from ..operators.flatten import flatten
+from ..operators.isomorphism import compared
 from ..sources import sinks
 from ..sources.yaml_source import dedup_paths
 from . import corpus
@@ -439,6 +440,16 @@ def sink_ntriples(spark, sf_dir):
     return sinks.ntriples(x).select("doc", "line")
 
 
+@_register(f"""{_BASE} SELECT doc, 'shacl' AS graph, NOT bool_or(kind = 'object' AND EXISTS (SELECT 1 FROM k WHERE k.schema_id = s.schema_id AND k.ordinal = 3 AND k.required)) AS same FROM s
+  WHERE kind IN ('object', 'array', 'anyOf', 'oneOf', 'allOf') GROUP BY doc""")
+def graph_isomorphism(spark, sf_dir):
+    """The shapes against a copy whose blank nodes have other names and which lacks the minimal counts of prop-3."""
+    shapes = kept(_triples(spark, sf_dir).where("graph = 'shacl'"))
+    other = lambda c: F.when(F.col(f"{c}_kind") == "bnode", F.concat(F.lit("_:"), F.sha2(F.concat(F.lit("x"), c), 256))).otherwise(F.col(c))
+    copy = shapes.where(~((F.col("p") == N.SH + "minCount") & F.col("s").endswith("/properties/prop-3"))).withColumns({"s": other("s"), "o": other("o")})
+    return compared(shapes, copy).select("doc", "graph", "same")
+
+
 @_register(f"""SELECT concat('{P}doc/', doc_id) AS s, 'iri' AS s_kind, '{N.RDFS}comment' AS p, text AS o, 'literal' AS o_kind, CAST(NULL AS VARCHAR) AS o_dt FROM documents WHERE text IS NOT NULL
   UNION ALL SELECT concat('_:', lang, '#/', coalesce(source, ''), ' "', doc_id), 'bnode', '{N.RDFS}seeAlso', concat('{P}doc/', doc_id), 'iri', NULL FROM documents
   UNION ALL SELECT concat('{P}doc/', doc_id), 'iri', '{N.RDF}value', CAST(n_chars AS VARCHAR), 'literal', '{N.XSD}integer' FROM documents""")
