@@ -49,13 +49,13 @@ def _bad_key(k: Any) -> str:
     raise TypeError(f"{k!r} is no string key")
 
 
-def decoded(path: str, content: str, strict: bool = True, whole: bool = False) -> list[dict[str, Any]]:
+def decoded(path: str, content: str | bytes, strict: bool = True, whole: bool = False) -> list[dict[str, Any]]:
     """Rows of one document; one row with an error, or without a schema, if there are none. With whole, its path is its name."""
     import yaml
 
     base = {"doc": (path if whole else path.rsplit("/", 1)[-1]).removesuffix(".yaml"), "path": path, "ordinal": -1, "has_header": False}
     try:
-        tree = yaml.safe_load(content)
+        tree = yaml.load(content, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
         if tree is None and strict:
             raise ValueError("the document is empty")
         tree = tree or {}
@@ -84,8 +84,8 @@ def read_specs(spark: SparkSession, files: list[str], strict: bool = True) -> Da
             yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
 
     same = lambda c: F.regexp_replace(F.regexp_replace(c, r"^/", "file:/"), r"^file:/+", "file:/")
-    read = spark.read.format("binaryFile").load(files).select(same(F.col("path")).alias("path"), F.decode("content", "UTF-8").alias("content"))
+    read = spark.read.format("binaryFile").load(files).select(same(F.col("path")).alias("path"), "content")
     # Scans leave out empty files, which have to be reported: every file asked for is a row.
     asked = spark.createDataFrame([(f,) for f in files], "path string").select(same(F.col("path")).alias("path")).distinct()
-    texts = asked.join(read, "path", "left").select("path", F.coalesce("content", F.lit("")).alias("content"))
+    texts = asked.join(read, "path", "left").select("path", F.coalesce("content", F.lit(b"")).alias("content"))
     return texts.repartition("path").mapInPandas(run, SPEC)

@@ -3,34 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.naming import PREFIX
 from ..plans.convert import converted
-from ..sources.yaml_source import SPEC, decoded
+from ..sources.yaml_format import FORMAT, register
 
 
 def stream_conversion(spark: SparkSession, folder: str, output: str, checkpoint: str, mode: str = "shacl", prefix: str = PREFIX) -> StreamingQuery:
     """Convert each new *.yaml file of a folder into Parquet triples under output/batch=<n>, errors under output/_errors/batch=<n>.
 
-    A rerun batch overwrites its own.
+    A rerun batch overwrites its own. Which files belong to which batch stays below the checkpoint, in documents.
     """
-    import pandas as pd
+    register(spark)
+    documents = spark.readStream.format(FORMAT).option("strict", str(mode == "shacl").lower()).option("log", f"{checkpoint}/documents").load(folder)
 
-    texts = spark.readStream.format("text").schema("value string").option("wholetext", True).option("pathGlobFilter", "*.yaml").option("recursiveFileLookup", True).load(folder)
-    files = texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    names = [x.strip().split(" ")[0] for x in SPEC.split(",")]
-
-    def rows(batches):
-        for b in batches:
-            yield pd.DataFrame([[r.get(n) for n in names] for path, content in b.itertuples(index=False) for r in decoded(path, content, mode == "shacl")], columns=names, dtype=object)
-
-    def batch(df: DataFrame, number: int) -> None:
-        specs = df.mapInPandas(rows, SPEC).persist()
+    def batch(specs: DataFrame, number: int) -> None:
+        specs = specs.persist()
         with converted(specs, mode, prefix) as (triples, errors):
             triples.write.mode("overwrite").parquet(f"{output}/batch={number}")
             errors.write.mode("overwrite").parquet(f"{output}/_errors/batch={number}")
         specs.unpersist()
 
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
