@@ -11,11 +11,12 @@ from ..functions import naming as N
 from ..operators import audit, rules
 from ..operators.flatten import flatten
 from ..operators.isomorphism import compared
-from ..sources import sinks
+from ..sources import sinks, yaml_format
+from ..sources.document_sink import write_files
 from ..sources.yaml_source import dedup_paths
 from . import corpus
 from .convert import convert
-from .tables import kept
+from .tables import kept, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -465,6 +466,40 @@ def source_ntriples(spark, sf_dir):
     return sinks.parsed_ntriples(sinks.ntriples(t)).select("s", "s_kind", "p", "o", "o_kind", "o_dt")
 
 
+#: Of every schema the references and the numbers of its children, in their order.
+_BELOW = f"""SELECT k.schema_id, string_agg(CASE WHEN k.kind IN ('ref', 'array') THEN ref END, ' ' ORDER BY k.ordinal) AS refs,
+  string_agg(CASE WHEN k.kind IN ('string', 'integer', 'number') THEN concat(minimum, ' ', maximum) WHEN k.kind = 'array' THEN CAST(min_items AS VARCHAR) END, ' ' ORDER BY k.ordinal) AS bounds FROM k GROUP BY k.schema_id"""
+
+
+@_register(f"""{_BASE}, b AS ({_BELOW}), x AS (SELECT s.*, d.title, d.version, d.url, concat(s.doc, '_part', s.schema_id // 10000) AS file FROM s JOIN d ON d.doc_id = s.doc_id)
+  SELECT file AS doc, name AS schema, CAST(row_number() OVER (PARTITION BY file ORDER BY x.schema_id) - 1 AS INTEGER) AS ordinal, title, version, url, true AS has_header, CASE WHEN kind = 'ref' THEN NULL ELSE x.description END AS description,
+    CASE WHEN kind IN ('object', 'array', 'string', 'integer', 'number', 'boolean') THEN kind END AS type, CASE WHEN kind = 'ref' THEN concat(CASE WHEN x.doc_id = 0 THEN '' ELSE concat((SELECT doc FROM d WHERE doc_id = 0), '.yaml') END, '#/components/schemas/', (SELECT name FROM s WHERE schema_id = 0)) ELSE coalesce(refs, '') END AS refs, coalesce(bounds, '') AS bounds, false AS failed
+  FROM x LEFT JOIN b ON b.schema_id = x.schema_id
+  UNION ALL SELECT concat('broken_', r_name), NULL, -1, NULL, NULL, NULL, false, NULL, NULL, NULL, NULL, true FROM region""")
+def source_yaml(spark, sf_dir):
+    """The corpus as YAML files, read back: a row for each schema, beside its document's header; a file for each region is broken."""
+    c, text = F.col, lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    docs = corpus.tables(spark, sf_dir)["docs"].select("doc", "title", "version", "url")
+    schemas = corpus.specs(spark, sf_dir).withColumn("file", F.concat("doc", F.lit("_part"), (c("ordinal") / 10000).cast("int").cast("string")))
+    head = F.concat(
+        F.lit("openapi: 3.0.0\ninfo:\n  title: "), text(c("title")), F.lit("\n  version: "), text(c("version")),
+        F.coalesce(F.concat(F.lit("\nexternalDocs:\n  url: "), text(c("url"))), F.lit("")), F.lit("\ncomponents:\n  schemas:\n"),
+    )
+    row = lambda df, file, place, line: df.select(F.concat(file, F.lit(".yaml")).alias("file"), place.alias("place"), line.alias("text"))
+    lines = row(schemas.select("file", "doc").distinct().join(docs, "doc"), c("file"), F.lit(-1), head)
+    lines = lines.unionByName(row(schemas, c("file"), c("ordinal"), F.concat(F.lit("    "), text(c("schema")), F.lit(": "), c("spec"), F.lit("\n"))))
+    broken = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.concat(F.lit("broken_"), c("r_name")).alias("name"))
+    lines = lines.unionByName(row(broken, c("name"), F.lit(0), F.lit("components: {schemas: [\n")))
+    folder = shared_folder(spark, "yaml")
+    write_files(lines, folder)
+    yaml_format.register(spark)
+    found = lambda pattern, n: F.array_join(F.regexp_extract_all(c("spec"), F.lit(pattern), F.lit(n)), " ")
+    return spark.read.format(yaml_format.FORMAT).load(folder).select(
+        "doc", "schema", "ordinal", "title", "version", "url", "has_header", F.get_json_object("spec", "$.description").alias("description"), F.get_json_object("spec", "$.type").alias("type"),
+        found('"\\$ref": "([^"]*)"', 1).alias("refs"), found('"(?:minimum|maximum|minLength|maxLength|minItems)": (\\d+)', 1).alias("bounds"), c("error").isNotNull().alias("failed"),
+    )
+
+
 _VOCABULARY = f"SELECT DISTINCT doc, s, '{N.RDFS}domain' AS p, owner AS o FROM v UNION SELECT doc, s, '{N.RDFS}range', r FROM v"
 _COUNTS = f"""SELECT doc, shape AS s, '{N.SH}minCount' AS p, '1' AS o FROM k WHERE parent_kind = 'object' AND required UNION ALL SELECT doc, shape, '{N.SH}maxCount', '1' FROM k WHERE parent_kind = 'object' AND kind <> 'array'
   UNION ALL SELECT doc, place, '{N.SH}maxCount', '1' FROM y WHERE NOT shapes_only UNION ALL SELECT doc, concat(nid, '/items'), '{N.SH}minCount', CAST(min_items AS VARCHAR) FROM z WHERE kind = 'array'"""

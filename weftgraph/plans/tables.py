@@ -1,21 +1,33 @@
-"""Tables that a plan reads more than once."""
+"""Tables that a plan reads more than once, and folders that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The same rows, worked out once and written below spark.checkpoint.dir, where lost executors leave them alone.
+def _checkpoints(spark: SparkSession) -> str:
+    """The session's folder for checkpoints, spark.checkpoint.dir unless it has been set already.
 
     Only a session in local mode, as in tests, may leave that setting out.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftgraph-"))
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, worked out once and written below spark.checkpoint.dir, where lost executors leave them alone."""
+    _checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path for files of one's own below the folder for checkpoints; nothing is there yet."""
+    return f"{_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
