@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ..functions import naming as N
 from ..operators import audit, rules
 from ..operators.flatten import flatten
 from ..operators.isomorphism import compared
+from ..operators.validate import Table, violations
 from ..sources import sinks, yaml_format
 from ..sources.document_sink import write_files
 from ..sources.yaml_source import dedup_paths
@@ -500,6 +502,50 @@ def source_yaml(spark, sf_dir):
     )
 
 
+#: A document of schemas for the relational tables, stricter than their rows are.
+_TABLE_SCHEMAS = {
+    "Nation": {"type": "object", "required": ["n_nationkey"], "properties": {"n_nationkey": {"type": "integer", "maximum": 23}, "n_name": {"type": "string", "maxLength": 8}}},
+    "Customer": {"type": "object", "required": ["c_custkey", "c_phone"], "properties": {
+        "c_custkey": {"type": "integer", "minimum": 10}, "c_phone": {"type": "string"}, "c_name": {"type": "string", "pattern": "[13579]$", "minLength": 18}, "c_acctbal": {"type": "number", "minimum": 0, "maximum": 9000},
+        "c_mktsegment": {"type": "string", "enum": ["HOUSEHOLD", "MACHINERY"]}, "c_nationkey": {"$ref": "#/components/schemas/Nation"}}},
+    "Order": {"type": "object", "required": ["o_custkey"], "properties": {
+        "o_custkey": {"$ref": "#/components/schemas/Customer"}, "o_orderdate": {"type": "string", "format": "date-time"}, "o_orderpriority": {"anyOf": [{"type": "string", "enum": ["5-LOW"]}, {"type": "string", "pattern": "^[12]-"}]},
+        "o_orderstatus": {"oneOf": [{"type": "string", "enum": ["F", "O"]}, {"type": "string", "enum": ["O", "P"]}]}, "o_totalprice": {"type": "integer"}}},
+    "LineItem": {"type": "object", "required": ["l_orderkey"], "properties": {
+        "l_orderkey": {"$ref": "#/components/schemas/Order"}, "l_quantity": {"type": "number", "minimum": 2, "maximum": 49}, "l_tax": {"oneOf": [{"type": "number", "maximum": 0.05}, {"type": "number", "minimum": 0.03}]},
+        "l_returnflag": {"type": "string", "enum": ["A", "N"]}, "l_linestatus": {"type": "integer"}}},
+}
+
+
+def _fails(name: str, table: str, key: str, *checks: tuple[str, str, str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{P}TS1/Tables#{name}' AS class, CAST({key} AS VARCHAR) AS focus, '{path}' AS path, '{check}' AS \"check\", CAST({value} AS VARCHAR) AS value FROM {table} WHERE {wrong}" for path, check, value, wrong in checks)
+
+
+_FAILS = " UNION ALL ".join((
+    _fails("Nation", "nation", "n_nationkey", ("n_nationkey", "maxInclusive", "n_nationkey", "n_nationkey > 23"), ("n_name", "maxLength", "n_name", "length(n_name) > 8")),
+    _fails("Customer", "customer", "c_custkey", ("c_custkey", "minInclusive", "c_custkey", "c_custkey < 10"), ("c_phone", "minCount", "NULL", "true"), ("c_name", "pattern", "c_name", "right(c_name, 1) NOT IN ('1', '3', '5', '7', '9')"), ("c_name", "minLength", "c_name", "length(c_name) < 18"),
+           ("c_acctbal", "minInclusive", "c_acctbal", "c_acctbal < 0"), ("c_acctbal", "maxInclusive", "c_acctbal", "c_acctbal > 9000"), ("c_mktsegment", "in", "c_mktsegment", "c_mktsegment NOT IN ('HOUSEHOLD', 'MACHINERY')"), ("c_nationkey", "class", "c_nationkey", "c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey > 0)")),
+    _fails("Order", "orders", "o_orderkey", ("o_custkey", "class", "o_custkey", "o_custkey NOT IN (SELECT c_custkey FROM customer)"), ("o_orderpriority", "or", "o_orderpriority", "o_orderpriority <> '5-LOW' AND left(o_orderpriority, 2) NOT IN ('1-', '2-')"),
+           ("o_orderstatus", "xone", "o_orderstatus", "o_orderstatus NOT IN ('F', 'P')"), ("o_totalprice", "datatype", "o_totalprice", "o_totalprice <> floor(o_totalprice)")),
+    _fails("LineItem", "lineitem", "concat(l_orderkey, '-', l_linenumber)", ("l_orderkey", "class", "l_orderkey", "l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')"), ("l_quantity", "minInclusive", "l_quantity", "l_quantity < 2"), ("l_quantity", "maxInclusive", "l_quantity", "l_quantity > 49"),
+           ("l_tax", "xone", "l_tax", "l_tax BETWEEN 0.03 AND 0.05"), ("l_returnflag", "in", "l_returnflag", "l_returnflag NOT IN ('A', 'N')"), ("l_linestatus", "datatype", "l_linestatus", "true")),
+))
+
+
+def _instances(spark: SparkSession, sf_dir: str) -> dict[str, Table]:
+    """The tables of the classes; references lead to the nations of four regions and to orders that are not pending."""
+    read, iri = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet"), lambda n: f"{P}TS1/Tables#{n}"
+    lines = read("lineitem").withColumn("line", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return {iri("Nation"): Table(read("nation"), "n_nationkey"), iri("Customer"): Table(read("customer"), "c_custkey"), iri("Order"): Table(read("orders"), "o_orderkey"), iri("LineItem"): Table(lines, "line")}
+
+
+@_register(_FAILS)
+def validate_tables(spark, sf_dir):
+    """Every check of the shapes of a document that a row of nation, customer, orders or lineitem fails."""
+    specs = spark.createDataFrame([("TS1_Tables", n, i, json.dumps(s)) for i, (n, s) in enumerate(_TABLE_SCHEMAS.items())], "doc string, schema string, ordinal int, spec string")
+    return violations(convert(specs)[0], _instances(spark, sf_dir), known={f"{P}TS1/Tables#Nation": F.col("n_regionkey") > 0, f"{P}TS1/Tables#Order": F.col("o_orderstatus") != "P"})
+
+
 _VOCABULARY = f"SELECT DISTINCT doc, s, '{N.RDFS}domain' AS p, owner AS o FROM v UNION SELECT doc, s, '{N.RDFS}range', r FROM v"
 _COUNTS = f"""SELECT doc, shape AS s, '{N.SH}minCount' AS p, '1' AS o FROM k WHERE parent_kind = 'object' AND required UNION ALL SELECT doc, shape, '{N.SH}maxCount', '1' FROM k WHERE parent_kind = 'object' AND kind <> 'array'
   UNION ALL SELECT doc, place, '{N.SH}maxCount', '1' FROM y WHERE NOT shapes_only UNION ALL SELECT doc, concat(nid, '/items'), '{N.SH}minCount', CAST(min_items AS VARCHAR) FROM z WHERE kind = 'array'"""
