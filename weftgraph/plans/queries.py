@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming as N
+from ..functions import table_functions
 from ..operators import audit, rules
 from ..operators.flatten import flatten
 from ..operators.isomorphism import compared
@@ -502,6 +503,18 @@ def source_yaml(spark, sf_dir):
     )
 
 
+@_register(f"""{_BASE}, c AS (SELECT k.*, CASE parent_kind WHEN 'object' THEN concat('/properties/', name) WHEN 'array' THEN '/items' ELSE concat('/', parent_kind, '/', i) END AS path FROM k)
+  SELECT doc, name AS schema, '' AS path, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, 'schema' AS role, CAST(NULL AS VARCHAR) AS name, kind, kind = 'ref' AS has_ref FROM s
+  UNION ALL SELECT doc, schema, path, '', 1, role, CASE WHEN role = 'property' THEN name END, CASE kind WHEN 'enum' THEN 'string' ELSE kind END, kind = 'ref' FROM c
+  UNION ALL SELECT doc, schema, concat(path, '/items'), path, 2, 'items', NULL, 'ref', true FROM c WHERE kind = 'array'
+  UNION ALL SELECT doc, schema, concat(path, '/properties/inner-', ordinal), path, 2, 'property', concat('inner-', ordinal), 'string', false FROM c WHERE kind = 'object' AND ordinal % 2 = 0""")
+def sql_schema_tree(spark, sf_dir):
+    """Every node of every schema of the corpus, by a table function in SQL."""
+    table_functions.register(spark)
+    nodes = spark.sql("SELECT doc, schema, path, parent, depth, role, name, kind, ref FROM schema_trees(TABLE(SELECT doc, schema, spec FROM {specs}))", specs=corpus.specs(spark, sf_dir))
+    return nodes.withColumn("has_ref", F.col("ref").isNotNull()).drop("ref")
+
+
 #: A document of schemas for the relational tables, stricter than their rows are.
 _TABLE_SCHEMAS = {
     "Nation": {"type": "object", "required": ["n_nationkey"], "properties": {"n_nationkey": {"type": "integer", "maximum": 23}, "n_name": {"type": "string", "maxLength": 8}}},
