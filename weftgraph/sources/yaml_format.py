@@ -2,7 +2,7 @@
 
 Options: path, a .yaml file or a folder whose *.yaml files are read at any depth; strict,
 whether an empty document is an error (true); partitionBytes, what a task reads at most,
-unless a single file is larger (32 MiB); for a stream, log, a folder that keeps which
+unless a single file is larger (2 MiB: parsing takes about a second a MB); for a stream, log, a folder that keeps which
 files belong to which offset.
 
 Rows are those of `yaml_source.SPEC`: one for each top-level schema, or one with the
@@ -77,7 +77,7 @@ class _Rows:
             raise ValueError("the format needs a path")
         self.uri = options["path"]
         self.strict = options.get("strict", "true").lower() != "false"
-        self.most = int(options.get("partitionBytes", 32 << 20))
+        self.most = int(options.get("partitionBytes", 2 << 20))
 
     def read(self, partition: _Files | None) -> Iterator[tuple]:
         """A file is held at a time. Without any file, Spark reads a partition that is None."""
