@@ -1,12 +1,15 @@
 """Rules from schema nodes to triples: one pass, every node exploding the triples it stands for.
 
-A triple is (graph, doc, s, s_kind, p, o, o_kind, o_dt). Blank nodes are paths of schema
+A rule is a value (`Rule`) that declares its graph, its predicates and the kinds of nodes it
+holds on; `apply_rules` takes the rules that can make what is wanted and reads only nodes of
+their kinds. `shacl_rules` and `owl_rules` are the built-in ones; others may join them. A triple is (graph, doc, s, s_kind, p, o, o_kind, o_dt). Blank nodes are paths of schema
 nodes behind "_:", the same in every run. A graph is a set: `graph_set` drops repeats.
 """
 
 from __future__ import annotations
 
 from collections.abc import Collection, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +43,50 @@ def _t(graph: str, s: Column, s_kind: str, p: str, o, o_kind: str, dt=None) -> C
     return F.struct(F.lit(graph).alias("graph"), _c(s).alias("s"), F.lit(s_kind).alias("s_kind"), _c(p).alias("p"), _c(o).alias("o"), F.lit(o_kind).alias("o_kind"), _c(dt).alias("o_dt"))
 
 
+@dataclass(frozen=True)
+class Rule:
+    """What schema nodes say in a graph.
+
+    triples is a struct as `triple` makes it, or with many an array of them, null on nodes
+    where the rule does not hold. All of them are of the graph and the predicates declared,
+    and of nodes of the kinds declared (None: of any). It may use the columns of `flatten`
+    and those `shacl_nodes` or `owl_nodes` add.
+    """
+
+    name: str
+    graph: str
+    predicates: tuple[str, ...]
+    triples: Column
+    kinds: tuple[str, ...] | None = None
+    many: bool = False
+
+
+def triple(graph: str, s: Column, p: str, o: Column | str, o_kind: str = "iri", o_dt: Column | str | None = None, s_kind: str = "iri") -> Column:
+    """A triple for a rule of one's own; kinds are iri, bnode and literal."""
+    return _t(graph, s, s_kind, p, o, o_kind, o_dt)
+
+
+def plan_rules(rules: Sequence[Rule], predicates: Collection[str] | None = None, graphs: Collection[str] | None = None) -> tuple[list[Rule], set[str] | None]:
+    """The rules that can make triples of these predicates and graphs (None: of any), and the kinds of nodes they need (None: all)."""
+    names = [r.name for r in rules]
+    if len(set(names)) < len(names):
+        raise ValueError(f"rules of one name: {sorted(n for n in set(names) if names.count(n) > 1)}")
+    wanted = [r for r in rules if (graphs is None or r.graph in graphs) and (predicates is None or not set(predicates).isdisjoint(r.predicates))]
+    return wanted, None if any(r.kinds is None for r in wanted) else {k for r in wanted for k in r.kinds}
+
+
+def apply_rules(nodes: DataFrame, rules: Sequence[Rule], predicates: Collection[str] | None = None, graphs: Collection[str] | None = None) -> DataFrame:
+    """The triples of these predicates and graphs that rules make of nodes, with repeats; no other rule is worked out, no node of other kinds exploded.
+
+    Triples that a rule makes beside its declared graph and predicates are kept where all are wanted.
+    """
+    chosen, kinds = plan_rules(rules, predicates, graphs)
+    nodes = nodes if kinds is None else nodes.where(F.col("kind").isin(*sorted(kinds)))
+    out = _exploded(nodes, [r.triples for r in chosen if not r.many], [r.triples for r in chosen if r.many])
+    out = out if predicates is None else out.where(F.col("p").isin(*predicates))
+    return out if graphs is None else out.where(F.col("graph").isin(*graphs))
+
+
 def _exploded(nodes: DataFrame, single: list[Column], many: list[Column]) -> DataFrame:
     none = F.array().cast(_STRUCTS)
     # Triples that do not hold are null and go behind the explode: a filter of the array would be interpreted, with all that is in it.
@@ -73,32 +120,44 @@ def list_item(x: Column) -> tuple[Column, Column, Column]:
     return F.when(named, xsd).otherwise(lex), F.when(iri | named, "iri").otherwise("literal"), F.when(~text, F.concat(F.lit(XSD), dt))
 
 
-def shacl_triples(nodes: DataFrame, prefix: str = PREFIX, compat: bool = True, base: str | None = None, predicates: Collection[str] | None = None) -> DataFrame:
+def shacl_triples(
+    nodes: DataFrame, prefix: str = PREFIX, compat: bool = True, base: str | None = None, predicates: Collection[str] | None = None, graphs: Collection[str] | None = None, more: Sequence[Rule] = (),
+) -> DataFrame:
     """The vocabulary (graph rdf) and the shapes (graph shacl) of schema nodes, with repeats.
 
-    With predicates, only the rules that make triples of these are worked out.
+    With predicates or graphs, only the rules that make triples of these are worked out;
+    more are rules beside the built-in ones.
 
     compat keeps the predicate names or_ and booleans without a datatype; otherwise they
     are or, and booleans have theirs. base replaces the namespaces of the documents
     themselves; references to other files keep those made of the prefix.
     """
+    return apply_rules(shacl_nodes(nodes, prefix, base), [*shacl_rules(prefix, compat), *more], predicates, graphs)
+
+
+def shacl_nodes(nodes: DataFrame, prefix: str = PREFIX, base: str | None = None) -> DataFrame:
+    """Nodes with what many rules need as columns of their own: _main, the document's namespace, _owner and _prop, the IRIs of
+    the schema and of the name, _uri, _object and _word of the reference, and _datatype."""
     c = F.col
-    # What many rules need is worked out once a node, as columns of its own.
     nodes = nodes.withColumn("_main", main_namespace(c("doc"), prefix, base))
     main = c("_main")
     name = lambda x: F.concat(main, format_name(x))
-    nodes = nodes.withColumns({
+    return nodes.withColumns({
         "_owner": name(c("schema")), "_prop": name(c("name")), "_uri": resolve_ref(c("ref"), main, prefix), "_object": is_object_ref(c("ref")), "_word": ref_datatype(c("ref")),
         "_datatype": F.when(c("kind") == "string", string_datatype(c("format"))).otherwise(number_datatype(c("kind"), c("format"))),
     })
-    owner, prop, uri, datatype = c("_owner"), c("_prop"), c("_uri"), c("_datatype")
+
+
+def shacl_rules(prefix: str = PREFIX, compat: bool = True) -> list[Rule]:
+    """The rules of vocabulary and shapes, over `shacl_nodes`."""
+    c = F.col
+    main, owner, prop, uri, datatype = c("_main"), c("_owner"), c("_prop"), c("_uri"), c("_datatype")
     on, shape = F.concat(F.lit("_:"), c("carrier")), F.concat(F.lit("_:"), c("shape"))
     kept = c("kept") & c("error").isNull()
     top = c("role") == "schema"
     is_class = kept & ((top & c("kind").isin(*CLASSES)) | (c("kind") == "object"))
-    wanted = lambda p: predicates is None or not isinstance(p, str) or p in predicates
-    rdf = lambda cond, s, p, o, kind="iri", dt=None: F.when(cond, _t("rdf", s, "iri", p, o, kind, dt)) if wanted(p) else None
-    sh = lambda cond, s, p, o, kind="iri", dt=None: F.when(cond, _t("shacl", s, "bnode", p, o, kind, dt)) if wanted(p) else None
+    rdf = lambda name, cond, s, p, o, kind="iri", dt=None, on=None: Rule(name, "rdf", (p,), F.when(cond, _t("rdf", s, "iri", p, o, kind, dt)), on)
+    sh = lambda name, cond, s, p, o, kind="iri", dt=None, on=None: Rule(name, "shacl", (p,), F.when(cond, _t("shacl", s, "bnode", p, o, kind, dt)), on)
     described = c("description").isNotNull()
     comment = RDFS + "comment"
     combined = c("kind").isin("anyOf", "oneOf", "allOf")
@@ -118,42 +177,48 @@ def shacl_triples(nodes: DataFrame, prefix: str = PREFIX, compat: bool = True, b
     integer = XSD + "integer"
     vocabulary = kept & c("vocabulary")
     nil = RDF + "nil"
+    unions, strings, numbers = ("anyOf", "oneOf", "allOf"), ("string",), ("integer", "number")
     singles = [
-        rdf(is_class, owner, RDF + "type", RDFS + "Class"),
-        rdf(is_class & described & ~combined, owner, comment, c("description"), "literal"),
-        rdf(kept & top & combined, owner, comment, F.concat(F.lit("Note: Uses OpenAPI "), spelled, F.lit(" - complex logical constraints partially supported in SHACL")), "literal"),
-        *(rdf(kept & (c("kind") == "object") & c(flag), owner, comment, NOTES[flag], "literal") for flag in ("read_only", "write_only", "nullable", "discriminator", "deprecated")),
-        *(rdf(kept & (c("kind") == "object") & F.array_contains("combinators", k), owner, comment, NOTES["combinator"].format(k), "literal") for k in ("allOf", "anyOf", "oneOf")),
-        rdf(vocabulary, prop, RDF + "type", RDF + "Property"),
-        rdf(vocabulary, prop, RDFS + "domain", owner),
-        rdf(vocabulary, prop, RDFS + "range", ranged),
-        rdf(vocabulary & described, prop, comment, c("description"), "literal"),
-        sh(kept & c("shape").isNotNull(), shape, RDF + "type", F.concat(F.lit(SH), c("own_kind"))),
-        sh(kept & c("target"), F.when(c("kind").isin("object", "nodeshape"), shape).otherwise(on), SH + "targetClass", owner),
-        sh(kept & c("parent_shape").isNotNull(), F.concat(F.lit("_:"), c("parent_shape")), SH + "property", shape, "bnode"),
-        sh(kept & c("path"), shape, SH + "path", prop),
-        sh(kept & c("path") & c("required"), shape, SH + "minCount", "1", "literal", integer),
-        sh(kept & c("max_one"), shape, SH + "maxCount", "1", "literal", integer),
-        sh(kept & item & c("min_items").isNotNull(), shape, SH + "minCount", c("min_items"), "literal", integer),
-        sh(kept & item & c("max_items").isNotNull(), shape, SH + "maxCount", c("max_items"), "literal", integer),
-        sh(kept & c("describe") & described, F.coalesce(shape, on), comment, c("description"), "literal"),
-        sh(kept & (c("kind") == "ref") & c("carrier").isNotNull() & c("_object"), on, SH + "class", uri),
-        sh(kept & (c("kind") == "ref") & c("carrier").isNotNull() & ~c("_object"), on, SH + "datatype", c("_word")),
-        sh(kept & (c("kind") == "datatype"), on, SH + "datatype", F.concat(F.lit(XSD), c("type"))),
-        sh(kept & (c("kind") == "array") & c("carrier").isNotNull(), on, SH + "node", DASH + "ListShape"),
-        sh(text | number, on, SH + "datatype", datatype),
-        sh((text | number) & described, on, comment, c("description"), "literal"),
-        sh(plain & c("pattern").isNotNull(), on, SH + "pattern", c("pattern"), "literal"),
-        sh(plain & c("min_length").isNotNull(), on, SH + "minLength", c("min_length"), "literal", integer),
-        sh(plain & c("max_length").isNotNull(), on, SH + "maxLength", c("max_length"), "literal", integer),
-        sh(text & (F.size("enum") > 0), on, SH + "in", F.concat(F.lit("_:"), c("node_id"), F.lit("/enum/cell0")), "bnode"),
-        sh(text & (F.size("enum") == 0), on, SH + "in", nil),
-        sh(number & c("minimum").isNotNull(), on, SH + "minInclusive", c("minimum"), "literal", F.concat(F.lit(XSD), c("minimum_dt"))),
-        sh(number & c("maximum").isNotNull(), on, SH + "maxInclusive", c("maximum"), "literal", F.concat(F.lit(XSD), c("maximum_dt"))),
-        sh(kept & c("default_on").isNotNull() & F.lit(compat), F.concat(F.lit("_:"), c("default_on")), SH + "nodeKind", SH + "IRI"),
-        sh(kept & c("default_on").isNotNull() & F.lit(not compat), F.concat(F.lit("_:"), c("default_on")), F.when(c("kind") == "boolean", F.lit(SH + "datatype")).otherwise(F.lit(SH + "nodeKind")), F.when(c("kind") == "boolean", F.lit(XSD + "boolean")).otherwise(F.lit(SH + "IRI"))),
-        sh(c("list_on").isNotNull(), F.concat(F.lit("_:"), c("list_on")), F.concat(F.lit(SH), c("list_predicate") if compat else F.rtrim(c("list_predicate"), F.lit("_"))), F.concat(F.lit("_:"), c("node_id"), F.lit("/cell0")), "bnode"),
+        rdf("class", is_class, owner, RDF + "type", RDFS + "Class", on=CLASSES),
+        rdf("class description", is_class & described & ~combined, owner, comment, c("description"), "literal", on=CLASSES),
+        rdf("union note", kept & top & combined, owner, comment, F.concat(F.lit("Note: Uses OpenAPI "), spelled, F.lit(" - complex logical constraints partially supported in SHACL")), "literal", on=unions),
+        *(rdf(f"{flag} note", kept & (c("kind") == "object") & c(flag), owner, comment, NOTES[flag], "literal", on=("object",)) for flag in ("read_only", "write_only", "nullable", "discriminator", "deprecated")),
+        *(rdf(f"{k} note", kept & (c("kind") == "object") & F.array_contains("combinators", k), owner, comment, NOTES["combinator"].format(k), "literal", on=("object",)) for k in ("allOf", "anyOf", "oneOf")),
+        rdf("property", vocabulary, prop, RDF + "type", RDF + "Property"),
+        rdf("domain", vocabulary, prop, RDFS + "domain", owner),
+        rdf("range", vocabulary, prop, RDFS + "range", ranged),
+        rdf("property description", vocabulary & described, prop, comment, c("description"), "literal"),
+        sh("shape", kept & c("shape").isNotNull(), shape, RDF + "type", F.concat(F.lit(SH), c("own_kind"))),
+        sh("target class", kept & c("target"), F.when(c("kind").isin("object", "nodeshape"), shape).otherwise(on), SH + "targetClass", owner),
+        sh("property shape", kept & c("parent_shape").isNotNull(), F.concat(F.lit("_:"), c("parent_shape")), SH + "property", shape, "bnode"),
+        sh("path", kept & c("path"), shape, SH + "path", prop),
+        sh("required", kept & c("path") & c("required"), shape, SH + "minCount", "1", "literal", integer),
+        sh("at most one", kept & c("max_one"), shape, SH + "maxCount", "1", "literal", integer),
+        sh("fewest items", kept & item & c("min_items").isNotNull(), shape, SH + "minCount", c("min_items"), "literal", integer),
+        sh("most items", kept & item & c("max_items").isNotNull(), shape, SH + "maxCount", c("max_items"), "literal", integer),
+        sh("shape description", kept & c("describe") & described, F.coalesce(shape, on), comment, c("description"), "literal"),
+        sh("reference to a class", kept & (c("kind") == "ref") & c("carrier").isNotNull() & c("_object"), on, SH + "class", uri, on=("ref",)),
+        sh("reference to a datatype", kept & (c("kind") == "ref") & c("carrier").isNotNull() & ~c("_object"), on, SH + "datatype", c("_word"), on=("ref",)),
+        sh("primitive branch", kept & (c("kind") == "datatype"), on, SH + "datatype", F.concat(F.lit(XSD), c("type")), on=("datatype",)),
+        sh("list", kept & (c("kind") == "array") & c("carrier").isNotNull(), on, SH + "node", DASH + "ListShape", on=("array",)),
+        sh("datatype", text | number, on, SH + "datatype", datatype, on=strings + numbers),
+        sh("datatype description", (text | number) & described, on, comment, c("description"), "literal", on=strings + numbers),
+        sh("pattern", plain & c("pattern").isNotNull(), on, SH + "pattern", c("pattern"), "literal", on=strings),
+        sh("shortest", plain & c("min_length").isNotNull(), on, SH + "minLength", c("min_length"), "literal", integer, on=strings),
+        sh("longest", plain & c("max_length").isNotNull(), on, SH + "maxLength", c("max_length"), "literal", integer, on=strings),
+        sh("enumeration", text & (F.size("enum") > 0), on, SH + "in", F.concat(F.lit("_:"), c("node_id"), F.lit("/enum/cell0")), "bnode", on=strings),
+        sh("empty enumeration", text & (F.size("enum") == 0), on, SH + "in", nil, on=strings),
+        sh("least", number & c("minimum").isNotNull(), on, SH + "minInclusive", c("minimum"), "literal", F.concat(F.lit(XSD), c("minimum_dt")), on=numbers),
+        sh("greatest", number & c("maximum").isNotNull(), on, SH + "maxInclusive", c("maximum"), "literal", F.concat(F.lit(XSD), c("maximum_dt")), on=numbers),
     ]
+    defaults, default_on, boolean = kept & c("default_on").isNotNull(), F.concat(F.lit("_:"), c("default_on")), c("kind") == "boolean"
+    if compat:
+        singles.append(sh("default", defaults, default_on, SH + "nodeKind", SH + "IRI"))
+    else:
+        singles += [sh("default", defaults & ~boolean, default_on, SH + "nodeKind", SH + "IRI"), sh("boolean", defaults & boolean, default_on, SH + "datatype", XSD + "boolean", on=("boolean",))]
+    listing = F.concat(F.lit(SH), c("list_predicate") if compat else F.rtrim(c("list_predicate"), F.lit("_")))
+    union = F.when(c("list_on").isNotNull(), _t("shacl", F.concat(F.lit("_:"), c("list_on")), "bnode", listing, F.concat(F.lit("_:"), c("node_id"), F.lit("/cell0")), "bnode"))
+    singles.append(Rule("union", "shacl", tuple(SH + (x if compat else x.rstrip("_")) for x in OPERATOR.values()), union))
     step = lambda part: F.concat(path, F.lit(part))
     listed = F.when(kept & c("list_path"), F.array(
         _t("shacl", shape, "bnode", SH + "path", path, "bnode"), _t("shacl", path, "bnode", RDF + "first", step("/many"), "bnode"), _t("shacl", step("/many"), "bnode", SH + "zeroOrMorePath", RDF + "rest", "iri"),
@@ -162,10 +227,13 @@ def shacl_triples(nodes: DataFrame, prefix: str = PREFIX, compat: bool = True, b
     member = lambda x: (F.concat(F.lit("_:"), x), F.lit("bnode"), F.lit(None).cast("string"))
     enums = F.when(text, _cells("shacl", F.concat(c("node_id"), F.lit("/enum")), c("enum"), list_item))
     members = F.when(c("list_on").isNotNull(), _cells("shacl", c("node_id"), c("members"), member))
-    cells = wanted(RDF + "first") or wanted(RDF + "rest")
-    lists = [listed] * (cells or wanted(SH + "path") or wanted(SH + "zeroOrMorePath")) + [enums, members] * cells
-    out = _exploded(nodes, [x for x in singles if x is not None], lists)
-    return out if predicates is None else out.where(F.col("p").isin(*predicates))
+    cell = (RDF + "first", RDF + "rest")
+    lists = [
+        Rule("list path", "shacl", (SH + "path", SH + "zeroOrMorePath", *cell), listed, many=True),
+        Rule("enumeration cells", "shacl", cell, enums, strings, many=True),
+        Rule("union cells", "shacl", cell, members, many=True),
+    ]
+    return singles + lists
 
 
 def _owl_enum() -> Column:
@@ -177,22 +245,35 @@ def _owl_union() -> Column:
     return F.coalesce(F.array_contains("combinators", "oneOf"), F.lit(False)) & ~F.coalesce(F.col("type") == "object", F.lit(False)) & ~F.coalesce(_owl_enum(), F.lit(False))
 
 
-def owl_triples(nodes: DataFrame, base: str = PREFIX, predicates: Collection[str] | None = None) -> DataFrame:
+def owl_triples(nodes: DataFrame, base: str = PREFIX, predicates: Collection[str] | None = None, more: Sequence[Rule] = ()) -> DataFrame:
     """The ontology (graph owl) of the schema nodes of `flatten` in mode owl, with repeats.
 
-    With predicates, only the rules that make triples of these are worked out. A property
-    whose reference leads nowhere gives none; see reference_errors.
+    With predicates, only the rules that make triples of these are worked out; more are
+    rules beside the built-in ones. A property whose reference leads nowhere gives none;
+    see reference_errors.
     """
+    return apply_rules(owl_nodes(nodes, base), [*owl_rules(base), *more], predicates)
+
+
+def owl_nodes(nodes: DataFrame, base: str = PREFIX) -> DataFrame:
+    """Nodes with what many rules need as columns of their own: _main, the document's namespace, _me and _label of the name, _union,
+    _lost, whether the property's reference leads nowhere, and _target, where it leads."""
     c = F.col
     nodes = nodes.withColumn("_main", owl_namespace(c("doc"), base))
     main = c("_main")
     uri = lambda x: F.concat(main, format_name(x))
-    nodes = nodes.withColumns({
+    return nodes.withColumns({
         "_me": uri(c("name")), "_label": human_label(format_name(c("name"))), "_union": _owl_union(), "_lost": F.coalesce(_lost_owl(), F.lit(False)),
         "_target": F.when(c("kind") == "ref", resolve_ref_owl(c("ref"), main, base)).when((c("kind") == "array") & c("item_ref").isNotNull(), resolve_ref_owl(c("item_ref"), main, base)),
     })
-    wanted = lambda *ps: predicates is None or any(p in predicates for p in ps)
-    o = lambda cond, s, p, x, kind="iri", dt=None: F.when(cond, _t("owl", s, "iri", p, x, kind, dt)) if wanted(p) else None
+
+
+def owl_rules(base: str = PREFIX) -> list[Rule]:
+    """The rules of the ontology, over `owl_nodes`."""
+    c = F.col
+    main = c("_main")
+    uri = lambda x: F.concat(main, format_name(x))
+    o = lambda name, cond, s, p, x, kind="iri", dt=None, on=None: Rule(name, "owl", (p,), F.when(cond, _t("owl", s, "iri", p, x, kind, dt)), on)
     good = c("error").isNull()
     top = (c("role") == "schema") & good
     own = (c("role") == "property") & c("owl_owner").isNotNull() & good & ~c("_lost")
@@ -207,20 +288,20 @@ def owl_triples(nodes: DataFrame, base: str = PREFIX, predicates: Collection[str
     options = F.filter(F.transform("one_of", lambda x: resolve_ref_owl(x, main, base)), lambda x: x.isNotNull())
     kind = F.when(is_object, F.lit(OWL + "ObjectProperty")).otherwise(F.lit(OWL + "DatatypeProperty"))
     singles = [
-        o(any_class, me, RDF + "type", OWL + "Class"),
-        o(any_class, me, RDFS + "label", label, "literal"),
-        o(a_class & c("description").isNotNull(), me, RDFS + "comment", c("description"), "literal"),
-        o(enum, me, RDFS + "comment", F.concat(F.lit("Enumeration of "), label, F.lit(" values.")), "literal"),
-        o(union, me, RDFS + "comment", F.concat(F.lit("Represents a resource that can be one of several types related to "), label, F.lit(".")), "literal"),
-        o(enum | (union & (F.size(options) > 0)), me, OWL + "oneOf", F.concat(F.lit("_:"), c("node_id"), F.lit("/owl/cell0")), "bnode"),
-        o(own, me, RDF + "type", kind),
-        o(own, me, RDFS + "domain", uri(c("owl_owner"))),
-        o(own, me, RDFS + "range", ranged),
-        o(own, me, RDFS + "label", label, "literal"),
-        o(own, me, RDFS + "comment", F.concat(F.lit("Property representing the "), label, F.lit(".")), "literal"),
-        o(own & c("required"), me, OWL + "minCardinality", "1", "literal", XSD + "integer"),
-        o(own & c("required") & ~many & ~is_object, me, RDF + "type", OWL + "FunctionalProperty"),
-        o(own & c("required") & ~many & is_object, me, OWL + "maxCardinality", "1", "literal", XSD + "integer"),
+        o("class", any_class, me, RDF + "type", OWL + "Class"),
+        o("class label", any_class, me, RDFS + "label", label, "literal"),
+        o("class description", a_class & c("description").isNotNull(), me, RDFS + "comment", c("description"), "literal", on=("object",)),
+        o("enumeration comment", enum, me, RDFS + "comment", F.concat(F.lit("Enumeration of "), label, F.lit(" values.")), "literal"),
+        o("union comment", union, me, RDFS + "comment", F.concat(F.lit("Represents a resource that can be one of several types related to "), label, F.lit(".")), "literal"),
+        o("one of", enum | (union & (F.size(options) > 0)), me, OWL + "oneOf", F.concat(F.lit("_:"), c("node_id"), F.lit("/owl/cell0")), "bnode"),
+        o("property", own, me, RDF + "type", kind),
+        o("domain", own, me, RDFS + "domain", uri(c("owl_owner"))),
+        o("range", own, me, RDFS + "range", ranged),
+        o("property label", own, me, RDFS + "label", label, "literal"),
+        o("property comment", own, me, RDFS + "comment", F.concat(F.lit("Property representing the "), label, F.lit(".")), "literal"),
+        o("required", own & c("required"), me, OWL + "minCardinality", "1", "literal", XSD + "integer"),
+        o("functional", own & c("required") & ~many & ~is_object, me, RDF + "type", OWL + "FunctionalProperty"),
+        o("at most one", own & c("required") & ~many & is_object, me, OWL + "maxCardinality", "1", "literal", XSD + "integer"),
     ]
     # Values go by what YAML 1.1 makes of them: True, False, None.
     said = lambda x: F.when(x["dt"] == "boolean", F.initcap(x["lex"])).when(x["dt"] == "null", "None").otherwise(x["lex"])
@@ -234,10 +315,11 @@ def owl_triples(nodes: DataFrame, base: str = PREFIX, predicates: Collection[str
 
     cell = F.concat(c("node_id"), F.lit("/owl"))
     iri = lambda x: (x, F.lit("iri"), F.lit(None).cast("string"))
-    many_each = [F.when(enum, F.flatten(F.transform("enum", individual)))] * wanted(RDF + "type", RDFS + "label", RDFS + "comment")
-    cells = [F.when(enum, _cells("owl", cell, c("enum"), lambda x: iri(value(x)))), F.when(union, _cells("owl", cell, options, iri))] * wanted(RDF + "first", RDF + "rest")
-    out = _exploded(nodes, [x for x in singles if x is not None], many_each + cells)
-    return out if predicates is None else out.where(F.col("p").isin(*predicates))
+    return singles + [
+        Rule("individuals", "owl", (RDF + "type", RDFS + "label", RDFS + "comment"), F.when(enum, F.flatten(F.transform("enum", individual))), many=True),
+        Rule("enumeration cells", "owl", (RDF + "first", RDF + "rest"), F.when(enum, _cells("owl", cell, c("enum"), lambda x: iri(value(x)))), many=True),
+        Rule("union cells", "owl", (RDF + "first", RDF + "rest"), F.when(union, _cells("owl", cell, options, iri)), many=True),
+    ]
 
 
 def _lost_owl() -> Column:

@@ -123,6 +123,24 @@ def rule_classes(spark, sf_dir):
     return _triples(spark, sf_dir, N.RDF + "type").where(F.col("o") == N.RDFS + "Class").select("doc", "s")
 
 
+_DCTERMS = "http://purl.org/dc/terms/"
+
+
+@_register(f"""{_BASE} SELECT DISTINCT doc, owner AS s, '{N.OWL}deprecated' AS p, 'true' AS o FROM s WHERE deprecated AND kind = 'object'
+UNION SELECT doc, owner, '{_DCTERMS}references', uri FROM k WHERE parent_kind = 'object' AND kind = 'ref'
+UNION SELECT doc, prop, '{_DCTERMS}references', uri FROM k WHERE parent_kind = 'object' AND kind = 'ref'""")
+def rule_registered(spark, sf_dir):
+    """Rules of one's own beside the built-in ones, of which none is worked out: deprecated classes, and what refers to what."""
+    good = F.col("error").isNull()
+    refers = [rules.triple("rdf", F.col(me), _DCTERMS + "references", F.col("_uri")) for me in ("_owner", "_prop")]
+    more = [
+        rules.Rule("deprecated class", "rdf", (N.OWL + "deprecated",), F.when(good & F.col("deprecated"), rules.triple("rdf", F.col("_owner"), N.OWL + "deprecated", "true", "literal", N.XSD + "boolean")), ("object",)),
+        rules.Rule("references", "rdf", (_DCTERMS + "references",), F.when(good & (F.col("role") == "property"), F.array(*refers)), ("ref",), many=True),
+    ]
+    made = rules.shacl_triples(corpus.nodes(spark, sf_dir), predicates=[p for rule in more for p in rule.predicates], more=more)
+    return rules.graph_set(made).select("doc", "s", "p", "o")
+
+
 @_register(f"{_BASE}, {_PROPS} SELECT DISTINCT doc, s, '{N.RDF}type' AS p, '{N.RDF}Property' AS o FROM v UNION SELECT doc, s, '{N.RDFS}domain', owner FROM v UNION SELECT doc, s, '{N.RDFS}range', r FROM v")
 def rule_properties(spark, sf_dir):
     x = _triples(spark, sf_dir, N.RDF + "type", N.RDFS + "domain", N.RDFS + "range").where("graph = 'rdf'")
