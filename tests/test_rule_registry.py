@@ -71,6 +71,9 @@ def test_rules_of_ones_own(spark):
     told = rules.Rule("words", "rdf", ("urn:word",), F.when(F.col("role") == "schema", words), many=True)
     alone = rules.shacl_triples(nodes(spark), predicates=("urn:word", OWL + "deprecated"), more=[deprecated, told])
     assert {(r.s[-2:], r.p, r.o) for r in alone.collect()} == {("#A", "urn:word", "an"), ("#A", "urn:word", "A"), ("#A", OWL + "deprecated", "true")}
+    refers = rules.Rule("refers", "rdf", ("urn:refers",), F.when(F.col("role") == "property", rules.triple("rdf", F.col("_prop"), "urn:refers", F.col("_uri"))), ("ref",))
+    asked = rules.shacl_triples(nodes(spark), predicates=("urn:refers", OWL + "deprecated"), more=[deprecated, refers]).where("p = 'urn:refers'")
+    assert [(r.s[-2:], r.o[-2:]) for r in asked.collect()] == [("#r", "#B")]  # not the inline object o, which only the other rule reads
     both = rules.graph_set(rules.shacl_triples(nodes(spark), more=[deprecated, told]))
     assert both.count() == rules.graph_set(rules.shacl_triples(nodes(spark))).count() + 3
     marked = rules.Rule("marked", "owl", (RDF + "type",), F.when(F.col("role") == "schema", rules.triple("owl", F.col("_me"), RDF + "type", "urn:Marked")))

@@ -48,8 +48,8 @@ class Rule:
     """What schema nodes say in a graph.
 
     triples is a struct as `triple` makes it, or with many an array of them, null on nodes
-    where the rule does not hold. All of them are of the graph and the predicates declared,
-    and of nodes of the kinds declared (None: of any). It may use the columns of `flatten`
+    where the rule does not hold. All of them are of the graph and the predicates declared;
+    nodes of other kinds than those declared (None: any) are not asked. It may use the columns of `flatten`
     and those `shacl_nodes` or `owl_nodes` add.
     """
 
@@ -82,7 +82,8 @@ def apply_rules(nodes: DataFrame, rules: Sequence[Rule], predicates: Collection[
     """
     chosen, kinds = plan_rules(rules, predicates, graphs)
     nodes = nodes if kinds is None else nodes.where(F.col("kind").isin(*sorted(kinds)))
-    out = _exploded(nodes, [r.triples for r in chosen if not r.many], [r.triples for r in chosen if r.many])
+    held = [(r.many, r.triples if r.kinds is None or set(r.kinds) == kinds else F.when(F.col("kind").isin(*r.kinds), r.triples)) for r in chosen]
+    out = _exploded(nodes, [t for many, t in held if not many], [t for many, t in held if many])
     out = out if predicates is None else out.where(F.col("p").isin(*predicates))
     return out if graphs is None else out.where(F.col("graph").isin(*graphs))
 
