@@ -616,8 +616,17 @@ def graph_prefixes(spark, sf_dir):
     return rules.prefixes(corpus.nodes(spark, sf_dir))
 
 
-@_register()
+_SPACE = "regexp_extract({}, '^(.*[#/])[^#/]*$', 1)"
+
+
+@_register(f"""{_PREFIXES}, {_PROPS}, {_PLACES}, used AS (SELECT doc, {_SPACE.format('r')} AS uri FROM v UNION SELECT doc, {_SPACE.format('uri')} FROM c
+    UNION SELECT doc, {_SPACE.format("CASE WHEN isobj THEN uri ELSE refdt END")} FROM z WHERE kind IN ('ref', 'array')
+    UNION SELECT doc, '{N.XSD}' FROM k WHERE parent_kind = 'object' AND (required OR kind <> 'array') UNION SELECT doc, '{N.XSD}' FROM z WHERE kind IN ('string', 'integer', 'number', 'array', 'enum')
+    UNION SELECT doc, unnest(['{N.RDF}', '{N.RDFS}', ns]) FROM s WHERE kind IN {_CLASSKINDS} UNION SELECT doc, '{N.SH}' FROM s WHERE kind IN ('object', 'array', 'anyOf', 'oneOf', 'allOf')
+    UNION SELECT doc, '{N.DASH}' FROM s WHERE kind = 'array' UNION SELECT doc, '{N.DASH}' FROM z WHERE kind = 'array')
+  SELECT doc, prefix, uri FROM prefixes ANTI JOIN used USING (doc, uri)""")
 def audit_unused_prefixes(spark, sf_dir):
+    """Prefixes of files whose schemas a document refers to only as datatypes, and of terms it does not use."""
     nodes, t = _pair(spark, sf_dir)
     return audit.unused_prefixes(rules.prefixes(nodes), t)
 
