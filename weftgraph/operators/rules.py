@@ -59,6 +59,8 @@ class Rule:
     triples: Column
     kinds: tuple[str, ...] | None = None
     many: bool = False
+    #: Whether triples is null on nodes of other kinds by itself, so that the kind need not be asked once more.
+    checked: bool = False
 
 
 def triple(graph: str, s: Column, p: str, o: Column | str, o_kind: str = "iri", o_dt: Column | str | None = None, s_kind: str = "iri") -> Column:
@@ -82,7 +84,7 @@ def apply_rules(nodes: DataFrame, rules: Sequence[Rule], predicates: Collection[
     """
     chosen, kinds = plan_rules(rules, predicates, graphs)
     nodes = nodes if kinds is None else nodes.where(F.col("kind").isin(*sorted(kinds)))
-    held = [(r.many, r.triples if r.kinds is None or set(r.kinds) == kinds else F.when(F.col("kind").isin(*r.kinds), r.triples)) for r in chosen]
+    held = [(r.many, r.triples if r.checked or r.kinds is None or set(r.kinds) == kinds else F.when(F.col("kind").isin(*r.kinds), r.triples)) for r in chosen]
     out = _exploded(nodes, [t for many, t in held if not many], [t for many, t in held if many])
     out = out if predicates is None else out.where(F.col("p").isin(*predicates))
     return out if graphs is None else out.where(F.col("graph").isin(*graphs))
@@ -157,8 +159,8 @@ def shacl_rules(prefix: str = PREFIX, compat: bool = True) -> list[Rule]:
     kept = c("kept") & c("error").isNull()
     top = c("role") == "schema"
     is_class = kept & ((top & c("kind").isin(*CLASSES)) | (c("kind") == "object"))
-    rdf = lambda name, cond, s, p, o, kind="iri", dt=None, on=None: Rule(name, "rdf", (p,), F.when(cond, _t("rdf", s, "iri", p, o, kind, dt)), on)
-    sh = lambda name, cond, s, p, o, kind="iri", dt=None, on=None: Rule(name, "shacl", (p,), F.when(cond, _t("shacl", s, "bnode", p, o, kind, dt)), on)
+    rdf = lambda name, cond, s, p, o, kind="iri", dt=None, on=None: Rule(name, "rdf", (p,), F.when(cond, _t("rdf", s, "iri", p, o, kind, dt)), on, checked=True)
+    sh = lambda name, cond, s, p, o, kind="iri", dt=None, on=None: Rule(name, "shacl", (p,), F.when(cond, _t("shacl", s, "bnode", p, o, kind, dt)), on, checked=True)
     described = c("description").isNotNull()
     comment = RDFS + "comment"
     combined = c("kind").isin("anyOf", "oneOf", "allOf")
@@ -231,7 +233,7 @@ def shacl_rules(prefix: str = PREFIX, compat: bool = True) -> list[Rule]:
     cell = (RDF + "first", RDF + "rest")
     lists = [
         Rule("list path", "shacl", (SH + "path", SH + "zeroOrMorePath", *cell), listed, many=True),
-        Rule("enumeration cells", "shacl", cell, enums, strings, many=True),
+        Rule("enumeration cells", "shacl", cell, enums, strings, many=True, checked=True),
         Rule("union cells", "shacl", cell, members, many=True),
     ]
     return singles + lists
@@ -274,7 +276,7 @@ def owl_rules(base: str = PREFIX) -> list[Rule]:
     c = F.col
     main = c("_main")
     uri = lambda x: F.concat(main, format_name(x))
-    o = lambda name, cond, s, p, x, kind="iri", dt=None, on=None: Rule(name, "owl", (p,), F.when(cond, _t("owl", s, "iri", p, x, kind, dt)), on)
+    o = lambda name, cond, s, p, x, kind="iri", dt=None, on=None: Rule(name, "owl", (p,), F.when(cond, _t("owl", s, "iri", p, x, kind, dt)), on, checked=True)
     good = c("error").isNull()
     top = (c("role") == "schema") & good
     own = (c("role") == "property") & c("owl_owner").isNotNull() & good & ~c("_lost")
