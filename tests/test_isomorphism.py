@@ -55,3 +55,28 @@ def test_published_graphs(spark):
         assert errors.count() == 0
         got = compared(double(made), published).collect()
     assert len({r.doc for r in got}) > 30 and not [r for r in got if not r.same]
+
+
+def chain(doc, name, length, end, labels=False):
+    """Blank nodes in a row, each with a label of its own if wanted."""
+    node = lambda i: f"_:{name}{i}"
+    rows = [("g", doc, node(i), "bnode", "p", node(i + 1), "bnode", None) if i + 1 < length else ("g", doc, node(i), "bnode", "p", end, "literal", None) for i in range(length)]
+    return rows + [("g", doc, node(i), "bnode", "label", str(i), "literal", None) for i in range(length if labels else 0)]
+
+
+def test_documents_do_not_depend_on_each_other(spark):
+    """A document that differs, and so takes other rounds, leaves an equal one equal."""
+    one = spark.createDataFrame(chain("same", "a", 6, "x", True) + chain("other", "b", 12, "y"), COLUMNS)
+    two = spark.createDataFrame(chain("same", "c", 6, "x", True) + chain("other", "d", 1, "y"), COLUMNS)
+    assert {r.doc: (r.same, r.only_one, r.only_two) for r in compared(one, two).collect()} == {"same": (True, 0, 0), "other": (False, 11, 0)}
+
+
+def test_cycles(spark):
+    edge = lambda doc, s, o: ("g", doc, f"_:{s}", "bnode", "p", f"_:{o}", "bnode", None)
+    ring = lambda doc, name, n: [edge(doc, f"{name}{i}", f"{name}{(i + 1) % n}") for i in range(n)]
+    said = lambda doc, s, o: ("g", doc, f"_:{s}", "bnode", "q", o, "literal", None)
+    held = lambda o: ("g", "held", "http://x", "iri", "p", f"_:{o}", "bnode", None)
+    one = ring("ring", "a", 3) + [said("ring", "a1", "v"), edge("ring", "h", "a0")] + ring("moved", "b", 3) + [said("moved", "b0", "v"), said("moved", "b1", "w")] + [edge("loose", "l", "nothing")] + ring("held", "e", 2) + [held("e1")]
+    two = ring("ring", "x", 3) + [said("ring", "x2", "v"), edge("ring", "k", "x1")] + ring("moved", "y", 3) + [said("moved", "y1", "v"), said("moved", "y0", "w")] + ring("loose", "z", 1) + ring("held", "u", 2) + [held("u0")]
+    got = {r.doc: r.same for r in compared(spark.createDataFrame(one, COLUMNS), spark.createDataFrame(two, COLUMNS)).collect()}
+    assert got == {"ring": True, "moved": False, "loose": False, "held": True}

@@ -1,52 +1,90 @@
 """Whether graphs are equal but for the names of their blank nodes.
 
 A blank node is known by what it says: the hash of its predicates and objects, where
-blank objects stand for their own hashes. Rounds of joins refine the hashes until no more
-nodes can be told apart; each looks one step further. Graphs are equal if they have the
-same triples over these hashes, each as often.
+blank objects stand for their own hashes. Nodes that hold no blank ones are named first,
+then those that hold named ones alone, and so on, so that a round has only what is not
+named yet. Cycles and what holds them are left; rounds of joins refine their hashes until
+no more of them can be told apart. Graphs are equal if they have the same names and
+triples, each as often.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import kept
+from ..plans.tables import kept, let_go
+
+
+def _sha(x: Column) -> Column:
+    return F.unhex(F.sha2(x, 256))
+
+
+def _name() -> Column:
+    """What a node says itself and the names that it holds, as its own name."""
+    held = F.transform("below", lambda b: F.concat(b["p"], F.lit(" "), F.hex(b["name"])))
+    return _sha(F.concat(F.hex("own"), F.lit("\n"), F.array_join(F.array_sort(held), "\n")))
+
 
-_ROUNDS = 1000
+def _held(pending: DataFrame, named: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """pending with the names that what its nodes hold has in named, besides those it has already."""
+    rows = pending.select(*keys, "node", "own", "n", F.explode("below").alias("b")).select(*keys, "node", "own", "n", "b.p", "b.o", F.col("b.name").alias("before"))
+    found = rows.join(named.select(*keys, F.col("node").alias("o"), F.col("name").alias("found")), [*keys, "o"], "left")
+    below = F.collect_list(F.struct("p", "o", F.coalesce("before", "found").alias("name")))
+    return found.groupBy(*keys, "node").agg(F.any_value("own").alias("own"), F.any_value("n").alias("n"), below.alias("below"))
 
 
-def canonical(triples: DataFrame) -> DataFrame:
-    """(graph, doc, s, s_kind, p, o, o_kind, o_dt) with hashes for the names of blank nodes, repeats and all.
+def names(triples: DataFrame, keys: Sequence[str] = ("graph", "doc")) -> DataFrame:
+    """(keys, node, name, n): the hash of every blank node that says anything, and the number of its triples, in each graph that keys tell.
 
     Blank nodes that say the same have one name, as in trees they may: which of them is
-    meant makes no difference to what holds them.
+    meant makes no difference to what holds them. Those that say nothing are held as an empty name.
     """
-    t = triples.select("graph", "doc", "s", "s_kind", "p", "o", "o_kind", "o_dt")
-    blank = t.where("s_kind = 'bnode'")
-    names = kept(blank.select("graph", "doc", F.col("s").alias("node")).unionByName(t.where("o_kind = 'bnode'").select("graph", "doc", F.col("o").alias("node"))).distinct().withColumn("name", F.lit("")))
-    known = 1
-    for _ in range(_ROUNDS):
-        of = names.select("graph", "doc", F.col("node").alias("o"), F.col("name").alias("held"))
-        plain = blank.where("o_kind <> 'bnode'").withColumn("held", F.lit(None).cast("string"))
-        said = F.to_json(F.struct("p", "o_kind", F.when(F.col("o_kind") == "bnode", F.col("held")).otherwise(F.col("o")).alias("o"), "o_dt"))
-        rows = plain.unionByName(blank.where("o_kind = 'bnode'").join(of, ["graph", "doc", "o"])).select("graph", "doc", F.col("s").alias("node"), said.alias("x"))
-        hashes = rows.groupBy("graph", "doc", "node").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "\n"), 256).alias("name"))
-        names = kept(names.drop("name").join(hashes, ["graph", "doc", "node"], "left").withColumn("name", F.coalesce("name", F.lit(""))))
-        before, known = known, names.select("graph", "doc", "name").distinct().count()
-        if known == before:
+    c, blank = F.col, triples.where("s_kind = 'bnode'")
+    said = F.when(c("o_kind") != "bnode", F.to_json(F.struct("p", "o_kind", "o", "o_dt")))
+    holds = F.when(c("o_kind") == "bnode", F.struct("p", "o", F.lit(None).cast("binary").alias("name")))
+    own = _sha(F.array_join(F.array_sort(F.collect_list(said)), "\n"))
+    nodes = kept(blank.groupBy(*keys, c("s").alias("node")).agg(own.alias("own"), F.count("*").alias("n"), F.collect_list(holds).alias("below")))
+    row = (*keys, "node", _name().alias("name"), "n")
+    last, pending = nodes.where(F.size("below") == 0).select(*row), nodes.where(F.size("below") > 0)
+    silent = pending.select(*keys, F.explode("below.o").alias("node")).distinct().join(nodes.select(*keys, "node"), [*keys, "node"], "left_anti")
+    made, given = [last], last.drop("n").unionByName(silent.select(*keys, "node", F.lit("").cast("binary").alias("name")))
+    while True:
+        step = kept(_held(pending, given, keys))
+        ready = F.forall("below", lambda b: b["name"].isNotNull())
+        given, pending = step.where(ready).select(*row), step.where(~ready)
+        if given.isEmpty():
             break
-    side = lambda c: names.select("graph", "doc", F.col("node").alias(c), F.col("name").alias(f"{c}_name"))
-    x = t.join(side("s"), ["graph", "doc", "s"], "left").join(side("o"), ["graph", "doc", "o"], "left")
-    named = lambda c: F.when(F.col(f"{c}_kind") == "bnode", F.concat(F.lit("_:"), f"{c}_name")).otherwise(F.col(c)).alias(c)
-    return x.select("graph", "doc", named("s"), "s_kind", "p", named("o"), "o_kind", "o_dt")
+        made.append(given)
+    if not pending.isEmpty():
+        now, known = pending.select(*keys, "node", F.lit("cycle").cast("binary").alias("name")), 0
+        while True:
+            before, now = now, kept(_held(pending, now, keys).select(*row))
+            count = now.select(*keys, "name").distinct().count()
+            if known:
+                let_go(before)
+            if count == known:
+                break
+            known = count
+        made.append(now)
+    return reduce(DataFrame.unionByName, made)
 
 
 def compared(one: DataFrame, two: DataFrame) -> DataFrame:
     """(graph, doc, same, only_one, only_two): whether both have each graph of each document alike, and how many triples only one of them has."""
-    sides = F.lit(1), F.lit(-1)
-    both = [canonical(t).withColumn("side", n) for t, n in zip((one, two), sides, strict=True)]
-    each = both[0].unionByName(both[1]).groupBy("graph", "doc", "s", "s_kind", "p", "o", "o_kind", "o_dt").agg(F.sum("side").alias("n"))
-    more = lambda c: F.sum(F.greatest(c, F.lit(0)))
-    x = each.groupBy("graph", "doc").agg(more(F.col("n")).alias("only_one"), more(-F.col("n")).alias("only_two"))
-    return x.select("graph", "doc", ((F.col("only_one") == 0) & (F.col("only_two") == 0)).alias("same"), "only_one", "only_two")
+    columns, c = ("graph", "doc", "s", "s_kind", "p", "o", "o_kind", "o_dt"), F.col
+    # Both at once, so that the names of both are of the same round.
+    both = one.select(*columns, F.lit(1).alias("side")).unionByName(two.select(*columns, F.lit(-1).alias("side")))
+    keys = ("side", "graph", "doc")
+    named = names(both, keys)
+    # Nodes of one name have the same triples.
+    blank = named.groupBy("graph", "doc", "name").agg(F.sum(c("side") * c("n")).alias("n")).drop("name")
+    iris = both.where("s_kind <> 'bnode'")
+    held = iris.where("o_kind = 'bnode'").join(named.select(*keys, c("node").alias("o"), "name"), [*keys, "o"], "left").withColumn("o", F.coalesce(F.hex("name"), F.lit(""))).drop("name")
+    rest = iris.where("o_kind <> 'bnode'").unionByName(held).groupBy(*columns).agg(F.sum("side").alias("n")).select("graph", "doc", c("n").cast("long"))
+    more = lambda x: F.sum(F.greatest(x, F.lit(0)))
+    x = blank.unionByName(rest).groupBy("graph", "doc").agg(more(c("n")).alias("only_one"), more(-c("n")).alias("only_two"))
+    return x.select("graph", "doc", ((c("only_one") == 0) & (c("only_two") == 0)).alias("same"), "only_one", "only_two")
