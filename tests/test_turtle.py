@@ -52,6 +52,14 @@ def test_text_holds_the_whole_graph(spark, mode):
         assert len(subjects) == len({x.s for x in rows if (x.graph, x.doc, x.s_kind) == (r.graph, r.doc, "iri")})
 
 
+@pytest.mark.parametrize("mode", ["shacl", "owl"])
+def test_read_by_statements(spark, mode):
+    """Each statement is read by itself with its document's prefixes; together they hold every triple."""
+    t = triples(spark, mode).cache()
+    got = {(r.graph, r.doc): r.read for r in sinks.read_turtle_lines(sinks.turtle_lines(t, P)).collect()}
+    assert got == {(r.graph, r.doc): r["count"] for r in t.groupBy("graph", "doc").count().collect()} and got
+
+
 def test_statements(spark):
     text = {(r.graph, r.doc): r.content for r in turtle_documents(triples(spark), P).collect()}["rdf", "TS1_A"]
     assert 'TS1_A:c a rdfs:Class ;\n    rdfs:comment "again" .\n' in text and '@prefix TS1_A: <http://example.org/models/TS1/A#> .\n' in text and "@prefix sh:" not in text
