@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,21 +21,25 @@ __version__ = "0.1.0"
 
 def convert(
     specs: DataFrame, mode: str = "shacl", prefix: str = PREFIX, compat: bool = True, base: str | None = None, nodes: DataFrame | None = None,
+    hold: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> tuple[DataFrame, DataFrame]:
     """(triples, errors(doc, error)) of specs; a document with an error gives no triples.
 
-    nodes: those of specs, if they have been worked out already.
+    nodes: those of specs, if they have been worked out already. hold: what to do with the
+    documents that fail, such as `tables.kept`; a table of a known size, if small, spares
+    a shuffle of all nodes by document.
     """
     nodes = flatten(specs.where("spec is not null"), mode) if nodes is None else nodes
     errors = nodes.where("error is not null").select("doc", "error").unionByName(reference_errors(nodes, mode))
     if "error" in specs.columns:
         errors = errors.unionByName(specs.where("error is not null").select("doc", "error"))
-    good = nodes.join(errors.select("doc").distinct(), "doc", "left_anti")
+    failed = hold(errors.select("doc").distinct())
+    good = nodes.join(failed, "doc", "left_anti")
     if mode == "owl":
         triples = owl_triples(good, base or prefix)
         if "has_header" in specs.columns:
             headers = specs.where("has_header and error is null").select("doc", "title", "version", "description", "url").distinct()
-            triples = triples.unionByName(owl_header(headers.join(errors.select("doc").distinct(), "doc", "left_anti"), base or prefix))
+            triples = triples.unionByName(owl_header(headers.join(failed, "doc", "left_anti"), base or prefix))
     else:
         triples = shacl_triples(good, prefix, compat, base)
     return graph_set(triples), errors
